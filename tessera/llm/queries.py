@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import sql
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.mixing import mix_sources
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +20,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_shingles, component_id and kept for every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """size, source_size, target and taken for every document."""
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op3_pack_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length bucket, batch and slot for every document."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for every document."""
     rows = quality_rules(_table(spark, sf_dir, "documents"))
@@ -29,11 +47,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_pack_lengths": op3_pack_lengths,
     "op6_quality_rules": op6_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": sql.OP1,
+    "op2_mix_sources": sql.OP2,
     "op6_quality_rules": sql.OP6,
     "op10_exact_dedup": sql.OP10,
 }

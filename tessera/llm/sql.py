@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm.mixing import Mix
+from tessera.llm.near_dedup import NearDup
 from tessera.llm.quality import Rules
 
 W = r"[\x20\x09-\x0D]"
@@ -74,3 +76,55 @@ FROM f
 
 
 OP6 = op6(Rules())
+
+
+def op1(params: NearDup) -> str:
+    """All pairs that share a shingle, counted; components by reachability over the links."""
+    k = params.shingle
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + {k - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {k - 2}, 2))) AS i FROM w WHERE len(words) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {params.percent} * (p.n + q.n - c)),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT y, root FROM reach JOIN link ON x = doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+def op2(mix: Mix) -> str:
+    """taken: the overlap of a document's place in its source's stream with the words that the mix takes in each pass."""
+    weights = ", ".join(map(str, mix.weights))
+    passes = " + ".join(f"greatest(0, least(start + size, want - {e} * source_size) - start)" for e in range(mix.max_epochs))
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM s),
+w AS (SELECT *, ([{weights}])[(no % {len(mix.weights)} + 1)::INT]::BIGINT AS weight, source_size * {mix.max_epochs} AS cap FROM n),
+o AS (
+  SELECT *, row_number() OVER p AS place, coalesce(sum(cap) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
+         (sum(weight) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weight_left,
+         (sum(source_size) OVER ())::BIGINT * {mix.percent / 100.0!r}::DOUBLE AS goal
+  FROM w WINDOW p AS (ORDER BY cap::DOUBLE / weight, no)),
+e AS (SELECT place AS end_place, goal - capped AS rest, weight_left FROM o WHERE cap * weight_left >= (goal - capped) * weight ORDER BY place LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN o.place >= e.end_place THEN weight * e.rest / e.weight_left ELSE cap::DOUBLE END AS target, cap
+  FROM o LEFT JOIN e ON true),
+p AS (
+  SELECT doc_id, size, source_size, target, least(floor(target), cap)::BIGINT AS want,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ({passes})::BIGINT AS taken FROM p
+"""
+
+
+OP1, OP2 = op1(NearDup()), op2(Mix())
