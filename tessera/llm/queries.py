@@ -12,6 +12,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
+from tessera.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep_largest=True)
@@ -51,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_lengths": op3_pack_lengths,
     "op6_quality_rules": op6_quality_rules,
+    "op8_warc": op8_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -58,5 +65,6 @@ ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": sql.OP1,
     "op2_mix_sources": sql.OP2,
     "op6_quality_rules": sql.OP6,
+    "op8_warc": sql.OP8,
     "op10_exact_dedup": sql.OP10,
 }
