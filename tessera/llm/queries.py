@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import sql
 from tessera.llm.exact_dedup import exact_dedup
@@ -12,6 +13,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
+from tessera.llm.token_store import StoreFormat, read_store, write_store
 from tessera.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +38,15 @@ def op3_pack_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to the store and read back: start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    fmt = StoreFormat(public_tokenizers.path("word_bpe_49k.json"))
+    folder = write_store(_table(spark, sf_dir, "documents"), fmt)
+    return read_store(spark, folder, fmt).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for every document."""
     rows = quality_rules(_table(spark, sf_dir, "documents"))
@@ -56,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_lengths": op3_pack_lengths,
+    "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
     "op10_exact_dedup": op10_exact_dedup,
