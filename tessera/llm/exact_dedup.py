@@ -27,14 +27,14 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, keep_largest: bool = False, memtables: int = 8, fan_in: int = 8):
         self.spark, self.keep_largest, self.memtables, self.fan_in = spark, keep_largest, memtables, fan_in
         self.levels: list[list[str]] = [[]]
+        self.rows = 0
 
-    def _write(self, run: DataFrame) -> str:
-        path = fresh_path(self.spark, "run")
-        run.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        return path
+    def _filters(self, rows: int) -> dict[str, str]:
+        """Bloom filters of the size that a file's share of the rows needs; Parquet's own default is a megabyte a file."""
+        return {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(64, rows // (4 * self.memtables)))}
 
-    def flush(self, entries: DataFrame) -> str:
-        """entries: digest binary, id, rows. One sorted run for each memtable, written by one job."""
+    def flush(self, entries: DataFrame, rows: int) -> str:
+        """entries: digest binary, id, rows; rows: about how many. One sorted run for each memtable, written by one job."""
         shard = F.substring(F.col("digest"), 1, 1)
         merged = (
             entries.withColumn("memtable", F.spark_partition_id() % self.memtables)
@@ -44,8 +44,9 @@ class DigestIndex:
             .sortWithinPartitions("memtable", "shard", "digest", "id")
         )
         path = fresh_path(self.spark, "runs")
-        merged.write.option("parquet.bloom.filter.enabled#digest", "true").partitionBy("memtable").parquet(path)
+        merged.write.options(**self._filters(rows)).partitionBy("memtable").parquet(path)
         self.levels[0].append(path)
+        self.rows += rows
         return path
 
     def entries(self) -> DataFrame:
@@ -58,7 +59,8 @@ class DigestIndex:
         by_id = F.max_by("rows", "id") if self.keep_largest else F.min_by("rows", "id")
         each = self.entries().groupBy("digest", "id").agg(F.sum("rows").alias("rows"))
         state = each.groupBy("digest").agg(stays.alias("keep_id"), F.sum("rows").alias("group_size"), by_id.alias("n_keep"))
-        path = self._write(state.sortWithinPartitions("digest"))
+        path = fresh_path(self.spark, "run")
+        state.sortWithinPartitions("digest").write.options(**self._filters(self.rows)).parquet(path)
         self.levels.append([path])
         return self.spark.read.schema(state.schema).parquet(path)
 
@@ -89,7 +91,7 @@ def _labelled(docs: DataFrame, keep_largest: bool, id_col: str, text_col: str) -
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), doc_text(text_col).alias("t"))
     index = DigestIndex(spark, keep_largest)
-    index.flush(texts.select(digest_of(F.col("t")).alias("digest"), "id", F.lit(1).cast("long").alias("rows")))
+    index.flush(texts.select(digest_of(F.col("t")).alias("digest"), "id", F.lit(1).cast("long").alias("rows")), docs.count())
     state = index.compact()
     merged = index.entries().groupBy("digest", "id").agg(F.sum("rows").alias("rows"))
     labelled = keep(merged.join(state, "digest"), "labelled")
