@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import sql
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.html_extract import extract_text
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
@@ -38,6 +39,11 @@ def op3_pack_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to the store and read back: start, n_tokens, ids_crc32."""
     import public_tokenizers
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_lengths": op3_pack_lengths,
+    "op4_html_text": op4_html_text,
     "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
