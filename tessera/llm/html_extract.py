@@ -163,10 +163,10 @@ def features(nodes: list[Node]) -> list[list[str]]:
             for m in NAMES.finditer(n.attrs):
                 own += ["n:" + x for x in PART.findall((m[1] or m[2] or m[3] or "").lower())]
         c = chars[i]
-        own.append("c:%d" % (0 if c == 0 else 1 if c < 25 else 2 if c < 100 else 3 if c < 400 else 4))
+        size = 0 if c == 0 else 1 if c < 25 else 2 if c < 100 else 3 if c < 400 else 4
+        own.append("c:%d:%d" % (size, stops[i] > 0 if size < 3 else min(stops[i], 2)))
         share = linked[i] / c if c else 0.0
         own.append("l:%d" % (0 if share == 0 else 1 if share < 0.34 else 2 if share < 0.67 else 3))
-        own.append("s:%d" % min(stops[i], 3))
         out.append(own)
     return out
 
