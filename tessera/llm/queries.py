@@ -14,6 +14,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
+from tessera.llm.secrets import scan_secrets
 from tessera.llm.token_store import StoreFormat, read_store, write_store
 from tessera.llm.warc import warc_round_trip
 
@@ -64,6 +65,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, by its digest, with the forest's verdict."""
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ordinal", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep_largest=True)
@@ -77,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
+    "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
