@@ -15,6 +15,7 @@ from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import scan_secrets
+from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.token_store import StoreFormat, read_store, write_store
 from tessera.llm.warc import warc_round_trip
 
@@ -60,6 +61,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_bytes, n_removed, n_spans and kept_sha256 for every document."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return warc_round_trip(_table(spark, sf_dir, "pages"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op4_html_text": op4_html_text,
     "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
