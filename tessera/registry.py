@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.queries import ORACLES, QUERIES
+
 FLAGSHIP = "page_host_facets"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
