@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -76,29 +78,57 @@ class MerkleStream:
         return root
 
 
+def id_type(fmt: StoreFormat) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(fmt.tokenizer).get_vocab_size(), fmt.end_id + 1) <= 1 << 16 else "<u4"
+
+
 class Encoder:
     """Ids of whole texts. This tokenizer never joins what white space parts, so words are encoded once while they stay
-    in a bounded cache. Texts are UTF-8 bytes."""
+    in a bounded cache: new words of a batch as one text, told apart by their offsets. Texts are UTF-8 bytes."""
 
-    def __init__(self, fmt: StoreFormat, cache: int = 1 << 18):
+    def __init__(self, fmt: StoreFormat, dtype: str, cache: int = 1_000_000, together: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(fmt.tokenizer), {}, cache
-        self.end = (fmt.end_id,)
-        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), fmt.end_id + 1) <= 1 << 16 else "<u4")
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
+        self.tokenizer, self.known, self.limit, self.together = Tokenizer.from_file(fmt.tokenizer), {}, cache, together
+        self.dtype = np.dtype(dtype)
+        self.end = np.array([fmt.end_id], self.dtype).tobytes()
+
+    @classmethod
+    def of_process(cls, fmt: StoreFormat, dtype: str) -> Encoder:
+        """One for all tasks of a Python worker, so that what it has learnt is kept between them."""
+        kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
+        key = ("encoder", fmt.tokenizer, fmt.end_id, dtype)
+        if key not in kept:
+            kept[key] = cls(fmt, dtype)
+        return kept[key]
+
+    def learn(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), self.together):
+            words = [w.decode() for w in new[i : i + self.together]]
+            encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            owner = np.searchsorted(ends, np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids)), side="right")
+            cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+            data, width = np.array(encoded.ids, self.dtype).tobytes(), self.dtype.itemsize
+            for w, a, b in zip(new[i : i + self.together], cuts[:-1], cuts[1:], strict=True):
+                self.known[w] = data[a * width : b * width]
+
+    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         known = self.known
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list(set(words))
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        return np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), self.end), self.dtype)
+        for i in range(0, len(texts), 256):
+            lists = [t.split() for t in texts[i : i + 256]]
+            new = {w for words in lists for w in words if w not in known}
+            if len(known) + len(new) > self.limit:
+                known.clear()
+                new = {w for words in lists for w in words}
+            if new:
+                self.learn(list(new))
+            for words in lists:
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, self.dtype)
 
 
 class Cutter:
@@ -137,20 +167,28 @@ def cut_up(ids: np.ndarray, cutter: Cutter) -> tuple[list[bytes], list[int]]:
 PACK = "segment int, seq long, id long, n_tokens long, start_in_segment long, root binary, digests binary, lengths array<int>, foreign array<int>, lent array<int>, payload binary"
 
 
-def _recipes(texts: DataFrame, fmt: StoreFormat) -> DataFrame:
-    """id, root, digests for each row of texts (id, t)."""
+def _recipes(texts: DataFrame, fmt: StoreFormat, dtype: str) -> DataFrame:
+    """id, root, digests, lengths and payload (all ids) for each row of texts (id, t)."""
+    names = ["id", "root", "digests", "lengths", "payload"]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cutter = Encoder(fmt), Cutter(fmt)
+        encode, cutter = Encoder.of_process(fmt, dtype), Cutter(fmt)
         for batch in batches:
-            roots, lists = [], []
-            for text in batch.column(1).cast(pa.binary()):
-                digests = [digest(c) for c in cut_up(encode(text.as_py()), cutter)[0]]
-                roots.append(merkle_root(digests))
-                lists.append(digests)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["id", "root", "digests"])
+            texts_ = [x.as_py() for x in batch.column(1).cast(pa.binary())]
+            out, size = [], 0
+            for id_, ids in zip(batch.column(0).to_pylist(), encode(texts_), strict=True):
+                parts, lengths = cut_up(ids, cutter)
+                digests = [digest(c) for c in parts]
+                out.append((id_, merkle_root(digests), digests, lengths, ids.tobytes()))
+                size += ids.nbytes
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return texts.mapInArrow(run, "id long, root binary, digests array<binary>")
+    return texts.mapInArrow(run, "id long, root binary, digests array<binary>, lengths array<int>, payload binary")
 
 
 def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -162,8 +200,11 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), doc_text(text_col).alias("t"))
-    # First pass: which chunks are shared, and who owns them - digests alone travel.
-    recipes = keep(_recipes(texts, fmt), "recipes").distinct()
+    dtype = id_type(fmt)
+    width = np.dtype(dtype).itemsize
+    encoded = keep(_recipes(texts, fmt, dtype), "encoded", compression="zstd")
+    # Which chunks are shared, and who owns them: digests alone travel.
+    recipes = encoded.select("id", "root", "digests").distinct()
     chunks = recipes.select("id", "root", F.posexplode("digests").alias("idx", "digest"))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("id", "root", "idx")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
     shared = chunks.join(owners, "digest")
@@ -171,16 +212,20 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
     flags = shared.groupBy("id", "root").agg(
         F.sort_array(F.collect_list(F.when(~own, F.col("idx")))).alias("foreign"), F.sort_array(F.collect_list(F.when(own, F.col("idx")))).alias("lent")
     )
-    # Second pass: flags meet their documents in the one sort by id, and packs are written from it.
+    # Flags meet their documents in the one sort by id, and packs are written from it.
     none = F.lit(None)
-    both = flags.select("id", F.lit(0).alias("kind"), none.cast("string").alias("t"), "root", "foreign", "lent").unionByName(
-        texts.select("id", F.lit(1).alias("kind"), "t", none.cast("binary").alias("root"), none.cast("array<int>").alias("foreign"), none.cast("array<int>").alias("lent"))
-    )
-    placed = both.repartitionByRange("id").sortWithinPartitions("id", "kind", "t")
+    both = flags.select(
+        "id", F.lit(0).alias("kind"), "root", none.cast("binary").alias("digests"), none.cast("array<int>").alias("lengths"), none.cast("binary").alias("payload"), "foreign", "lent"
+    ).unionByName(
+        encoded.select(
+            "id", F.lit(1).alias("kind"), "root", F.unhex(F.array_join(F.transform("digests", F.hex), "")).alias("digests"), "lengths", "payload",
+            none.cast("array<int>").alias("foreign"), none.cast("array<int>").alias("lent"),
+        )
+    )
+    placed = both.repartitionByRange("id").sortWithinPartitions("id", "kind", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cutter, tree = Encoder(fmt), Cutter(fmt), MerkleStream()
-        segment, seq, start = TaskContext.get().partitionId(), 0, 0
+        tree, segment, seq, start = MerkleStream(), TaskContext.get().partitionId(), 0, 0
         at, marks, seen = object(), {}, set()
         names = [x.split()[0] for x in PACK.split(", ")]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int32())] * 3, pa.binary()]
@@ -190,27 +235,30 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            ids, kinds, texts_, roots, foreigns, lents = (batch.column(i) for i in range(6))
+            columns = [batch.column(i) for i in range(8)]
             out, size = [], 0
-            for id_, kind, text, root, foreign, lent in zip(ids.to_pylist(), kinds.to_pylist(), texts_.cast(pa.binary()), roots, foreigns, lents, strict=True):
+            for id_, kind, root, digests, lengths, payload, foreign, lent in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_pylist(), *columns[3:], strict=True):
                 if id_ != at:
                     at, marks, seen = id_, {}, set()
                 if kind == 0:
-                    marks[root.as_py()] = (foreign.as_py(), lent.as_py())
+                    marks[root] = (foreign.as_py(), lent.as_py())
                     continue
-                tokens = encode(text.as_py())
-                parts, lengths = cut_up(tokens, cutter)
-                digests = [digest(c) for c in parts]
-                root_ = merkle_root(digests)
-                foreign_, lent_ = marks.get(root_, ([], []))
-                if root_ in seen:
-                    foreign_, lent_ = list(range(len(parts))), []
-                seen.add(root_)
-                gone = set(foreign_)
-                payload = b"".join(c for i, c in enumerate(parts) if i not in gone)
-                out.append((segment, seq, id_, len(tokens), start, root_, b"".join(digests), lengths, foreign_, lent_, payload))
-                tree.add(root_)
-                seq, start, size = seq + 1, start + len(tokens), size + len(payload)
+                lengths, data = lengths.as_py(), payload.as_py()
+                foreign_, lent_ = marks.get(root, ([], []))
+                if root in seen:
+                    foreign_, lent_ = list(range(len(lengths))), []
+                seen.add(root)
+                n_tokens = len(data) // width
+                if foreign_:
+                    gone, parts, place = set(foreign_), [], 0
+                    for i, n in enumerate(lengths):
+                        if i not in gone:
+                            parts.append(data[place : place + n * width])
+                        place += n * width
+                    data = b"".join(parts)
+                out.append((segment, seq, id_, n_tokens, start, root, digests.as_py(), lengths, foreign_, lent_, data))
+                tree.add(root)
+                seq, start, size = seq + 1, start + n_tokens, size + len(data)
                 if size > 1 << 24:
                     yield rows(out)
                     out, size = [], 0
@@ -231,12 +279,13 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_store(spark: SparkSession, folder: str, fmt: StoreFormat) -> DataFrame:
     """id, segment, seq, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, put together and verified."""
+    dtype = id_type(fmt)
+    width = np.dtype(dtype).itemsize
     packs = spark.read.schema(PACK).parquet(f"{folder}/packs").filter("seq >= 0")
     shape = "segment int, seq long, id long, n_tokens long, start_in_segment long, root binary, digests binary, lengths array<int>, foreign array<int>, payload binary"
     columns = [x.split()[0] for x in shape.split(", ")]
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = Encoder(fmt).dtype.itemsize
         for batch in batches:
             keys, values = [], []
             for digests, lengths, foreign, lent, payload in zip(*(batch.column(i) for i in range(5)), strict=True):
@@ -250,8 +299,6 @@ def read_store(spark: SparkSession, folder: str, fmt: StoreFormat) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["digest", "chunk"])
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = Encoder(fmt).dtype
-        width = dtype.itemsize
         names = ["id", "segment", "seq", "start_in_segment", "n_tokens", "ids"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
