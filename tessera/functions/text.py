@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = r"[一-鿿]"
@@ -120,3 +120,9 @@ def safe_name(c: Column | str, most: int = 50) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows, computed up to here: later expressions refer to columns instead of repeating what made them. Without
+    it the optimizer may merge a long chain of projections into expressions of many times their size."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

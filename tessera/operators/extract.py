@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed
 from tessera.functions.normalize import normalize_type, normalize_year, split_bilingual
 from tessera.functions.predicates import is_credits_line, is_language_cn, is_type_line, is_video_link, names_material
-from tessera.functions.text import CJK, any_of, first_filled, first_line_match, first_match, has_cjk, is_bilingual, matches_any, strip, text
+from tessera.functions.text import CJK, any_of, first_filled, first_line_match, first_match, has_cjk, is_bilingual, matches_any, settle, strip, text
 
 NAVIGATION_LINES = (r"^Home$", r"^About$", r"^Contact$", r"^CV$", r"^Back$", r"^Next$", r"^Prev(?:ious)?$", r"^\d+\s*/\s*\d+$", r"^Filed under.*", r"^(?:←|→|<|>)+$", r"^©.*")
 
@@ -65,10 +65,11 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     """A work record for each parsed page that has a title: fields by tags, position and patterns of its lines."""
     bilingual = split_bilingual("raw_title")
     df = parsed.filter(F.col("raw_title") != "").withColumns({"_l": content_lines(F.col("lines")), "_t": bilingual})
+    df = settle(df)
     title, cn = F.col("_t.title"), F.col("_t.title_cn")
     led = _first(F.slice("_l", 1, 10), lambda x: (F.length(x) <= 80) & F.contains(x, F.lit("/")) & F.startswith(x, title) & has_cjk(x))
     df = df.withColumns({"title": title, "title_cn": F.when(cn != "", cn).otherwise(split_bilingual(led)["title_cn"]), "year": year_of(F.col("tags"), F.col("_l"))})
-    df = df.withColumn("_c", F.filter("_l", lambda x: (F.length(x) < 150) & (x != F.col("year"))))
+    df = settle(settle(df).withColumn("_c", F.filter("_l", lambda x: (F.length(x) < 150) & (x != F.col("year")))))
     by_line = _first(F.col("_c"), lambda x: is_type_line(x, artist) & ~is_credits_line(x))
     joined = F.array_join("_c", "\n")
     materials = _first(F.col("_c"), lambda x: is_materials_line(x, F.col("title"), F.col("title_cn")))
@@ -87,7 +88,7 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
             "description_cn": F.array_join(F.filter(prose, is_language_cn), "\n\n"), "description_en": F.array_join(F.filter(prose, lambda x: ~is_language_cn(x)), "\n\n"),
         }
     )
-    df = df.withColumn("_n", normalize_type(F.when((F.col("_type") == "") & (F.col("video_link") != ""), F.lit("Video")).otherwise(F.col("_type"))))
+    df = settle(settle(df).withColumn("_n", normalize_type(F.when((F.col("_type") == "") & (F.col("video_link") != ""), F.lit("Video")).otherwise(F.col("_type")))))
     return df.select(
         "url", "title", "title_cn", normalize_year("year").alias("year"), F.col("_n.type").alias("type"), first_filled("_m", "_n.materials").alias("materials"), "size", "duration",
         "credits", "description_en", "description_cn", "video_link", "images", "high_res_images", F.lit("local").alias("source"),
