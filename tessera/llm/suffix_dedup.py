@@ -35,7 +35,7 @@ class Repeats:
     range of the sort; ranges are max_parts at most, and the splitters come from a sample of sample suffixes for each."""
 
     length: int = 100
-    anchor: int = 50
+    anchor: int = 40
     seed: int = 13
     part: int = 100_000
     max_parts: int = 10_000
@@ -383,9 +383,9 @@ def remove_repeats(docs: DataFrame, params: Repeats | None = None, id_col: str =
     joined = texts.join(marks, "key", "left").select(
         "key", "id", F.octet_length("t").cast("long").alias("n_bytes"), F.when(F.col("marks").isNull(), F.sha2("t", 256)).alias("sha"), F.when(F.col("marks").isNotNull(), F.col("t")).alias("t"), "marks"
     )
-    table = keep(joined, "suspects")
+    table = keep(joined, "suspects", compression="zstd")
     suspects = table.filter("marks IS NOT NULL")
-    fragments = keep(_fragment_rows(suspects.select("key", "t", "marks"), params), "fragments")
+    fragments = keep(_fragment_rows(suspects.select("key", "t", "marks"), params), "fragments", compression="zstd")
     firsts = keep(fragments.groupBy("anchor", "fragment").agg(F.min(F.struct("key", "lo", "hi")).alias("first"), F.count("*").alias("n")), "firsts")
     copies = firsts.filter("n > 1").select("anchor", "fragment", "first")
     whole = fragments.join(copies, ["anchor", "fragment"]).filter((F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo")))
@@ -395,9 +395,9 @@ def remove_repeats(docs: DataFrame, params: Repeats | None = None, id_col: str =
     spans = whole.select("key", F.col("lo").alias("a"), (F.col("hi") + params.length).alias("b"))
     if total:
         of_doc = open_.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-        bounded = keep(suspects.select("key", "t").join(of_doc, "key"), "bounded")
+        bounded = keep(suspects.select("key", "t").join(of_doc, "key"), "bounded", compression="zstd")
         splitters = _splitters(bounded, total, params)
-        runs = keep(_runs(bounded, splitters, params), "runs")
+        runs = keep(_runs(bounded, splitters, params), "runs", compression="zstd")
         starts = runs.filter("part < 0").select("key", "start").unionByName(_repeated(runs.filter("part >= 0"), len(splitters) + 1, params))
         spans = spans.unionByName(starts.select("key", F.col("start").alias("a"), (F.col("start") + params.length).alias("b")))
     of_doc = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

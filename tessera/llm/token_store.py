@@ -204,13 +204,13 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
     width = np.dtype(dtype).itemsize
     encoded = keep(_recipes(texts, fmt, dtype), "encoded", compression="zstd")
     # Which chunks are shared, and who owns them: digests alone travel.
-    recipes = encoded.select("id", "root", "digests").distinct()
+    recipes = encoded.select("id", "root", "digests")
     chunks = recipes.select("id", "root", F.posexplode("digests").alias("idx", "digest"))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("id", "root", "idx")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
     shared = chunks.join(owners, "digest")
     own = F.struct("id", "root", "idx").eqNullSafe(F.col("owner"))
     flags = shared.groupBy("id", "root").agg(
-        F.sort_array(F.collect_list(F.when(~own, F.col("idx")))).alias("foreign"), F.sort_array(F.collect_list(F.when(own, F.col("idx")))).alias("lent")
+        F.sort_array(F.collect_set(F.when(~own, F.col("idx")))).alias("foreign"), F.sort_array(F.collect_set(F.when(own, F.col("idx")))).alias("lent")
     )
     # Flags meet their documents in the one sort by id, and packs are written from it.
     none = F.lit(None)
