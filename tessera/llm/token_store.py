@@ -89,11 +89,11 @@ class Encoder:
     """Ids of whole texts. This tokenizer never joins what white space parts, so words are encoded once while they stay
     in a bounded cache: new words of a batch as one text, told apart by their offsets. Texts are UTF-8 bytes."""
 
-    def __init__(self, fmt: StoreFormat, dtype: str, cache: int = 1_000_000, together: int = 2000):
+    def __init__(self, fmt: StoreFormat, dtype: str, cache: int = 700_000, together: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit, self.together = Tokenizer.from_file(fmt.tokenizer), {}, cache, together
+        self.tokenizer, self.known, self.old, self.limit, self.together = Tokenizer.from_file(fmt.tokenizer), {}, {}, cache, together
         self.dtype = np.dtype(dtype)
         self.end = np.array([fmt.end_id], self.dtype).tobytes()
 
@@ -122,11 +122,11 @@ class Encoder:
         for i in range(0, len(texts), 256):
             lists = [t.split() for t in texts[i : i + 256]]
             new = {w for words in lists for w in words if w not in known}
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = {w for words in lists for w in words}
-            if new:
-                self.learn(list(new))
+            if len(known) + len(new) > self.limit:  # what is in use moves on, the rest is forgotten a generation later
+                self.old, self.known = known, {}
+                known, new = self.known, {w for words in lists for w in words}
+            known.update((w, self.old[w]) for w in new if w in self.old)
+            self.learn([w for w in new if w not in known])
             for words in lists:
                 yield np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, self.dtype)
 
