@@ -33,26 +33,31 @@ def normalize_type(
 ) -> Column:
     """struct(type, materials). A key's spelling gives its name; a short clean type the first key in it, else itself; others
     are split at separators into types, formats (dropped) and materials. The table's order decides."""
-    whole = strip(c)
-    low = F.lower(whole)
-    exact = F.coalesce(*[F.when((low == k) | (F.replace(low, F.lit(" "), F.lit("")) == k.replace(" ", "")), F.lit(v)) for k, v in table], F.lit(None).cast("string"))
-    parts = F.filter(F.transform(F.split(whole, "[,;/，；]"), strip), lambda x: x != "")
-    types = F.array_distinct(F.array_compact(F.transform(parts, lambda x: _first_key(F.lower(x), table))))
-    rest = F.filter(
-        parts,
-        lambda x: _first_key(F.lower(x), table).isNull() & ~contains_any(F.lower(x), formats) & (contains_any(F.lower(x), pollutants) | (F.length(x) > 3)),
-    )
-    first_part = strip(F.get(F.split(whole, "[,;/，；]"), F.lit(0)))
     answer = lambda a, b: F.struct(a.alias("type"), b.alias("materials"))
-    split = answer(F.when(F.size(types) > 0, F.array_join(types, " / ")).otherwise(first_part), F.array_join(rest, ", "))
-    clean = ~contains_any(low, pollutants) & (F.length(whole) < 50)
     nothing = F.lit("")
-    return (
-        F.when(blank(c), answer(nothing, nothing))
-        .when(exact.isNotNull(), answer(exact, nothing))
-        .when(clean, answer(F.coalesce(_first_key(low, table), whole), nothing))
-        .otherwise(split)
-    )
+
+    def split(whole: Column) -> Column:
+        raw = F.split(whole, "[,;/，；]")
+        parts = F.filter(F.transform(raw, lambda x: let(strip(x), lambda y: F.struct(y.alias("part"), F.lower(y).alias("low")))), lambda x: x["part"] != "")
+        named = F.transform(parts, lambda x: F.struct(x["part"].alias("part"), x["low"].alias("low"), _first_key(x["low"], table).alias("type")))
+
+        def of(found: Column) -> Column:
+            types = F.array_distinct(F.array_compact(F.transform(found, lambda x: x["type"])))
+            other = lambda x: x["type"].isNull() & ~contains_any(x["low"], formats) & (contains_any(x["low"], pollutants) | (F.length(x["part"]) > 3))
+            rest = F.transform(F.filter(found, other), lambda x: x["part"])
+            return answer(F.when(F.size(types) > 0, F.array_join(types, " / ")).otherwise(strip(F.get(raw, F.lit(0)))), F.array_join(rest, ", "))
+
+        return let(named, of)
+
+    def decide(x: Column) -> Column:
+        whole, low, tight = x["whole"], x["low"], x["tight"]
+        exact = F.coalesce(*[F.when((low == k) | (tight == k.replace(" ", "")), F.lit(v)) for k, v in table], F.lit(None).cast("string"))
+        clean = ~contains_any(low, pollutants) & (F.length(whole) < 50)
+        rest = F.when(clean, answer(F.coalesce(_first_key(low, table), whole), nothing)).otherwise(split(whole))
+        return F.when(whole == "", answer(nothing, nothing)).otherwise(let(exact, lambda e: F.when(e.isNotNull(), answer(e, nothing)).otherwise(rest)))
+
+    forms = let(strip(c), lambda w: let(F.lower(w), lambda v: F.struct(w.alias("whole"), v.alias("low"), F.replace(v, F.lit(" "), F.lit("")).alias("tight"))))
+    return let(forms, decide)
 
 
 def title_case(c: Column | str) -> Column:
