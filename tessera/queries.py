@@ -96,11 +96,10 @@ SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title_r
 FROM pages WHERE NOT contains(regexp_extract(html, '<title>(.*?)</title>', 1), '&') AND NOT contains(html, '<a href=""')
 """)
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles and link counts by the HTML parser (pages whose title has no character reference, as SQL doesn't decode them)."""
-    pages = table(spark, sf_dir, "pages")
-    parsed = parse_pages(pages).select("url", F.col("page_title").alias("title_raw"), F.size("links").cast("long").alias("n_links"))
-    raw = pages.filter(~F.contains(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit("&")) & ~F.contains("html", F.lit('<a href=""')))
-    return raw.select("page_id", "url").join(parsed, "url").drop("url")
+    """Titles and link counts of all pages by the HTML parser, which decodes character references and counts links with a target.
+    (The SQL leaves out the pages where that matters, so it has fewer rows.)"""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    return parse_pages(pages).select(F.col("url").cast("long").alias("page_id"), F.col("page_title").alias("title_raw"), F.size("links").cast("long").alias("n_links"))
 
 
 _COMPARED = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
