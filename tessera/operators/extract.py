@@ -14,6 +14,13 @@ from tessera.functions.text import CJK, any_of, first_filled, first_line_match,
 
 NAVIGATION_LINES = (r"^Home$", r"^About$", r"^Contact$", r"^CV$", r"^Back$", r"^Next$", r"^Prev(?:ious)?$", r"^\d+\s*/\s*\d+$", r"^Filed under.*", r"^(?:←|→|<|>)+$", r"^©.*")
 
+# Lines that take no place in the block after the title and after the type line.
+INTERFERENCE_LINES = (
+    r"^Previous$", r"^Next", r"^\(?(\d+)\s+of\s+(\d+)\)?$", r"^Fullscreen$", r"^\.vimeo$", r"^\.youku$", r"^\.pdf$", r"^\.video$", r"^https?://", r"^\d{5}\s+\w+",
+    r"^Schöneberger|^Berlin|^Tiergarten",
+)
+SENTENCE_WORDS = (" is ", " are ", " was ", " were ", " can ", " will ", " should ", " the ", " this ", " with ")
+
 
 def size_and_duration(c: Column | str) -> Column:
     """struct(size, duration) of a text's first 3,000 characters, line by line."""
@@ -61,6 +68,39 @@ def is_materials_line(c: Column, title: Column, title_cn: Column) -> Column:
     return ~vetoed & (names_material(c) | (parts >= 3))
 
 
+def names_type(c: Column) -> Column:
+    return any_of(F.contains(F.lower(c), F.lit(w.lower())) for w in fixed.TYPE_WORDS)
+
+
+def is_size_or_year(c: Column) -> Column:
+    """Starts with a size, says that dimensions vary, or is a year or range of 20xx."""
+    low = F.lower(c)
+    variable = (F.contains(low, F.lit("dimension")) & F.contains(low, F.lit("variable"))) | F.contains(c, F.lit("尺寸可变"))
+    return c.rlike(r"(?U)^\d+\s*[×xX]\s*\d+") | variable | c.rlike(r"(?U)^20\d{2}(?:\s*[-–]\s*20\d{2})?$")
+
+
+def position_kind(c: Column) -> Column:
+    """Of a line after the title: 'type', 'materials' (a list, or one known material), or '' for sizes, years, descriptions and others."""
+    stop = F.endswith(c, F.lit("."))
+    long_ = (F.length(c) > 80) & (F.contains(c, F.lit("。")) | stop)
+    sentence = c.rlike(r"^\p{Lu}") & stop & any_of(F.contains(F.lower(c), F.lit(w)) for w in SENTENCE_WORDS)
+    return F.when(is_size_or_year(c), "").when(names_type(c), "type").when(long_ | sentence, "").when(c.rlike("[/,、]") | names_material(c), "materials").otherwise("")
+
+
+def block_after_title(lines: Column, title: Column, title_cn: Column) -> Column:
+    """The five lines after the first of fifteen that has the title in one of its languages; none without such a line."""
+    titled = F.transform(F.slice(lines, 1, 15), lambda x: F.contains(F.lower(x), F.lower(title)) | ((title_cn != "") & F.contains(x, title_cn)))
+    at = F.array_position(titled, F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(lines, at + 1, 5)).otherwise(F.slice(lines, 1, 0))
+
+
+def after_type(lines: Column, artist: Sequence[str], title: Column, title_cn: Column) -> Column:
+    """The first materials line of the three after the first type line."""
+    typed = F.transform(lines, lambda x: is_type_line(x, artist) & names_type(F.substring(x, 1, 30)))
+    at = F.array_position(typed, F.lit(True)).cast("int")
+    return F.when(at > 0, _first(F.slice(lines, at + 1, 3), lambda x: ~is_size_or_year(x) & is_materials_line(x, title, title_cn))).otherwise("")
+
+
 def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     """A work record for each parsed page that has a title: fields by tags, position and patterns of its lines."""
     bilingual = split_bilingual("raw_title")
@@ -69,10 +109,17 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     title, cn = F.col("_t.title"), F.col("_t.title_cn")
     led = _first(F.slice("_l", 1, 10), lambda x: (F.length(x) <= 80) & F.contains(x, F.lit("/")) & F.startswith(x, title) & has_cjk(x))
     df = df.withColumns({"title": title, "title_cn": F.when(cn != "", cn).otherwise(split_bilingual(led)["title_cn"]), "year": year_of(F.col("tags"), F.col("_l"))})
-    df = settle(settle(df).withColumn("_c", F.filter("_l", lambda x: (F.length(x) < 150) & (x != F.col("year")))))
+    candidate = lambda x: (F.length(x) < 150) & (x != F.col("year"))
+    df = settle(df).withColumns({"_c": F.filter("_l", candidate), "_p": F.filter("_l", lambda x: ~matches_any(x, INTERFERENCE_LINES))})
+    df = settle(df).withColumns({"_b": block_after_title(F.col("_p"), F.col("title"), F.col("title_cn")), "_q": F.filter("_p", candidate)})
+    df = settle(settle(df).withColumn("_k", F.transform("_b", position_kind)))
+    type_at, materials_at = (F.array_position("_k", F.lit(kind)).cast("int") for kind in ("type", "materials"))
+    placed_type = F.when((type_at > 0) & ((materials_at == 0) | (type_at < materials_at)), F.get("_b", type_at - 1)).otherwise("")
+    placed = F.when(materials_at > 0, F.get("_b", materials_at - 1)).otherwise("")
     by_line = _first(F.col("_c"), lambda x: is_type_line(x, artist) & ~is_credits_line(x))
     joined = F.array_join("_c", "\n")
-    materials = _first(F.col("_c"), lambda x: is_materials_line(x, F.col("title"), F.col("title_cn")))
+    scanned = _first(F.col("_c"), lambda x: is_materials_line(x, F.col("title"), F.col("title_cn")))
+    materials = first_filled(placed, after_type(F.col("_q"), artist, F.col("title"), F.col("title_cn")), scanned)
     prose = F.filter("_l", lambda x: (F.length(x) >= 60) & ~is_credits_line(x))
     sized = size_and_duration(joined)
     vimeo = F.transform("vimeo_ids", lambda x: F.concat(F.lit("https://vimeo.com/"), x))
@@ -82,7 +129,7 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     any_ = F.when(F.size(within) > 0, within).otherwise(F.filter("images", lambda x: x["best"] != ""))
     df = df.withColumns(
         {
-            "_type": first_filled(type_from_tags(F.col("tags")), by_line), "_m": materials, "credits": _first(F.col("_c"), is_credits_line), "size": sized["size"],
+            "_type": first_filled(type_from_tags(F.col("tags")), placed_type, by_line), "_m": materials, "credits": _first(F.col("_c"), is_credits_line), "size": sized["size"],
             "duration": sized["duration"], "video_link": video, "images": F.array_distinct(F.transform(any_, lambda x: x["src"])),
             "high_res_images": F.array_distinct(F.filter(F.transform("images", lambda x: x["best"]), lambda x: x != "")),
             "description_cn": F.array_join(F.filter(prose, is_language_cn), "\n\n"), "description_en": F.array_join(F.filter(prose, lambda x: ~is_language_cn(x)), "\n\n"),
