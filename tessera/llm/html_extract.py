@@ -25,8 +25,10 @@ from tessera.llm.common import doc_text
 from tessera.llm.html_training import labelled_pages
 
 # HTML's elements by how they are parsed and laid out.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option".split())
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select option".split())
 TEXT_ONLY = frozenset("script style textarea title iframe noscript".split())
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+SCOPED = frozenset("template object svg math select".split())  # closed by their own end tag or an outer block's only
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -59,8 +61,8 @@ def parse(source: str) -> list[Node]:
     nodes = [Node("", -1, "")]
     stack: list[tuple[str, int]] = [("", 0)]  # open elements and the block each one is in
     run: list[str] = []
-    linked, in_link, place, at, skip = 0, 0, 0, 0, ""
-    depth = 0
+    linked, in_link, place, at, skip, in_head = 0, 0, 0, 0, "", False
+    inner, outer = Counter(), Counter()  # elements open within the skipped one; inline elements open outside of it
 
     def flush() -> None:
         nonlocal run, linked, place
@@ -75,14 +77,27 @@ def parse(source: str) -> list[Node]:
                 place += 1
             run, linked = [], 0
 
-    for m in TOKEN.finditer(source):
+    def parent_ends(name: str, closing: bool) -> bool:
+        """The tag closes, itself or by implication, an element around the skipped one."""
+        loose = skip not in SCOPED
+        if closing:
+            return name == "head" or (name in BLOCK and any(t == name for t, _ in stack)) or (loose and outer[name] > 0)
+        if name == "body":
+            return skip != "template"
+        if not loose:
+            return False
+        if name in CLOSES_P and stack[-1][0] == "p" and not any(inner[x] > 0 for x in BLOCK):
+            return True
+        return name in SAME_KIND and not any(inner[x] > 0 for x in SAME_KIND[name] | SCOPE[name]) and _same_kind(stack, name) > 0
+
+    while m := TOKEN.search(source, at):
         begin = m.start()
-        if begin < at:
-            continue
         if not skip and begin > at:
-            run.append(source[at:begin])
-            if in_link:
-                linked += begin - at
+            in_head = in_head and source[at:begin].isspace()
+            if not in_head:
+                run.append(source[at:begin])
+                if in_link:
+                    linked += begin - at
         at = m.end()
         name = m[2]
         if name is None:
@@ -90,12 +105,37 @@ def parse(source: str) -> list[Node]:
         name = name.lower()
         closing = m[1] == "/"
         if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
+            if closing and inner[name] > 0:
+                inner[name] -= 1
+                continue
+            if closing and name == skip:
+                skip = ""
+                continue
+            if not closing and name in TEXT_ONLY and not m[3].endswith("/"):
+                if skip not in ("svg", "math") or _find_end(source, name, at) >= 0:
+                    at = _after(source, name, at)
+                continue
+            if not parent_ends(name, closing):
+                if name == skip == "option":
+                    inner.clear()
+                elif not closing and name not in VOID and not m[3].endswith("/"):
+                    inner[name] += 1
+                continue
+            skip = ""
+        if name == "head":
+            in_head = not closing
             continue
+        if in_head:
+            if closing:
+                in_head = name not in ("body", "html", "br")
+            elif name == "noframes":
+                at = _after(source, name, at)
+                continue
+            else:
+                in_head = name in HEAD
         if closing:
+            if outer[name] > 0:
+                outer[name] -= 1
             if name == "a":
                 in_link = 0
             elif name in BLOCK:
@@ -115,26 +155,26 @@ def parse(source: str) -> list[Node]:
                 close = source.find(">", at)
                 at = len(source) if close < 0 else close + 1
             else:
-                skip, depth = name, 1
+                skip = name
+                inner.clear()
             continue
         if name == "a":
             in_link = 1
         elif name in BREAKS:
             run.append(" ")
         if name not in BLOCK:
+            if name not in VOID:
+                outer[name] += 1
             continue
         flush()
         if name in CLOSES_P and stack[-1][0] == "p":
             stack.pop()
         if name in SAME_KIND:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SAME_KIND[name]:
-                    del stack[i:]
-                    if name in ("tr",) and stack[-1][0] == "tr":
-                        stack.pop()
-                    break
-                if stack[i][0] in SCOPE[name]:
-                    break
+            i = _same_kind(stack, name)
+            if i:
+                del stack[i:]
+                if name in ("tr",) and stack[-1][0] == "tr":
+                    stack.pop()
         nodes.append(Node(name, stack[-1][1], m[3]))
         stack.append((name, len(nodes) - 1))
     if not skip and at < len(source):
@@ -143,6 +183,23 @@ def parse(source: str) -> list[Node]:
     return nodes
 
 
+def _same_kind(stack: list[tuple[str, int]], name: str) -> int:
+    """The place of the open element that a start tag of this name closes, or 0."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i][0] in SAME_KIND[name]:
+            return i
+        if stack[i][0] in SCOPE[name]:
+            break
+    return 0
+
+
+def _after(source: str, name: str, at: int) -> int:
+    """The place after the end tag of an element whose content is text only."""
+    end = _find_end(source, name, at)
+    close = source.find(">", end) if end >= 0 else -1
+    return len(source) if close < 0 else close + 1
+
+
 def _find_end(source: str, name: str, at: int) -> int:
     m = re.compile(f"</{name}", re.I).search(source, at)
     return m.start() if m else -1
