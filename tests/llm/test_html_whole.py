@@ -25,3 +25,8 @@ def test_text_after_unclosed_elements(page):
 
 def test_skipped_elements_have_no_text():
     assert texts("<head><title>no</title><style>no</style></head><div><video><p>no</p></video><select><option>no<option>no</select><object><div>no</div></object></div>") == []
+
+
+def test_end_tags_are_found_after_characters_that_lengthen_in_lower_case():
+    page = "<p>" + "İ" * 30 + "</p><script>x</script><p>Kept.</p><p>Too.</p>"
+    assert texts(page) == texts(page + " " * (1 << 16)) == ["İ" * 30, "Kept.", "Too."]
