@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -48,14 +49,57 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(spark: SparkSession, *paths: str) -> None:
-    """Removes tables that no later step reads."""
+def delete(spark: SparkSession, *paths: str) -> None:
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Kept tables of one run of an operator. What no later step reads is dropped as soon as that is so; what the lazily
+    returned result reads stays until the shared folder is cleared."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, {}
+
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.options(**options).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(kept)] = (kept, path)
+        return kept
+
+    def keep_bucketed(self, df: DataFrame, name: str, buckets: int, key: str, **options: str) -> DataFrame:
+        """As keep, in buckets by key: joins by it read the table where it lies instead of dealing it out again.
+
+        df should be dealt by key into as many partitions. The session's catalog knows the table while its plan is made.
+        """
+        path, table = fresh_path(self.spark, name), f"tessera_{uuid.uuid4().hex}"
+        df.write.options(**options).option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(table)
+        kept = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        self.tables[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        delete(self.spark, *(self.tables.pop(id(t))[1] for t in tables if id(t) in self.tables))
+
+    def release(self) -> None:
+        """Frees the shuffles of finished steps: Spark removes their files when the driver no longer refers to them, which
+        without a collection may be long after the operator's end."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
