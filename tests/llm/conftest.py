@@ -22,7 +22,7 @@ def edge_rows():
 @pytest.fixture(scope="session")
 def edges(spark):
     """Nulls, empty and very long texts, ties, a repeated row, a missing id, and columns whose names clash with inner ones."""
-    clash = {c: f"'{c}'" for c in ("kept", "size", "digest", "key", "t", "n", "bucket", "marks", "component_id", "h", "rank", "id", "rep", "first")}
+    clash = {c: f"'{c}'" for c in ("kept", "size", "digest", "key", "t", "n", "bucket", "marks", "component_id", "h", "rank", "id", "rep", "first", "own", "base", "far", "_t", "_w", "_base", "_far", "_left", "_common", "_lang", "_id", "_copies", "_copy", "_gone", "gone", "_gone_id", "_gone_digest", "_digest", "target", "taken", "start")}
     df = spark.createDataFrame(edge_rows(), "doc_id long, text string, lang string, source string")
     return df.selectExpr("*", *[f"{v} AS `{k}`" for k, v in clash.items()])
 
