@@ -11,7 +11,9 @@ Files are written in ascending order of document id: one range of ids a task, ru
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,17 +88,59 @@ def id_type(fmt: StoreFormat) -> str:
     return "<u2" if max(Tokenizer.from_file(fmt.tokenizer).get_vocab_size(), fmt.end_id + 1) <= 1 << 16 else "<u4"
 
 
+#: Normalizer and pre-tokenizer for which texts can be encoded word by word (below).
+BY_WORDS = (
+    ["NFC", "Replace", "Lowercase"],
+    "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+)
+
+
 class Encoder:
-    """Ids of whole texts. This tokenizer never joins what white space parts, so words are encoded once while they stay
-    in a bounded cache: new words of a batch as one text, told apart by their offsets. Texts are UTF-8 bytes."""
+    """Ids of whole texts; texts come as Arrow strings.
+
+    Any tokenizer encodes whole texts. One whose file has the rules of BY_WORDS joins nothing that its pattern parts; then
+    texts are cut into pieces here, each piece of a slice is looked up once, and new pieces go to the tokenizer's model. Where a text has other characters than PLAIN's, whose
+    normal form and classes are the same everywhere, or a special token's sign, its words that do are encoded whole. What
+    has been looked up is kept, up to a bound.
+    """
+
+    #: ASCII, Latin letters and common punctuation; white space is ASCII's.
+    PLAIN = "!-~\u00a1-\u024f\u2010-\u2027"
+    LETTER, NUMBER = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 
-    def __init__(self, fmt: StoreFormat, dtype: str, cache: int = 700_000, together: int = 2000):
+    def __init__(self, fmt: StoreFormat, dtype: str, cache: int = 500_000, slice: int = 1 << 23):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old, self.limit, self.together = Tokenizer.from_file(fmt.tokenizer), {}, {}, cache, together
-        self.dtype = np.dtype(dtype)
-        self.end = np.array([fmt.end_id], self.dtype).tobytes()
+        self.tokenizer, self.dtype, self.limit, self.slice = Tokenizer.from_file(fmt.tokenizer), np.dtype(dtype), cache, slice
+        self.end = np.array([fmt.end_id], self.dtype)
+        self.known: dict[str, bytes] = {"": b""}
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = self._by_words(rules)
+        if self.by_words:
+            self.signs = re.compile("|".join(re.escape(x["content"]) for x in rules["added_tokens"]) or "(?!)").search
+            self.plain_text, self.plain_word = re.compile(f"[{self.PLAIN}\\t-\\r ]*").fullmatch, re.compile(f"[{self.PLAIN}]+").fullmatch
+            # Runs of letters are what is left between the others.
+            self.others = f"('s|'t|'re|'ve|'m|'ll|'d|[{self.NUMBER}]|[^{self.LETTER}{self.NUMBER}\\t-\\r ]+)"
+            self.model = self.tokenizer.model
+            # The signs that stand for bytes: printable ones for themselves, the others for those after U+00FF, in order.
+            own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+            rest = [b for b in range(256) if b not in own]
+            self.signs_of_bytes = {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    @staticmethod
+    def _by_words(rules: dict) -> bool:
+        normal, cuts, model = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}, rules["model"]
+        steps = normal.get("normalizers") or []
+        parts = cuts.get("pretokenizers") or []
+        return (
+            [x["type"] for x in steps] == BY_WORDS[0] and steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " "
+            and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0].get("pattern") == {"Regex": BY_WORDS[1]} and parts[0].get("behavior") == "Removed" and bool(parts[0].get("invert"))
+            and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")
+            and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("ignore_merges")
+            and not rules.get("truncation") and not rules.get("padding")
+            and all(x["content"] and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in rules.get("added_tokens", []))
+        )
 
     @classmethod
     def of_process(cls, fmt: StoreFormat, dtype: str) -> Encoder:
@@ -106,29 +151,70 @@ class Encoder:
             kept[key] = cls(fmt, dtype)
         return kept[key]
 
-    def learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), self.together):
-            words = [w.decode() for w in new[i : i + self.together]]
-            encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in words])
-            owner = np.searchsorted(ends, np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids)), side="right")
-            cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-            data, width = np.array(encoded.ids, self.dtype).tobytes(), self.dtype.itemsize
-            for w, a, b in zip(new[i : i + self.together], cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = data[a * width : b * width]
-
-    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, texts: list[str]) -> pa.ListArray:
+        """Each text's pieces; words that are encoded whole come as they are, after a sign that no piece has."""
+        plain = [self.plain_text(t) is not None and not self.signs(t) for t in texts]
+        parts = [t.lower() if ok else "" for t, ok in zip(texts, plain, strict=True)]
+        cut = pc.replace_substring_regex(pa.array(parts, pa.large_string()), self.others, " \\1 ")
+        if not all(plain):  # rare: their words go in between again
+            out = cut.to_pylist()
+            for i, ok in enumerate(plain):
+                if not ok:
+                    words = [w for w in re.split("[\t-\r ]+", texts[i]) if w]
+                    own = [self.plain_word(w) is None or self.signs(w) is not None for w in words]
+                    pieces = pc.replace_substring_regex(pa.array([w.lower() for w in words], pa.large_string()), self.others, " \\1 ").to_pylist()
+                    out[i] = " ".join("\x01" + w if o else p for w, o, p in zip(words, own, pieces, strict=True))
+            cut = pa.array(out, pa.large_string())
+        return pc.ascii_split_whitespace(cut)
+
+    def _learn(self, new: list[str]) -> None:
+        words = [u for u in new if u[0] == "\x01"]
+        self.known.update(zip(words, self._whole([w[1:] for w in words]), strict=True))
+        ids: list[int] = []
+        ends = [0]
+        tokenize, signs = self.model.tokenize, self.signs_of_bytes
+        pieces = [u for u in new if u[0] != "\x01"]
+        for p in pieces:
+            ids += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
+            ends.append(len(ids))
+        data, width = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
+        self.known.update((p, data[a * width : b * width]) for p, a, b in zip(pieces, ends[:-1], ends[1:], strict=True))
+
+    def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self.by_words:
+            for data in self._whole(texts):
+                yield np.concatenate([np.frombuffer(data, self.dtype), self.end])
+            return
+        units = self._cut(texts)
+        bounds = units.offsets.to_numpy() - units.offsets[0].as_py()
+        coded = units.flatten().dictionary_encode()
+        codes, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
         known = self.known
-        for i in range(0, len(texts), 256):
-            lists = [t.split() for t in texts[i : i + 256]]
-            new = {w for words in lists for w in words if w not in known}
-            if len(known) + len(new) > self.limit:  # what is in use moves on, the rest is forgotten a generation later
-                self.old, self.known = known, {}
-                known, new = self.known, {w for words in lists for w in words}
-            known.update((w, self.old[w]) for w in new if w in self.old)
-            self.learn([w for w in new if w not in known])
-            for words in lists:
-                yield np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, self.dtype)
+        self._learn([u for u in vocabulary if u not in known])
+        found = [known[u] for u in vocabulary]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        table, at = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ids = table[np.repeat(at[codes] - before[:-1], lengths) + np.arange(before[-1])]
+        ends = before[bounds].tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield np.concatenate([ids[a:b], self.end])
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id, slice by slice of so many bytes (one text at least)."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            done = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, done + self.slice, side="right")))
+            yield from self._slice(texts.slice(begin, end - begin).to_pylist())
+            begin = end
 
 
 class Cutter:
@@ -175,9 +261,8 @@ def _recipes(texts: DataFrame, fmt: StoreFormat, dtype: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, cutter = Encoder.of_process(fmt, dtype), Cutter(fmt)
         for batch in batches:
-            texts_ = [x.as_py() for x in batch.column(1).cast(pa.binary())]
             out, size = [], 0
-            for id_, ids in zip(batch.column(0).to_pylist(), encode(texts_), strict=True):
+            for id_, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 parts, lengths = cut_up(ids, cutter)
                 digests = [digest(c) for c in parts]
                 out.append((id_, merkle_root(digests), digests, lengths, ids.tobytes()))
