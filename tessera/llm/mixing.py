@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, keep, running_total, word_count
+from tessera.llm.common import doc_text, keep, running_total, unused, word_count
 
 GOLDEN = 0.6180339887498949
 #: Cells that slots and the sources' shares of [0, 1) are matched by.
@@ -137,7 +137,8 @@ def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     Rows that share an id are taken equally often: as often as the one taken most.
     """
     mix = mix or Mix()
-    copies = F.max(F.floor(F.coalesce(F.try_divide(F.col("taken").cast("double"), F.col("size").cast("double")), F.lit(0.0)) + 0.5)).cast("int")
-    times = mix_sources(docs, mix).groupBy(F.col("doc_id").alias("_id")).agg(copies.alias("_copies")).filter("_copies > 0")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, copies, copy = (unused(docs, c) for c in ("_id", "_copies", "_copy"))
+    most = F.max(F.floor(F.coalesce(F.try_divide(F.col("taken").cast("double"), F.col("size").cast("double")), F.lit(0.0)) + 0.5)).cast("int")
+    times = mix_sources(docs, mix).groupBy(F.col("doc_id").alias(id_)).agg(most.alias(copies)).filter(F.col(copies) > 0)
+    out = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

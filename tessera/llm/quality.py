@@ -131,9 +131,10 @@ def _by_language(lang: Column, values: Mapping[str, Sequence]) -> Column:
     return out
 
 
-def measured(docs: DataFrame, rules: Rules, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with struct columns _base (counts) and _far (class_distance, word_distance; null where not compared)."""
-    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+def measured(docs: DataFrame, rules: Rules, own: Sequence[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Struct columns own (those columns of docs, whatever their names), base (counts) and far (class_distance,
+    word_distance; null where not compared)."""
+    lang = F.col("_lang")
     common = {name: list(own) for name, own in rules.word_shares.items()}
     word_shares = {name: [float(x) for x in own.values()] + [1.0 - sum(own.values())] for name, own in rules.word_shares.items()}
     class_shares = {name: [float(x) for x in own] for name, own in rules.class_shares.items()}
@@ -163,7 +164,10 @@ def measured(docs: DataFrame, rules: Rules, text_col: str = "text", lang_col: st
             lambda x: removed(x, letters, lambda a: removed(a, capitals, lambda b: removed(b, digits, lambda c: removed(c, points, lambda d: counts(a, b, c, d))))),
         )
 
-    df = docs.withColumns({"_t": doc_text(text_col), "_common": _by_language(lang, common)})
+    df = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), doc_text(text_col).alias("_t"), (F.col(f"`{lang_col}`") if lang_col in docs.columns else F.lit(None)).cast("string").alias("_lang")
+    )
+    df = df.withColumn("_common", _by_language(lang, common))
     df = df.withColumns(
         {
             "_w": let(F.array_remove(F.split("_t", SPACES), ""), of_words),
@@ -184,14 +188,14 @@ def measured(docs: DataFrame, rules: Rules, text_col: str = "text", lang_col: st
         F.when(at(0) >= rules.min_chars, class_distance).alias("class_distance"),
         F.when(F.col("_w.n_words") >= rules.min_words, word_distance).alias("word_distance"),
     )
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], base.alias("_base"), far.alias("_far"))
+    return df.select("own", base.alias("base"), far.alias("far"))
 
 
 def verdict(rules: Rules) -> tuple[Column, Column]:
-    """(base_failed, kept) from _base and _far."""
-    base_failed = (F.col("_base.n_words") < rules.min_doc_words) | (100 * F.col("_base.n_repeat_words") > rules.max_repeat_percent * F.col("_base.n_words"))
-    near = (F.coalesce(F.col("_far.class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (
-        F.coalesce(F.col("_far.word_distance"), F.lit(0.0)) <= rules.max_word_distance
+    """(base_failed, kept) from base and far."""
+    base_failed = (F.col("base.n_words") < rules.min_doc_words) | (100 * F.col("base.n_repeat_words") > rules.max_repeat_percent * F.col("base.n_words"))
+    near = (F.coalesce(F.col("far.class_distance"), F.lit(0.0)) <= rules.max_class_distance) & (
+        F.coalesce(F.col("far.word_distance"), F.lit(0.0)) <= rules.max_word_distance
     )
     return base_failed, ~base_failed & near
 
@@ -204,11 +208,16 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "do
     """
     rules = rules or Rules()
     base_failed, kept = verdict(rules)
-    narrow = docs.select(*dict.fromkeys(c for c in (id_col, text_col, lang_col) if c in docs.columns))
-    return measured(narrow, rules, text_col, lang_col).select(id_col, "_base.*", base_failed.alias("base_failed"), kept.alias("kept"), "_far.*")
+    return measured(docs, rules, [id_col], text_col, lang_col).select("own.*", "base.*", base_failed.alias("base_failed"), kept.alias("kept"), "far.*")
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns, whatever they are called.
+
+    A null or empty text goes, as any text of under 50 words does; a null or unknown language is not compared; repeated
+    rows are judged each by itself; an empty table gives an empty one. The verdict passes a generator before it filters:
+    the optimizer would else push the filter below the projection and compute all counts once for each use of them.
+    """
     rules = rules or Rules()
-    return measured(docs, rules, text_col, lang_col).filter(verdict(rules)[1]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = measured(docs, rules, docs.columns, text_col, lang_col).select("own", verdict(rules)[1].alias("kept"))
+    return judged.select(F.inline(F.array(F.struct("own", "kept")))).filter("kept").select("own.*")
