@@ -1,10 +1,11 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Rows arrive in memtables (the scan's partitions). Each is flushed as a run: digests sorted, one entry for each digest and
-id, with a filter in its files (Parquet Bloom filters and the ranges of the sorted column). Compaction merges the runs of
-a level and keeps, for each digest, the identifier that stays and the number of rows. Every hit - a row whose digest
-another row has - is then held against the bytes of the row that stays; digests under which texts differ are grouped anew
-by the texts themselves.
+Batches of rows go through memtables: each flush writes sorted runs, one for each memtable, cut into shards by the digest's
+first digits so that a run is sorted across its files; every file carries the digests' Parquet Bloom filter and ranges, by
+which a lookup skips files and row groups. Compaction merges the runs of a level, fan_in at a time, into runs of the next
+one until a single run is left; an entry keeps, for its digest, the identifier that stays, the rows it stands for, and how
+many of them have that identifier. Every hit - a row whose digest another row has - is then held against the bytes of the
+row that stays; digests under which texts differ are grouped anew by the texts themselves.
 
 All of it is DataFrame operations. Groups of any size are handled by partial aggregation and by joins that Spark can
 split; no task or driver holds a group.
@@ -12,57 +13,101 @@ split; no task or driver holds a group.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, fresh_path, keep
+from tessera.llm.common import Scratch, doc_text, fresh_path, hex_digits, unused
+
+ENTRY = "digest binary, keep_id long, group_size long, n_keep long"
 
 
 class DigestIndex:
-    """Runs on disk by level. Level 0: flushed memtables; higher levels: compacted runs.
+    """Runs on disk by level: level 0 holds flushed memtables, higher ones compacted runs.
 
-    keep_largest tells which identifier of equal digests stays: the largest or the smallest.
+    keep_largest tells which identifier of equal digests stays: the largest or the smallest. memtable: rows of one, about;
+    fan_in: runs that a merge makes into one.
     """
 
-    def __init__(self, spark: SparkSession, keep_largest: bool = False, memtables: int = 8, fan_in: int = 8):
-        self.spark, self.keep_largest, self.memtables, self.fan_in = spark, keep_largest, memtables, fan_in
+    def __init__(self, spark: SparkSession, keep_largest: bool = False, memtable: int = 4_000_000, fan_in: int = 8):
+        self.spark, self.keep_largest, self.memtable, self.fan_in = spark, keep_largest, memtable, fan_in
         self.levels: list[list[str]] = [[]]
         self.rows = 0
 
-    def _filters(self, rows: int) -> dict[str, str]:
-        """Bloom filters of the size that a file's share of the rows needs; Parquet's own default is a megabyte a file."""
-        return {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(64, rows // (4 * self.memtables)))}
-
-    def flush(self, entries: DataFrame, rows: int) -> str:
-        """entries: digest binary, id, rows; rows: about how many. One sorted run for each memtable, written by one job."""
-        shard = F.substring(F.col("digest"), 1, 1)
-        merged = (
-            entries.withColumn("memtable", F.spark_partition_id() % self.memtables)
-            .groupBy("memtable", "digest", "id")
-            .agg(F.sum("rows").alias("rows"))
-            .withColumn("shard", F.conv(F.hex(shard), 16, 10).cast("int"))
-            .sortWithinPartitions("memtable", "shard", "digest", "id")
-        )
+    def _write(self, entries: DataFrame, runs: int, rows: int) -> list[str]:
+        """entries with their run's number: a folder for each run, sorted by shard and, within it, by digest."""
+        digits = hex_digits(rows // 50_000)  # shards of some hundred thousand rows and up, about the square root as many
+        sharded = entries.withColumn("shard", F.substring(F.lower(F.hex(F.substring("digest", 1, 4))), 1, digits))
+        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(64, rows // (runs * 16**digits)))}
         path = fresh_path(self.spark, "runs")
-        merged.write.options(**self._filters(rows)).partitionBy("memtable").parquet(path)
-        self.levels[0].append(path)
-        self.rows += rows
-        return path
-
-    def entries(self) -> DataFrame:
-        """All flushed entries: digest, id, rows."""
-        return self.spark.read.schema("digest binary, id long, rows long, shard int, memtable int").parquet(*self.levels[0]).select("digest", "id", "rows")
+        sharded.repartition("run", "shard").sortWithinPartitions("run", "shard", "digest").write.options(**options).partitionBy("run", "shard").parquet(path)
+        return [f"{path}/run={i}" for i in range(runs)]
+
+    def _read(self, paths: Sequence[str], number: int = 0) -> DataFrame:
+        parts = [self.spark.read.schema(ENTRY + ", shard string").option("basePath", p).parquet(p) for p in paths if self._there(p)]
+        if not parts:
+            return self.spark.createDataFrame([], ENTRY).withColumn("run", F.lit(number))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.drop("shard").withColumn("run", F.lit(number))
+
+    def _there(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def _merged(self, entries: DataFrame) -> DataFrame:
+        """One entry for each run and digest."""
+        stays = F.max if self.keep_largest else F.min
+        # n_keep adds up over entries of the identifier that stays; entries of another one count for the group alone.
+        each = entries.groupBy("run", "digest", "keep_id").agg(F.sum("group_size").alias("group_size"), F.sum("n_keep").alias("n_keep"))
+        by = F.max_by if self.keep_largest else F.min_by
+        return each.groupBy("run", "digest").agg(stays("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.coalesce(by("n_keep", "keep_id"), F.max("n_keep")).alias("n_keep"))
+
+    def flush(self, rows: DataFrame, n: int) -> None:
+        """rows: digest, id; n: how many, about. Rows are dealt to memtables by the partition that they arrive in."""
+        tables = max(1, -(-n // self.memtable))
+        entries = rows.select(
+            (F.spark_partition_id() % tables).alias("run"), "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("n_keep")
+        )
+        self.levels[0] += self._write(self._merged(entries), tables, n)
+        self.rows += n
 
     def compact(self) -> DataFrame:
-        """Merges all runs: digest, keep_id, group_size, n_keep (rows that have keep_id), sorted within its files."""
-        stays = F.max("id") if self.keep_largest else F.min("id")
-        by_id = F.max_by("rows", "id") if self.keep_largest else F.min_by("rows", "id")
-        each = self.entries().groupBy("digest", "id").agg(F.sum("rows").alias("rows"))
-        state = each.groupBy("digest").agg(stays.alias("keep_id"), F.sum("rows").alias("group_size"), by_id.alias("n_keep"))
-        path = fresh_path(self.spark, "run")
-        state.sortWithinPartitions("digest").write.options(**self._filters(self.rows)).parquet(path)
-        self.levels.append([path])
-        return self.spark.read.schema(state.schema).parquet(path)
+        """Merges level by level until one run holds all: digest, keep_id, group_size, n_keep."""
+        while sum(map(len, self.levels)) > 1:
+            level = next(i for i, runs in enumerate(self.levels) if runs)
+            if len(self.levels[level]) == 1:  # alone: it waits for the next level's runs
+                self._level(level + 1).extend(self.levels[level])
+                self.levels[level] = []
+                continue
+            runs = self.levels[level]
+            groups = [runs[i : i + self.fan_in] for i in range(0, len(runs), self.fan_in)]
+            entries = self._read(groups[0], 0)
+            for i, group in enumerate(groups[1:], 1):
+                entries = entries.unionByName(self._read(group, i))
+            self._level(level + 1).extend(self._write(self._merged(entries), len(groups), self.rows))
+            self.levels[level] = []
+        last = [run for runs in self.levels for run in runs]
+        return self._read(last).drop("run")
+
+    def _level(self, i: int) -> list[str]:
+        while len(self.levels) <= i:
+            self.levels.append([])
+        return self.levels[i]
+
+    def lookup(self, digests: Sequence[bytes]) -> DataFrame:
+        """The entries of a few digests in all runs: other shards are not read, and filters skip files without them."""
+        paths = [run for runs in self.levels for run in runs if self._there(run)]
+        out = self.spark.createDataFrame([], ENTRY)
+        for p in paths:
+            own = self.spark.read.schema(ENTRY + ", shard string").option("basePath", p).parquet(p)
+            shards = F.lit(False)
+            for d in digests:
+                shards = shards | F.lit(bytes(d).hex()).startswith(F.col("shard"))
+            out = out.unionByName(own.filter(shards & F.col("digest").isin([F.lit(bytearray(d)) for d in digests])).drop("shard"))
+        return out
 
 
 def digest_of(text: Column) -> Column:
@@ -77,49 +122,53 @@ def exact_dedup(docs: DataFrame, keep_largest: bool = False, id_col: str = "doc_
     both id and text are one document: each of them is returned, with the same values. An empty table gives an empty one.
     Other columns of docs are ignored.
     """
-    labelled, collided = _labelled(docs, keep_largest, id_col, text_col)
-    if collided is not None:
-        labelled = labelled.join(collided.select("digest").distinct(), "digest", "left_anti").unionByName(collided)
-    rows = labelled.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return rows.select(
+    labelled = _labelled(docs, keep_largest, id_col, text_col)
+    return labelled.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def _labelled(docs: DataFrame, keep_largest: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(digest, id, rows, keep_id, group_size, n_keep) for each id and digest; the same for digests whose texts differ, or None."""
-    spark = docs.sparkSession
+def _labelled(docs: DataFrame, keep_largest: bool, id_col: str, text_col: str) -> DataFrame:
+    """digest, id, keep_id, group_size, n_keep for each row."""
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), doc_text(text_col).alias("t"))
-    index = DigestIndex(spark, keep_largest)
-    index.flush(texts.select(digest_of(F.col("t")).alias("digest"), "id", F.lit(1).cast("long").alias("rows")), docs.count())
+    rows = scratch.keep(texts.select(digest_of(F.col("t")).alias("digest"), "id"), "digests")
+    index = DigestIndex(docs.sparkSession, keep_largest)
+    index.flush(rows, rows.count())
     state = index.compact()
-    merged = index.entries().groupBy("digest", "id").agg(F.sum("rows").alias("rows"))
-    labelled = keep(merged.join(state, "digest"), "labelled")
+    labelled = rows.join(state, "digest")
     # Byte verification: the texts of hits, each held against the text that stays.
-    hits = keep(
-        texts.withColumn("digest", digest_of(F.col("t"))).join(state.filter("group_size > 1").select("digest", "keep_id"), "digest").select("digest", "id", "t", "keep_id"),
-        "hits",
-    )
-    stays = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("t").alias("kept_t"))
-    wrong = keep(hits.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest").distinct(), "wrong")
+    groups = state.filter("group_size > 1").select("digest", "keep_id")
+    hits = scratch.keep(texts.withColumn("digest", digest_of(F.col("t"))).join(groups, "digest"), "hits")
+    scratch.release()
+    stays = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("t").alias("kept_t"))
+    # Where rows repeat the id that stays, one of their texts stands for all; min needs no sort of whole groups.
+    stays = stays.groupBy("digest").agg(F.min("kept_t").alias("kept_t"))
+    wrong = scratch.keep(hits.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest").distinct(), "wrong")
     if wrong.isEmpty():
-        return labelled, None
-    again = hits.join(wrong, "digest").groupBy("digest", "t", "id").agg(F.count("*").alias("rows"))
+        scratch.drop(hits, wrong)
+        return labelled
+    again = hits.join(wrong, "digest").select("digest", "t", "id")
     stays_id, by_id = (F.max("id"), F.max_by("rows", "id")) if keep_largest else (F.min("id"), F.min_by("rows", "id"))
-    groups = again.groupBy("digest", "t").agg(stays_id.alias("keep_id"), F.sum("rows").alias("group_size"), by_id.alias("n_keep"))
-    collided = again.join(groups, ["digest", "t"]).select("digest", "id", "rows", "keep_id", "group_size", "n_keep")
-    return labelled, keep(collided, "collided")
+    counted = again.groupBy("digest", "t", "id").agg(F.count("*").alias("rows"))
+    groups = counted.groupBy("digest", "t").agg(stays_id.alias("keep_id"), F.sum("rows").alias("group_size"), F.coalesce(by_id, F.max("rows")).alias("n_keep"))
+    collided = scratch.keep(again.join(groups, ["digest", "t"]).select("digest", "id", "keep_id", "group_size", "n_keep"), "collided")
+    return labelled.join(wrong, "digest", "left_anti").unionByName(collided)
 
 
 def drop_copies(docs: DataFrame, keep_largest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
-    labelled, collided = _labelled(docs, keep_largest, id_col, text_col)
-    if collided is not None:
-        labelled = labelled.join(collided.select("digest").distinct(), "digest", "left_anti").unionByName(collided)
-    gone = labelled.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
-    digest = digest_of(doc_text(text_col))
-    kept = docs.withColumn("_digest", digest)
-    kept = kept.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone_digest")), "left_anti")
+    """The rows of docs that stay, with all their columns, whatever they are called.
+
+    A null text is empty; rows without an id stay only if no row of their text has one. Of rows that repeat id and text
+    one stays, the least by its other columns, so reruns agree. An empty table gives an empty one.
+    """
+    labelled = _labelled(docs, keep_largest, id_col, text_col)
+    id_, digest, own = (unused(docs, c) for c in ("_gone_id", "_gone_digest", "_digest"))
+    gone = labelled.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(id_), F.col("digest").alias(digest)).distinct()
+    kept = docs.withColumn(own, digest_of(doc_text(text_col)))
+    kept = kept.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest)), "left_anti")
     if not labelled.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_keep") > 1)).isEmpty():
-        kept = kept.dropDuplicates([id_col, "_digest"])
-    return kept.drop("_digest")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        by = F.to_json(row, {"ignoreNullFields": "false"})
+        return kept.groupBy(F.col(id_col), F.col(own)).agg(F.min_by(row, by).alias("row")).select("row.*")
+    return kept.drop(own)
