@@ -135,3 +135,47 @@ EMBEDDED_SIZES = (
     (r"[,;]?\s*size\s+(\d+\s*[×xX]\s*\d+(?:\s*[×xX]\s*\d+)?\s*(?:cm|mm|m)?)", None), (r"[,;]?\s*(\d+\s*[×xX]\s*\d+(?:\s*[×xX]\s*\d+)?\s*(?:cm|mm)?)\s*[,;]?", None),
 )
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+
+# Lines of pages that are no content, matched from their start without regard to case.
+INTERFERENCE_LINES = (
+    r"^Previous$", r"^Next", r"^\(?(\d+)\s+of\s+(\d+)\)?$", r"^Fullscreen$", r"^\.vimeo$", r"^\.youku$", r"^\.pdf$", r"^\.video$", r"^https?://", r"^\d{5}\s+\w+",
+    r"^Schöneberger|^Berlin|^Tiergarten",
+)
+
+# Words by which lines of pages are no types or no materials.
+SIZE_MARKS = ("variable size", "尺寸可变", "dimension variable", "dimensions variable", "variable media")
+TYPE_STARTERS = ("weigh", "the ", "invite", "prep", "准备", "每周", "使用", "神秘")
+LINE_SENTENCE_WORDS = (" is ", " are ", " was ", " were ", " can ", " will ", " should ", " the ", " this ", " that ", " with ")
+BLOCK_SENTENCE_WORDS = (" is ", " are ", " was ", " were ", " can ", " will ", " should ", " the ", " this ", " with ")
+LINE_CREDIT_MARKS = ("collaboration", "made possible", "curated by", "this piece was done", "team:", "concept:", "sound:", "photo:", "director:", "venue", "© ", "copyright")
+LINE_VERBS = (" build ", " builds ", " through ", " invit", " explore", " examine", " question", " reflect", " represent", " create")
+LINE_STARTERS = ("the", "for", "in", "a", "an", "this", "it", "was", "is", "are")
+LINE_QUOTES = ("\"", "「")
+ADDRESS_WORDS = ("venue", "unit", "no.", "road", "street", "avenue", "building", "floor", "museum", "gallery", "center", "centre")
+PART_STARTERS = ("the", "a", "an", "is", "are", "was", "were", "has", "have", "and")
+
+# Sizes and durations in the lines of a page. Order matters.
+LINE_SIZES = (
+    r"(Dimension[s]?\s+variable\s*/?\s*尺寸可变)", r"(Dimension[s]?\s+variable)", r"(尺寸可变)", r"(Variable\s+size)", r"(各种尺寸)",
+    r"(\d+\s*(?:cm|mm|m)?\s*[×xX\*]\s*\d+\s*(?:cm|mm|m)?(?:\s*[×xX\*]\s*\d+\s*(?:cm|mm|m)?)?)",
+)
+LINE_DURATIONS = (
+    "(\\d+['‘’′]\\d+['‘’′\"]{1,2})", "^(\\d+['‘’′\"]+)$", r"(\d+:\d+(?::\d+)?)", r"(\d+\s*(?:min|minutes?|sec|seconds?))",
+)
+
+# Images that are no works, and extensions of images.
+SKIPPED_IMAGES = ("thumbnail", "thumb_", "favicon", "/icons/", "logo", "avatar", "placeholder", "loading", "spinner", "/assets/", "1x1.gif", "blank.gif")
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif")
+
+# Works whose texts are known to leak into other pages.
+LEAKING_WORKS = ("guard", "one ritual", "two rituals", "absurd reality check")
+
+# Lines and line starts of Markdown that name a page's type.
+EXHIBITION_LINES = ("exhibition", "solo exhibition", "group exhibition")
+CATALOG_LINES = ("catalog", "catalogue")
+MARKDOWN_TYPES = r"video\s*installation|installation|video|performance|website|software|media\s*sculpture"
+
+# Types by which a work's missing fields are told.
+VIDEO_TYPES = ("video", "film", "animation")
+MADE_TYPES = ("installation", "sculpture", "object", "print", "painting", "media")
+DIGITAL_TYPES = ("website", "software", "app", "game", "nft", "crypto")

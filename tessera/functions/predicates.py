@@ -32,7 +32,7 @@ def names_material(c: Column | str) -> Column:
 
 
 def is_credits_line(c: Column | str) -> Column:
-    return (F.length(text(c)) <= 100) & matches_any(F.lower(text(c)), fixed.CREDIT_PATTERNS)
+    return (F.length(text(c)) <= 100) & matches_any(strip(F.lower(text(c))), fixed.CREDIT_PATTERNS)
 
 
 def is_repair_credits(c: Column | str) -> Column:
@@ -88,7 +88,7 @@ def is_video_link(c: Column | str) -> Column:
     return contains_any(c, fixed.VIDEO_DOMAINS)
 
 
-def is_image(src: Column | str, skipped: Sequence[str], extensions: Sequence[str] = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg")) -> Column:
+def is_image(src: Column | str, skipped: Sequence[str] = fixed.SKIPPED_IMAGES, extensions: Sequence[str] = fixed.IMAGE_EXTENSIONS) -> Column:
     """No skipped mark; an image's extension at the end or before '?', or else 'image', 'img' or 'photo'."""
     low = F.lower(text(src))
     ends = any_of(F.endswith(low, F.lit(e)) | F.contains(low, F.lit(e + "?")) for e in extensions)
@@ -106,9 +106,17 @@ def is_complete(f: Mapping[str, Column], strict: bool = False) -> Column:
     return out & ~(contains_any(low, fixed.PHYSICAL_TYPES) & bare) if strict else out
 
 
-def missing_fields(f: Mapping[str, Column], names: Sequence[str]) -> Column:
-    """The names of fields that are blank, in order."""
-    return F.array_compact(F.array(*[F.when(blank(f[n]), F.lit(n)) for n in names]))
+def missing_fields(f: Mapping[str, Column]) -> Column:
+    """What a work of its type should have and has not, in order: a video its duration (or a link), a made thing its size
+    (unless the type says that it varies) and materials, any work a description (which counts twice)."""
+    low = F.lower(text(f["type"]))
+    video, made = contains_any(low, fixed.VIDEO_TYPES), contains_any(low, fixed.MADE_TYPES)
+    bare = blank(f["description_en"]) & blank(f["description_cn"])
+    absent = [
+        (video & blank(f["duration"]) & blank(f["video_link"]), "duration"), (made & blank(f["size"]) & ~contains_any(low, ("variable", "可变")), "size"),
+        (made & blank(f["materials"]), "materials"), (bare, "description_en"), (bare, "description_cn"),
+    ]
+    return F.array_compact(F.array(*[F.when(holds, F.lit(name)) for holds, name in absent]))
 
 
 def slug_matches_title(url: Column | str, title: Column | str) -> Column:
@@ -159,7 +167,7 @@ def reads_as_foreign(body: Column | str, title: Column | str, url: Column | str)
     return (low != "") & (phrases | other | (about & titled))
 
 
-def names_other_work(description: Column | str, title: Column | str, url: Column | str, known: Sequence[str] = ()) -> Column:
+def names_other_work(description: Column | str, title: Column | str, url: Column | str, known: Sequence[str] = fixed.LEAKING_WORKS) -> Column:
     """A description that introduces a work which is neither this title's nor this page's."""
     low, current = F.lower(strip(description)), F.lower(text(title))
     quoted = F.regexp_extract(low, r"(?U)^[\"“”]([^\"“”]+)[\"“”]\s+is\s+(?:a|an)\s+", 1)
@@ -170,11 +178,12 @@ def names_other_work(description: Column | str, title: Column | str, url: Column
 
 
 def is_type_line(c: Column | str, artist: Sequence[str] = ()) -> Column:
-    """A line that names a type: short, no size, no artist, no long text after a colon, a type word at its start or after a slash."""
+    """A line that names a type: short, no size, no artist, no long text after a colon (unless one word stands before it), no
+    start of a description, a type word at its start or after a slash."""
     low = F.lower(text(c))
     words = "|".join(w.lower() for w in fixed.TYPE_WORDS)
-    colon = F.length(strip(F.regexp_extract(text(c), r"(?s):(.*)$", 1))) > 30
-    size = contains_any(low, ("variable size", "尺寸可变", "dimension variable", "dimensions variable", "variable media"))
+    colon = (F.length(strip(F.regexp_extract(text(c), r"(?s)^[^:]*:(.*)$", 1))) > 30) & ~low.rlike("^[a-z]+:")
+    size = contains_any(low, fixed.SIZE_MARKS) | starts_with_any(low, fixed.TYPE_STARTERS)
     limit = F.when(is_bilingual(c), F.lit(150)).otherwise(F.lit(80))
     return ~size & ~contains_any(low, [a.lower() for a in artist]) & ~colon & (F.length(text(c)) <= limit) & low.rlike(rf"(?:^|/\s*)(?:{words})")
 

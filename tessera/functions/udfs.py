@@ -34,20 +34,19 @@ def plain_title(c: Column | str) -> Column:
 
 
 def with_similar(df: DataFrame, left: str, right: str, out: str, least: float = 0.7) -> DataFrame:
-    """Adds out: the normal forms' ratio is at least least. Equal and blank ones never reach Python."""
-    df = df.withColumns({"_a": plain_title(left), "_b": plain_title(right)})
-    empty = blank(left) | blank(right)
-    cheap = df.filter(empty | (F.col("_a") == F.col("_b"))).withColumn(out, ~empty)
-    rest = df.filter(~empty & (F.col("_a") != F.col("_b"))).withColumn(out, seq_ratio("_a", "_b") >= least)
-    return cheap.unionByName(rest).drop("_a", "_b")
+    """Adds out: the normal forms' ratio is at least least. Of equal and blank ones only nulls reach Python."""
+    a, b, empty = plain_title(left), plain_title(right), blank(left) | blank(right)
+    open_ = ~empty & (a != b)
+    ratio = seq_ratio(F.when(open_, a), F.when(open_, b))
+    return df.withColumn(out, F.coalesce(ratio >= least, ~empty & (a == b)))
 
 
 def with_title_check(df: DataFrame, url: str, title: str, out: str, owners: list[tuple[str, list[str]]] | None = None) -> DataFrame:
-    """Adds out: the title belongs to the page. Only rows that word overlap leaves open are compared in Python."""
+    """Adds out: the title belongs to the page. Only titles that word overlap leaves open are compared in Python; the others
+    reach it as nulls."""
     never = blank(title) | blank(url) | is_type_name(title) | is_foreign_title(url, title, owners or [])
     fits = title_fits_slug(url, title)
     clean = F.regexp_replace(F.lower(text(title)), r"[^\p{L}\p{N}\s]", " ")
-    df = df.withColumns({"_never": never, "_fits": fits})
-    cheap = df.filter("_never OR _fits").withColumn(out, ~F.col("_never"))
-    rest = df.filter("NOT (_never OR _fits)").withColumn(out, seq_ratio(slug_words(url), clean) >= 0.6)
-    return cheap.unionByName(rest).drop("_never", "_fits")
+    open_ = ~never & ~fits
+    ratio = seq_ratio(F.when(open_, slug_words(url)), F.when(open_, clean))
+    return df.withColumn(out, F.coalesce(ratio >= 0.6, ~never & fits))

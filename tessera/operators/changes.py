@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank
 
 
+def one_each(rows: DataFrame, key: str, fields: Sequence[str], order: str | None = None) -> DataFrame:
+    """key and fields of one row for each key, as a map keeps one: the last by order, or the greatest by its fields. A join by
+    key finds the rows dealt out already."""
+    if order is not None and order in rows.columns:
+        return rows.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("_one")).select(key, *[F.col("_one")[f].alias(f) for f in fields])
+    return rows.groupBy(key).agg(F.max(F.struct(*fields)).alias("_one")).select(key, *[F.col("_one")[f].alias(f) for f in fields])
+
+
 def changed(current: DataFrame, previous: DataFrame, key: str = "url", version: str = "lastmod") -> DataFrame:
     """Rows of current that are new, or whose version is filled and differs; adds change ('new', 'modified'). Keys that are
-    gone are not reported; see removed."""
-    old = previous.select(F.col(key).alias("_key"), F.col(version).alias("_version"))
+    gone are not reported; see removed. Of several versions of a key in previous the greatest counts."""
+    old = one_each(previous, key, [version]).select(F.col(key).alias("_key"), F.col(version).alias("_version"))
     joined = current.join(old, F.col(key) == F.col("_key"), "left")
     kind = F.when(F.col("_key").isNull(), "new").when(~blank(version) & ~F.col(version).eqNullSafe(F.col("_version")), "modified")
     return joined.withColumn("change", kind).filter("change IS NOT NULL").drop("_key", "_version")

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.functions.normalize import normalize_type, normalize_year, split_bilingual
-from tessera.functions.predicates import is_credits_line, is_language_cn, is_type_line, is_video_link, names_material
-from tessera.functions.text import CJK, any_of, first_filled, first_line_match, first_match, has_cjk, is_bilingual, matches_any, settle, strip, text
-
-NAVIGATION_LINES = (r"^Home$", r"^About$", r"^Contact$", r"^CV$", r"^Back$", r"^Next$", r"^Prev(?:ious)?$", r"^\d+\s*/\s*\d+$", r"^Filed under.*", r"^(?:←|→|<|>)+$", r"^©.*")
-
-# Lines that take no place in the block after the title and after the type line.
-INTERFERENCE_LINES = (
-    r"^Previous$", r"^Next", r"^\(?(\d+)\s+of\s+(\d+)\)?$", r"^Fullscreen$", r"^\.vimeo$", r"^\.youku$", r"^\.pdf$", r"^\.video$", r"^https?://", r"^\d{5}\s+\w+",
-    r"^Schöneberger|^Berlin|^Tiergarten",
+from tessera.functions.normalize import normalize_type, normalize_year, split_bilingual, title_case
+from tessera.functions.predicates import is_credits_line, is_image, is_language_cn, is_type_line, is_video_link, names_material
+from tessera.functions.text import (
+    CJK, any_of, blank, contains_any, count_chars, count_contained, first_filled, first_line_match, first_match, has_cjk, is_bilingual, matches_any, settle, starts_with_any, strip, text,
 )
-SENTENCE_WORDS = (" is ", " are ", " was ", " were ", " can ", " will ", " should ", " the ", " this ", " with ")
-
+from tessera.operators.repair import split_type
 
 def size_and_duration(c: Column | str) -> Column:
     """struct(size, duration) of a text's first 3,000 characters, line by line."""
@@ -29,7 +22,7 @@ def size_and_duration(c: Column | str) -> Column:
 
 
 def content_lines(lines: Column) -> Column:
-    return F.filter(lines, lambda x: ~matches_any(x, [p + "" for p in NAVIGATION_LINES]))
+    return F.filter(lines, lambda x: ~matches_any(x, fixed.INTERFERENCE_LINES))
 
 
 def _first(values: Column, where) -> Column:
@@ -48,24 +41,32 @@ def type_from_tags(tags: Column) -> Column:
 
 
 def year_of(tags: Column, lines: Column) -> Column:
-    """A tag that is a year or range of 20xx, else the first such line with '-' for its dash."""
-    pattern = r"^20\d{2}(?:\s*[-–]\s*20\d{2})?$"
+    """A tag that is a year or range of 20xx, else the first one within a line, with '-' for its dash."""
     tag = _first(F.transform(F.filter(tags, lambda t: F.contains(t["href"], F.lit("/filter/"))), lambda t: strip(t["text"])), lambda x: x.rlike(r"^20\d{2}(?:-20\d{2})?$"))
-    return first_filled(tag, F.translate(_first(lines, lambda x: x.rlike(pattern)), "–", "-"))
+    within = F.transform(lines, lambda x: F.regexp_extract(x, r"(?U)\b(20\d{2}(?:\s*[-–]\s*20\d{2})?)\b", 1))
+    return first_filled(tag, F.translate(_first(within, lambda x: x != ""), "–", "-"))
 
 
-def is_materials_line(c: Column, title: Column, title_cn: Column) -> Column:
-    """A list, not a sentence, credit, type, year, size, title, URL or date, with a known material or three parts."""
+def is_materials_line(c: Column, title: Column, title_cn: Column, artist: Sequence[str] = ()) -> Column:
+    """A list, not a sentence, credit, type, year, size, title, URL, date or address, with a known material or three parts."""
     low = F.lower(text(c))
-    parts = F.size(F.filter(F.split(c, r"[,/、，]"), lambda x: strip(x) != ""))
-    sentence = low.rlike(r"(?U)\b(?:is|are|was|were|this|that|the artist|which)\b.*\b(?:a|an|the|of)\b") | low.rlike(r"^[\"“「『'‘《]")
+    parts = F.transform(F.split(c, r"[,/、，]"), lambda x: F.lower(strip(x)))
+    sentence = c.rlike(r"^\p{Lu}") & (F.endswith(c, F.lit(".")) | F.endswith(c, F.lit("。"))) & contains_any(low, fixed.LINE_SENTENCE_WORDS)
+    told = contains_any(low, fixed.LINE_CREDIT_MARKS) | starts_with_any(c, fixed.LINE_QUOTES) | contains_any(low, fixed.LINE_VERBS)
+    starts = F.lower(F.regexp_extract(c, r"(?U)^\s*(\S+)", 1)).isin(*fixed.LINE_STARTERS)
     limit = F.when(is_bilingual(c), F.lit(150)).otherwise(F.lit(80))
-    shape = low.rlike(r"^(?:19|20)\d{2}") | low.rlike(r"^\d+\s*[×x]\s*\d+") | low.rlike("dimensions? variable|尺寸可变|https?://")
-    titled = (title != "") & (F.contains(low, F.lower(title)) | ((title_cn != "") & F.contains(c, title_cn)))
-    dated = low.rlike(rf"(?i)\b(?:{fixed.MONTHS})[a-z]*\b") & low.rlike(r"\d")
-    prose_cn = (F.length(F.regexp_replace(c, f"[^{CJK[1:-1]}]", "")) > 20) & is_language_cn(c)
-    vetoed = sentence | (F.length(c) > limit) | ~c.rlike("[,/、，]") | is_type_line(c) | shape | titled | dated | (F.length(c) < 10) | is_credits_line(c) | prose_cn
-    return ~vetoed & (names_material(c) | (parts >= 3))
+    shape = (
+        c.rlike(r"^20\d{2}(?:\s*[-–]\s*20\d{2})?$") | c.rlike(r"(?i)^\d+\s*[×x]\s*\d+(?:\s*[×x]\s*\d+)?\s*(?:cm|mm|m)?$") | (F.contains(low, F.lit("dimension")) & F.contains(low, F.lit("variable")))
+        | F.contains(c, F.lit("尺寸可变")) | contains_any(low, ("http://", "https://", "www."))
+    )
+    titled = (title != "") & (F.contains(low, F.lower(strip(title))) | ((title_cn != "") & F.contains(c, title_cn)))
+    dated = low.rlike(rf"(?iU)\b(?:Opening|{fixed.MONTHS})\b") & c.rlike(r"\d{1,2}[.,]\s*\d{4}")
+    placed = count_contained(low, fixed.ADDRESS_WORDS) >= 2
+    chinese = count_chars(c, CJK)
+    prose = (chinese > 20) & (chinese > 0.7 * F.length(c))
+    vetoed = sentence | told | starts | (F.length(c) > limit) | ~c.rlike("[,/、，]") | is_type_line(c, artist) | shape | titled | dated | placed | prose | (F.length(c) < 10) | is_credits_line(c)
+    worded = F.exists(F.slice(parts, 1, 2), lambda x: F.regexp_extract(x, r"(?U)^(\S+)", 1).isin(*fixed.PART_STARTERS))
+    return ~vetoed & (names_material(c) | ((F.size(parts) >= 3) & ~worded))
 
 
 def names_type(c: Column) -> Column:
@@ -83,7 +84,7 @@ def position_kind(c: Column) -> Column:
     """Of a line after the title: 'type', 'materials' (a list, or one known material), or '' for sizes, years, descriptions and others."""
     stop = F.endswith(c, F.lit("."))
     long_ = (F.length(c) > 80) & (F.contains(c, F.lit("。")) | stop)
-    sentence = c.rlike(r"^\p{Lu}") & stop & any_of(F.contains(F.lower(c), F.lit(w)) for w in SENTENCE_WORDS)
+    sentence = c.rlike(r"^\p{Lu}") & stop & any_of(F.contains(F.lower(c), F.lit(w)) for w in fixed.BLOCK_SENTENCE_WORDS)
     return F.when(is_size_or_year(c), "").when(names_type(c), "type").when(long_ | sentence, "").when(c.rlike("[/,、]") | names_material(c), "materials").otherwise("")
 
 
@@ -98,7 +99,7 @@ def after_type(lines: Column, artist: Sequence[str], title: Column, title_cn: Co
     """The first materials line of the three after the first type line."""
     typed = F.transform(lines, lambda x: is_type_line(x, artist) & names_type(F.substring(x, 1, 30)))
     at = F.array_position(typed, F.lit(True)).cast("int")
-    return F.when(at > 0, _first(F.slice(lines, at + 1, 3), lambda x: ~is_size_or_year(x) & is_materials_line(x, title, title_cn))).otherwise("")
+    return F.when(at > 0, _first(F.slice(lines, at + 1, 3), lambda x: ~is_size_or_year(x) & is_materials_line(x, title, title_cn, artist))).otherwise("")
 
 
 def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
@@ -110,23 +111,23 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     led = _first(F.slice("_l", 1, 10), lambda x: (F.length(x) <= 80) & F.contains(x, F.lit("/")) & F.startswith(x, title) & has_cjk(x))
     df = df.withColumns({"title": title, "title_cn": F.when(cn != "", cn).otherwise(split_bilingual(led)["title_cn"]), "year": year_of(F.col("tags"), F.col("_l"))})
     candidate = lambda x: (F.length(x) < 150) & (x != F.col("year"))
-    df = settle(df).withColumns({"_c": F.filter("_l", candidate), "_p": F.filter("_l", lambda x: ~matches_any(x, INTERFERENCE_LINES))})
-    df = settle(df).withColumns({"_b": block_after_title(F.col("_p"), F.col("title"), F.col("title_cn")), "_q": F.filter("_p", candidate)})
+    df = settle(df).withColumns({"_c": F.filter("_l", candidate), "_b": block_after_title(F.col("_l"), F.col("title"), F.col("title_cn"))})
     df = settle(settle(df).withColumn("_k", F.transform("_b", position_kind)))
     type_at, materials_at = (F.array_position("_k", F.lit(kind)).cast("int") for kind in ("type", "materials"))
     placed_type = F.when((type_at > 0) & ((materials_at == 0) | (type_at < materials_at)), F.get("_b", type_at - 1)).otherwise("")
     placed = F.when(materials_at > 0, F.get("_b", materials_at - 1)).otherwise("")
     by_line = _first(F.col("_c"), lambda x: is_type_line(x, artist) & ~is_credits_line(x))
     joined = F.array_join("_c", "\n")
-    scanned = _first(F.col("_c"), lambda x: is_materials_line(x, F.col("title"), F.col("title_cn")))
-    materials = first_filled(placed, after_type(F.col("_q"), artist, F.col("title"), F.col("title_cn")), scanned)
+    scanned = _first(F.col("_c"), lambda x: is_materials_line(x, F.col("title"), F.col("title_cn"), artist))
+    materials = first_filled(placed, after_type(F.col("_c"), artist, F.col("title"), F.col("title_cn")), scanned)
     prose = F.filter("_l", lambda x: (F.length(x) >= 60) & ~is_credits_line(x))
-    sized = size_and_duration(joined)
+    sized = {"size": first_line_match(joined, fixed.LINE_SIZES), "duration": first_line_match(joined, fixed.LINE_DURATIONS)}
     vimeo = F.transform("vimeo_ids", lambda x: F.concat(F.lit("https://vimeo.com/"), x))
     video = first_filled(_first(F.col("links"), is_video_link), _first(F.col("iframes"), is_video_link), F.coalesce(F.get(vimeo, F.lit(0)), F.lit("")))
-    shown = F.filter("images", lambda x: x["place"] == "slideshow")
-    within = F.when(F.size(shown) > 0, shown).otherwise(F.filter("images", lambda x: x["place"] == "content"))
-    any_ = F.when(F.size(within) > 0, within).otherwise(F.filter("images", lambda x: x["best"] != ""))
+    real = F.filter("images", lambda x: is_image(x["src"]))
+    shown = F.filter(real, lambda x: x["place"] == "slideshow")
+    within = F.when(F.size(shown) > 0, shown).otherwise(F.filter(real, lambda x: x["place"] == "content"))
+    any_ = F.when(F.size(within) > 0, within).otherwise(F.filter(real, lambda x: x["best"] != ""))
     df = df.withColumns(
         {
             "_type": first_filled(type_from_tags(F.col("tags")), placed_type, by_line), "_m": materials, "credits": _first(F.col("_c"), is_credits_line), "size": sized["size"],
@@ -142,14 +143,38 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def from_markdown(md: Column | str) -> dict[str, Column]:
-    """type, materials, credits, size, duration, video_link of a page's Markdown."""
+def type_of_markdown(md: Column | str) -> Column:
+    """Exhibition or Catalog if one of the first ten lines is such a word; else the type that a line of the first 1,000
+    characters starts with, in title case; else empty."""
     head = F.substring(text(md), 1, 1000)
+    lines = F.slice(F.filter(F.transform(F.split(head, "\n"), lambda x: F.lower(strip(x))), lambda x: x != ""), 1, 10)
+    first = _first(lines, lambda x: x.isin(*fixed.EXHIBITION_LINES, *fixed.CATALOG_LINES))
+    kind = strip(F.regexp_extract(F.lower(head), rf"(?Um)^({fixed.MARKDOWN_TYPES})", 1))
+    return F.when(first.isin(*fixed.EXHIBITION_LINES), "Exhibition").when(first != "", "Catalog").otherwise(title_case(kind))
+
+
+def from_markdown(md: Column | str) -> dict[str, Column]:
+    """type, title_cn, materials, credits, size, duration, video_link of a page's Markdown."""
     lines = F.filter(F.transform(F.split(text(md), "\n"), strip), lambda x: x != "")
     few = F.slice(lines, 1, 30)
-    keys = [k for k, _ in fixed.CANONICAL_TYPES]
-    kind = _first(F.slice(F.filter(F.transform(F.split(head, "\n"), strip), lambda x: x != ""), 1, 10), lambda x: F.lower(x).isin(*keys) | is_type_line(x))
     credits = F.coalesce(first_match(md, [rf"(?m)({p if p.startswith('^') else '^' + p}$)" for p in fixed.CREDIT_PATTERNS]), F.lit(""))
     sized = size_and_duration(md)
-    video = F.regexp_extract(text(md), r"(https?://[^\s)\]]*(?:vimeo\.com|youtube\.com|youtu\.be|bilibili\.com)[^\s)\]]*)", 1)
-    return {"type": kind, "materials": _first(few, lambda x: is_materials_line(x, F.lit(""), F.lit(""))), "credits": credits, "size": sized["size"], "duration": sized["duration"], "video_link": video}
+    video = F.regexp_extract(text(md), r"(https?://(?:www\.)?(?:vimeo\.com|youtube\.com|youtu\.be|bilibili\.com)[^\s)\]]+)", 1)
+    cn = strip(F.regexp_extract(text(md), r"\*\*([^*]+)\s*/\s*([^*]+)\*\*", 2))
+    return {
+        "type": type_of_markdown(md), "title_cn": F.when(has_cjk(cn), cn).otherwise(""), "materials": _first(few, lambda x: is_materials_line(x, F.lit(""), F.lit(""))), "credits": credits,
+        "size": sized["size"], "duration": sized["duration"], "video_link": video,
+    }
+
+
+def enrich(record: Mapping[str, Column], md: Column | str) -> dict[str, Column]:
+    """record with its blank fields filled from Markdown; an embedded size and duration leave the type and fill theirs; the
+    year in normal form. A type that is none (a credit, a URL, a size) becomes blank."""
+    found = from_markdown(md)
+    out = {f: F.when(blank(c) & F.lit(f in found and f != "type"), found.get(f, F.lit(""))).otherwise(text(c)) for f, c in record.items()}
+    kind = split_type(record["type"])
+    out["type"] = kind["type"]
+    for f in ("duration", "size"):
+        out[f] = first_filled(out[f], kind[f])
+    out["year"] = normalize_year(record["year"])
+    return out

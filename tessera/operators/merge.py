@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.normalize import drop_placeholder
+from tessera.functions.normalize import clean_title, drop_placeholder, title_case
 from tessera.functions.predicates import has_credit_marks, is_empty_material, names_other_work, reads_as_description
-from tessera.functions.text import blank, collapse, first_filled, strip, text
+from tessera.functions.text import blank, collapse, slug_words, strip, text
+from tessera.operators.changes import one_each
+from tessera.operators.repair import type_as_title
 
 
 def new_then_old(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
@@ -21,16 +23,18 @@ def _side(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return df.select(F.col(key), *[F.col(c).alias(prefix + c) for c in df.columns if c != key])
 
 
-def fill_only(base: DataFrame, update: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """base with its blank fields filled from update; filled ones stay. Adds n_filled."""
-    joined = base.join(_side(update.select(key, *fields), key, "_u_"), key, "left")
+def fill_only(base: DataFrame, update: DataFrame, key: str, fields: Sequence[str], order: str | None = None) -> DataFrame:
+    """base with its blank fields filled from update; filled ones stay. Adds n_filled. Of several updates of a key the last
+    by order counts (without one, the greatest by its fields)."""
+    joined = base.join(_side(one_each(update, key, fields, order), key, "_u_"), key, "left")
     counts = sum(((blank(f) & ~blank(F.col("_u_" + f))).cast("int") for f in fields), F.lit(0))
     return joined.withColumns({"n_filled": counts} | {f: F.when(blank(f), text("_u_" + f)).otherwise(F.col(f)) for f in fields}).drop(*["_u_" + f for f in fields])
 
 
-def overlay(base: DataFrame, update: DataFrame, key: str, fields: Sequence[str], longer: Sequence[str] = ()) -> DataFrame:
-    """Filled fields of update win; arrays in longer win if they have more elements."""
-    joined = base.join(_side(update.select(key, *fields, *longer), key, "_u_"), key, "left")
+def overlay(base: DataFrame, update: DataFrame, key: str, fields: Sequence[str], longer: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Filled fields of update win; arrays in longer win if they have more elements. Of several updates of a key the last by
+    order counts (without one, the greatest by its fields)."""
+    joined = base.join(_side(one_each(update, key, [*fields, *longer], order), key, "_u_"), key, "left")
     arrays = {f: F.when(F.coalesce(F.size("_u_" + f), F.lit(-1)) > F.coalesce(F.size(f), F.lit(-1)), F.col("_u_" + f)).otherwise(F.col(f)) for f in longer}
     return joined.withColumns({f: F.when(~blank("_u_" + f), F.col("_u_" + f)).otherwise(F.col(f)) for f in fields} | arrays).drop(*["_u_" + f for f in [*fields, *longer]])
 
@@ -44,9 +48,11 @@ def proposed_value(old: Column, new: Column) -> Column:
     return F.when(meaningful(old) & (collapse(old) == collapse(new)), old).when(meaningful(new), new).otherwise(old)
 
 
-def upsert_proposed(existing: DataFrame, proposed: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """All keys of both: proposed values win field by field. Adds is_update (the key existed) and is_proposed."""
-    a, b = _side(existing.select(key, *fields), key, "_e_").withColumn("_in_e", F.lit(True)), _side(proposed.select(key, *fields), key, "_p_").withColumn("_in_p", F.lit(True))
+def upsert_proposed(existing: DataFrame, proposed: DataFrame, key: str, fields: Sequence[str], order: str | None = None) -> DataFrame:
+    """All keys of both: proposed values win field by field. Adds is_update (the key existed) and is_proposed. Of several rows
+    of a key on one side the last by order counts (without one, the greatest by its fields)."""
+    here, there = one_each(existing, key, fields, order), one_each(proposed, key, fields, order)
+    a, b = _side(here, key, "_e_").withColumn("_in_e", F.lit(True)), _side(there, key, "_p_").withColumn("_in_p", F.lit(True))
     joined = a.join(b, key, "full")
     values = [
         F.when(F.col("_in_p").isNull(), F.col("_e_" + f)).when(F.col("_in_e").isNull(), F.col("_p_" + f)).otherwise(proposed_value(F.col("_e_" + f), F.col("_p_" + f))).alias(f)
@@ -69,7 +75,7 @@ def keyed_upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Data
 
 def merge_sources(base: Mapping[str, Column], llm: Mapping[str, Column]) -> dict[str, Column]:
     """A second source's fields over the first's: filled ones win, but no 'null' type, and no materials that are credits,
-    placeholders or descriptions. Images and descriptions of the base fill what stays blank."""
+    placeholders or descriptions. Descriptions are always the base's."""
     out = {}
     for f in ("title", "title_cn", "year", "type", "materials", "size", "duration", "credits", "video_link"):
         ok = ~blank(llm[f])
@@ -79,16 +85,19 @@ def merge_sources(base: Mapping[str, Column], llm: Mapping[str, Column]) -> dict
             ok = ok & ~has_credit_marks(llm[f]) & ~is_empty_material(llm[f]) & ~reads_as_description(llm[f])
         out[f] = F.when(ok, llm[f]).otherwise(text(base[f]))
     for f in ("description_en", "description_cn"):
-        out[f] = first_filled(base[f]) if f not in llm else first_filled(llm[f], base[f])
+        out[f] = text(base[f])
     return out
 
 
-def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Column, in_l2: Column, title_ok: Column, url: Column) -> dict[str, Column]:
+def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Column, in_l2: Column, title_ok: Column, fits_url: Column, url: Column) -> dict[str, Column]:
     """Page fields (l1) and a provider's (l2) in one record.
 
-    A provider whose title does not fit the page is believed for size and duration only. Its materials must be short and
-    no credits, its descriptions must not introduce another work, and short ones that are credits join the credits.
-    Titles come from the provider if they fit (or the page has none); year and type only fill. source tells who spoke.
+    title_ok: the provider's title fits the URL or resembles the page's; fits_url: it fits the URL. A provider whose title
+    is neither is believed for size and duration only. Its materials must be short and no credits, its descriptions must
+    not introduce another work, and short ones that are credits join the credits, unless those hold them already. Titles
+    come from the provider if they fit (or the page has none); without a page, a title that does not fit gives way to the
+    slug. Year and type only fill. At last titles lose repeated halves, and a title that is a type gives way to the slug.
+    source tells who spoke.
     """
     both = in_l1 & in_l2
     trusted = title_ok | blank(l2["title"])
@@ -103,12 +112,19 @@ def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Colu
         short = (F.length(clean[f]) < 100) & has_credit_marks(clean[f])
         moved = both & trusted & ~blank(clean[f]) & short
         fits = both & trusted & ~blank(clean[f]) & ~short & ~names_other_work(clean[f], l1["title"], url)
-        out["credits"] = F.when(moved, F.concat_ws(". ", F.when(~blank(out["credits"]), out["credits"]), clean[f])).otherwise(out["credits"])
+        had = out["credits"]
+        new = moved & ~F.contains(F.lower(had), F.lower(clean[f]))
+        both_credits = F.regexp_replace(F.concat(had, F.lit(". "), clean[f]), r"^[. ]+|[. ]+$", "")
+        out["credits"] = F.when(new & blank(had), clean[f]).when(new, both_credits).otherwise(had)
         out[f] = F.when(fits, clean[f]).otherwise(F.when(in_l1, text(l1[f])).otherwise(clean[f]))
     for f in ("title", "title_cn"):
-        use = both & ~blank(clean[f]) & (title_ok | blank(l1["title"]))
-        out[f] = F.when(use, clean[f]).otherwise(F.when(in_l1, text(l1[f])).otherwise(clean[f]))
+        use = both & ~blank(clean[f]) & ~blank(clean["title"]) & (title_ok | blank(l1["title"]))
+        alone = F.when(~blank(clean[f]) & ~fits_url, title_case(slug_words(url))).otherwise(clean[f]) if f == "title" else clean[f]
+        out[f] = F.when(use, clean[f]).otherwise(F.when(in_l1, text(l1[f])).otherwise(alone))
     for f in ("year", "type"):
         out[f] = F.when(in_l1 & ~blank(l1[f]), text(l1[f])).when(in_l2, clean[f]).otherwise(text(l1[f]))
+    cleaned = clean_title(out["title"], out["title_cn"])
+    final = type_as_title(cleaned["title"], out["type"], url)
+    out |= {"title": final["title"], "title_cn": cleaned["title_cn"], "type": final["type"]}
     out["source"] = F.when(both, "hybrid_layer2").when(in_l1, "layer1_only").otherwise("schema_extract_v2")
     return out

@@ -104,7 +104,7 @@ def repair_problems(df: DataFrame) -> DataFrame:
 def type_as_title(title: Column | str, type_: Column | str, url: Column | str) -> Column:
     """struct(title, type): a title that is a type becomes the type (if blank), and the slug the title."""
     wrong = is_type_name(title)
-    return F.struct(F.when(wrong, title_case(slug_words(url))).otherwise(text(title)).alias("title"), F.when(wrong & blank(type_), text(title)).otherwise(text(type_)).alias("type"))
+    return F.struct(F.when(wrong, title_case(slug_words(url))).otherwise(text(title)).alias("title"), F.when(wrong & blank(type_), title_case(title)).otherwise(text(type_)).alias("type"))
 
 
 def split_type(c: Column | str, artist: tuple[str, ...] = ()) -> Column:
@@ -113,10 +113,9 @@ def split_type(c: Column | str, artist: tuple[str, ...] = ()) -> Column:
     low = F.lower(t)
     limit = F.when(is_bilingual(t), F.lit(150)).otherwise(F.lit(80))
     colon = F.contains(t, F.lit(":")) & ~low.rlike("^[a-z]+:") & (F.length(strip(F.regexp_extract(t, r"(?s):(.*)$", 1))) > 30)
-    marks = ("variable size", "尺寸可变", "dimension variable", "dimensions variable", "variable media")
     no = (
         low.rlike(r"^(?:photo(?:\s+by)?:|concept:|sound:|software:|copyright|made possible)") | starts_with_any(t, ("http",)) | (F.length(t) > limit)
-        | contains_any(low, marks) | contains_any(low, [a.lower() for a in artist]) | colon
+        | contains_any(low, fixed.SIZE_MARKS) | contains_any(low, [a.lower() for a in artist]) | colon
     )
     quotes = "'‘’′\""
     head = rf"(?sU)^(\d+[{quotes}]{{1,2}}\d*[{quotes}]*)\s*(.*)$"

@@ -91,13 +91,12 @@ def snapshot_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title_raw,
-       len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links
-FROM pages WHERE NOT contains(regexp_extract(html, '<title>(.*?)</title>', 1), '&') AND NOT contains(html, '<a href=""')
+SELECT page_id, trim(replace(replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;', '&'), '&amp', '&')) AS title_raw,
+       len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS n_links
+FROM pages
 """)
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles and link counts of all pages by the HTML parser, which decodes character references and counts links with a target.
-    (The SQL leaves out the pages where that matters, so it has fewer rows.)"""
+    """Titles and link counts of all pages by the HTML parser, which decodes character references and counts links with a target."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
     return parse_pages(pages).select(F.col("url").cast("long").alias("page_id"), F.col("page_title").alias("title_raw"), F.size("links").cast("long").alias("n_links"))
 

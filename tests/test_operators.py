@@ -53,9 +53,9 @@ def test_hybrid_merge(spark):
     l1 = dict.fromkeys(("title_cn", "size", "duration", "description_en", "description_cn", "year", "type"), none) | {c: F.col(c) for c in ("title", "materials", "credits")}
     l2 = dict.fromkeys(l1, none) | {"title": F.lit("Foreign"), "materials": F.lit("wood"), "size": F.lit("3 x 4 cm"), "year": F.lit("2001"), "description_en": F.lit("made possible by friends")}
     yes = F.lit(True)
-    out = merge.hybrid_merge(l1, l2, yes, yes, F.lit(False), F.col("url"))
+    out = merge.hybrid_merge(l1, l2, yes, yes, F.lit(False), F.lit(False), F.col("url"))
     assert rows(df, *[out[c].alias(c) for c in ("title", "materials", "size", "year", "credits", "source")]) == [("My Work", "old", "3 x 4 cm", "2001", "", "hybrid_layer2")]
-    out = merge.hybrid_merge(l1, l2 | {"title": F.lit("My work")}, yes, yes, yes, F.col("url"))
+    out = merge.hybrid_merge(l1, l2 | {"title": F.lit("My work")}, yes, yes, yes, yes, F.col("url"))
     assert rows(df, *[out[c].alias(c) for c in ("title", "materials", "credits", "description_en")]) == [("My work", "wood", "made possible by friends", "")]
 
 
