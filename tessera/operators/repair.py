@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed
 from tessera.functions.normalize import title_case
 from tessera.functions.predicates import is_date_as_duration, is_repair_credits, is_title_as_materials, is_type_name, is_url, reads_as_repair_description
-from tessera.functions.text import blank, contains_any, filled, found, is_bilingual, let, slug_words, starts_with_any, strip, text
+from tessera.functions.text import blank, contains_any, filled, found, has_cjk, is_bilingual, let, slug_words, starts_with_any, strip, text
 
 
 def repair_credits(df: DataFrame) -> DataFrame:
@@ -138,6 +138,30 @@ def split_type(c: Column | str, artist: tuple[str, ...] = ()) -> Column:
     return F.when((t == "") | no, F.struct(nothing.alias("type"), nothing.alias("duration"), nothing.alias("size"))).otherwise(let(timed(), sized))
 
 
+def changes_counted(df: DataFrame) -> DataFrame:
+    """change, n: in how many rows each change was made."""
+    return df.select(F.explode("changes").alias("change")).groupBy("change").agg(F.count("*").alias("n"))
+
+
+def split_title(title: Column | str, title_cn: Column | str) -> Column:
+    """struct(title, title_cn) of 'A / B' titles. Unlike clean_title it leaves two equal halves alone, and a Chinese title that
+    has nothing to do with the right half."""
+    t, cn = text(title), text(title_cn)
+    parts = F.transform(F.split(t, "/"), strip)
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    answer = lambda a, b: F.struct(a.alias("title"), b.alias("title_cn"))
+    near = (cn == t) | (cn == last) | (cn == "") | F.contains(cn, last) | F.contains(last, cn)
+    english = ~has_cjk(first) & ~has_cjk(last) & (F.size(parts) == 2)
+    same = (F.size(parts) == 2) & (first == last)
+    halves = F.transform(F.split(cn, "/"), strip)
+    half = F.when(F.contains(cn, F.lit("/")) & (F.get(halves, F.lit(0)) == F.element_at(halves, -1)), F.get(halves, F.lit(0))).otherwise(cn)
+    shorter = F.when(english & F.contains(F.lower(last), F.lower(first)), first).otherwise(t)
+    return (
+        F.when(~F.contains(t, F.lit("/")), answer(t, cn)).when(~has_cjk(first) & has_cjk(last) & near, answer(first, last))
+        .when(same, answer(t, cn)).otherwise(answer(shorter, half))
+    )
+
+
 def repair_counts(df: DataFrame) -> DataFrame:
     """One row: how many rows each change was made in."""
     return df.agg(F.count("*").alias("total"), F.count_if(F.size("changes") > 0).alias("modified")).crossJoin(
@@ -145,4 +169,4 @@ def repair_counts(df: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["filled", "repair_counts", "repair_credits", "repair_problems", "repair_sizes", "split_materials", "split_type", "type_as_title"]
+__all__ = ["changes_counted", "filled", "repair_counts", "repair_credits", "repair_problems", "repair_sizes", "split_materials", "split_title", "split_type", "type_as_title"]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.queries import ORACLES, QUERIES
+from tessera import queries, queries_more, queries_rules
 
+QUERIES = queries.QUERIES | queries_rules.QUERIES | queries_more.QUERIES
+ORACLES = queries.ORACLES | queries_rules.ORACLES | queries_more.ORACLES
 FLAGSHIP = "page_host_facets"
-
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.functions.predicates import is_work_link
 from tessera.functions.text import blank, filled, strip, text
 from tessera.operators.changes import last_version
 
@@ -64,6 +65,19 @@ def parse_answers(df: DataFrame, json: str = "json") -> DataFrame:
     return df.select("url", F.coalesce(parsed["success"], F.lit(False)).alias("success"), *[value(f) for f in names], kind, got["images"].alias("images"))
 
 
+def scan_links(parsed: DataFrame, base: str) -> DataFrame:
+    """url: distinct links of parsed pages that lead to works, sorted; those without a scheme are the base's."""
+    link = F.explode("links")
+    whole = lambda c: F.when(F.startswith(c, F.lit("http")), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(c, "^/+", "")))
+    return parsed.select(link.alias("l")).select(whole(F.col("l")).alias("url")).filter(is_work_link("url", base)).distinct().orderBy("url")
+
+
+def read_manifest(df: DataFrame, json: str = "json") -> DataFrame:
+    """key, value of a JSON object's fields; anything else is an error."""
+    checked = F.when(F.trim(json).startswith("{"), F.from_json(json, "map<string, string>"))
+    return df.select(F.explode(F.coalesce(checked, F.raise_error(F.lit("a manifest must be a JSON object")).cast("map<string,string>"))).alias("key", "value"))
+
+
 def links_of_map(df: DataFrame, json: str = "json") -> DataFrame:
     """Distinct links, sorted, of answers whose links are strings or objects with a url."""
     links = F.explode(F.coalesce(F.from_json(F.get_json_object(json, "$.links"), "array<string>"), F.array().cast("array<string>")))
