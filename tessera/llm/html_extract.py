@@ -39,7 +39,8 @@ CLOSES_P = BLOCK - {"button", "ins", "label"}
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+OPEN = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|[!?])")
+PLAIN, SPACE = re.compile(r"[^>=]*"), re.compile(r"\s*")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r'data-label="([01])"')
 PART = re.compile(r"[a-z]+")
@@ -62,8 +63,15 @@ def parse(source: str) -> list[Node]:
     stack: list[tuple[str, int]] = [("", 0)]  # open elements and the block each one is in
     run: list[str] = []
     linked, in_link, place, at, skip, in_head = 0, 0, 0, 0, "", False
+    ended: set[str] = set()  # quotes and end tags that do not come any more
+    opened = Counter({"": 1})  # the stack's elements by name
     inner, outer = Counter(), Counter()  # elements open within the skipped one; inline elements open outside of it
 
+    def cut(i: int) -> None:
+        for tag, _ in stack[i:]:
+            opened[tag] -= 1
+        del stack[i:]
+
     def flush() -> None:
         nonlocal run, linked, place
         if run:
@@ -81,7 +89,7 @@ def parse(source: str) -> list[Node]:
         """The tag closes, itself or by implication, an element around the skipped one."""
         loose = skip not in SCOPED
         if closing:
-            return name == "head" or (name in BLOCK and any(t == name for t, _ in stack)) or (loose and outer[name] > 0)
+            return name == "head" or (name in BLOCK and opened[name] > 0) or (loose and outer[name] > 0)
         if name == "body":
             return skip != "template"
         if not loose:
@@ -90,20 +98,17 @@ def parse(source: str) -> list[Node]:
             return True
         return name in SAME_KIND and not any(inner[x] > 0 for x in SAME_KIND[name] | SCOPE[name]) and _same_kind(stack, name) > 0
 
-    while m := TOKEN.search(source, at):
-        begin = m.start()
+    while token := _next(source, at, ended):
+        begin, end, closing, name, attrs = token
         if not skip and begin > at:
             in_head = in_head and source[at:begin].isspace()
             if not in_head:
                 run.append(source[at:begin])
                 if in_link:
                     linked += begin - at
-        at = m.end()
-        name = m[2]
-        if name is None:
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        closing = m[1] == "/"
         if skip:
             if closing and inner[name] > 0:
                 inner[name] -= 1
@@ -111,14 +116,16 @@ def parse(source: str) -> list[Node]:
             if closing and name == skip:
                 skip = ""
                 continue
-            if not closing and name in TEXT_ONLY and not m[3].endswith("/"):
-                if skip not in ("svg", "math") or _find_end(source, name, at) >= 0:
+            if not closing and name in TEXT_ONLY and not attrs.endswith("/"):
+                if skip not in ("svg", "math") or (name not in ended and _find_end(source, name, at) >= 0):
                     at = _after(source, name, at)
+                else:
+                    ended.add(name)
                 continue
             if not parent_ends(name, closing):
                 if name == skip == "option":
                     inner.clear()
-                elif not closing and name not in VOID and not m[3].endswith("/"):
+                elif not closing and name not in VOID and not attrs.endswith("/"):
                     inner[name] += 1
                 continue
             skip = ""
@@ -138,16 +145,16 @@ def parse(source: str) -> list[Node]:
                 outer[name] -= 1
             if name == "a":
                 in_link = 0
-            elif name in BLOCK:
+            elif name in BLOCK and opened[name] > 0:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         flush()
-                        del stack[i:]
+                        cut(i)
                         break
             continue
         if name in RAW:
             run.append(" ")
-            if m[3].endswith("/"):
+            if attrs.endswith("/"):
                 continue
             if name in TEXT_ONLY:
                 at = _after(source, name, at)
@@ -165,21 +172,52 @@ def parse(source: str) -> list[Node]:
             continue
         flush()
         if name in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if name in SAME_KIND:
             i = _same_kind(stack, name)
             if i:
-                del stack[i:]
+                cut(i)
                 if name in ("tr",) and stack[-1][0] == "tr":
-                    stack.pop()
-        nodes.append(Node(name, stack[-1][1], m[3]))
+                    cut(len(stack) - 1)
+        nodes.append(Node(name, stack[-1][1], attrs))
         stack.append((name, len(nodes) - 1))
+        opened[name] += 1
     if not skip and at < len(source):
         run.append(source[at:])
     flush()
     return nodes
 
 
+def _next(source: str, at: int, ended: set[str]) -> tuple[int, int, bool, str, str] | None:
+    """The next tag, comment or declaration: begin, end, whether it closes, its name ('' for no tag) and attributes.
+
+    Quotes count after '=' only, and only if they are closed at all; a tag without an end takes what is left of the page.
+    Every character is looked at a bounded number of times: ended remembers searches that found nothing.
+    """
+    m = OPEN.search(source, at)
+    if m is None:
+        return None
+    if m[3] is None:
+        mark = "-->" if m[1] else ">"
+        end = source.find(mark, m.end())
+        return m.start(), len(source) if end < 0 else end + len(mark), False, "", ""
+    place = m.end()
+    while True:
+        place = PLAIN.match(source, place).end()
+        if place == len(source):
+            return m.start(), place, False, "", ""
+        if source[place] == ">":
+            return m.start(), place + 1, m[2] == "/", m[3].lower(), source[m.end() : place]
+        place = SPACE.match(source, place + 1).end()
+        quote = source[place : place + 1]
+        if quote in ("'", '"') and quote not in ended:
+            close = source.find(quote, place + 1)
+            if close < 0:
+                ended.add(quote)
+            else:
+                place = close + 1
+
+
 def _same_kind(stack: list[tuple[str, int]], name: str) -> int:
     """The place of the open element that a start tag of this name closes, or 0."""
     for i in range(len(stack) - 1, 0, -1):

@@ -30,3 +30,35 @@ def test_skipped_elements_have_no_text():
 def test_end_tags_are_found_after_characters_that_lengthen_in_lower_case():
     page = "<p>" + "İ" * 30 + "</p><script>x</script><p>Kept.</p><p>Too.</p>"
     assert texts(page) == texts(page + " " * (1 << 16)) == ["İ" * 30, "Kept.", "Too."]
+
+
+def test_quotes_count_after_equals_signs_only():
+    assert texts("<p title=don't>Kept.</p><p title = 'a > b' x>Too.</p><p it's>And this.</p>") == ["Kept.", "Too.", "And this."]
+    assert texts('<p title="never closed>Kept.</p>') == ["Kept."] and texts("<p>Kept.</p><a href=") == ["Kept."]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a ='", "<a =", "<!--", "<!", "<p x=\"'\">a", "<script>", "<svg><title>", "<option>", "<li>", "</div>", "<object>", "<div><video></section></video>", "<div></section>", "<td><p>"])
+def test_a_megabyte_of_anything_takes_linear_time(unit):
+    import time
+
+    took = []
+    for size in (125_000, 1_000_000):
+        page = unit * (size // len(unit))
+        began = time.process_time()
+        h.parse(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * max(took[0], 0.02)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [(1, "u", "<p>One text. It goes on here.</p>", "x"), (1, "u", "<p>One text. It goes on here.</p>", "x"), (2, None, None, "y"), (None, "v", "", "z"), (3, "w", "<p>" + "A sentence of words, and more. " * 40_000 + "</p>", "x")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, text string").selectExpr("*", "'n' AS n_chars", "1 AS t", "2 AS id")
+
+
+def test_pages_of_all_kinds(pages):
+    model = h.default_model()
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    expected = sorted(((i, u, x, len(x)) for i, u, page in rows for x in [h.main_text(page or "", model)]), key=repr)
+    assert sorted((tuple(r) for r in h.extract_text(pages).collect()), key=repr) == expected and max(n for *_, n in expected) == 31 * 40_000 - 1
+    assert h.extract_text(pages.filter("page_id < 0")).count() == 0
