@@ -27,6 +27,8 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
 END = b"\r\n\r\n"
+#: Compressed bytes that a reading task has at most, or one record.
+TASK_BYTES = 1 << 28
 
 
 def with_first(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -102,7 +104,8 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
 def read_records(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
     """The records that index (all of it or a selection) tells of: headers' values and payload (empty for revisits).
 
-    Records are dealt to tasks by place and read in ranges of up to most bytes (one record at least), over gaps of up to
+    Records are dealt to tasks by place (of TASK_BYTES at most, and as many as the session's shuffle partitions while they
+    have most bytes each) and read in ranges of up to most bytes (one record at least), over gaps of up to
     gap bytes. A payload that does not have its digest fails the job.
     """
 
@@ -137,7 +140,10 @@ def read_records(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23) -> D
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Tasks by the records' bytes: the index itself is too small to be dealt out by its size.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // TASK_BYTES), min(-(-total // most), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, RECORDS)
 
 
