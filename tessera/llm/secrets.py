@@ -1,7 +1,8 @@
 """Secret scanning: candidates by shape, false positives removed by a random forest.
 
-Candidates are runs of 16 or more characters of keys and tokens with a digit among them. Features are their length,
-character classes and transitions, how much of them dictionary words cover, whether they stand in a path, and the words
+Candidates are runs of 16 or more characters of keys and tokens with a digit among them, runs of 20 or more without one
+that mix small letters and capitals, and whatever of 8 or more characters stands after a name such as "password" and a sign
+of assignment, digits or not. Shorter ones are not looked at. Features are their length, character classes and transitions, how much of them dictionary words cover, whether they stand in a path, and the words
 beside them. The forest is trained by Spark on a bounded, generated table of labelled findings and then written out as
 Column expressions, so scanning is one pass of built-in expressions over all texts.
 """
@@ -20,7 +21,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_text
 
 CHARS = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"(?<![{CHARS}])(?=[A-Za-z+/_\-]*[0-9])[{CHARS}]{{16,}}={{0,2}}"
+NAMES = "passw(?:or)?d|passphrase|pwd|secret|token|api.?key|access.?key|credential"
+CANDIDATE = (
+    rf"(?<![{CHARS}])(?:(?=[A-Za-z+/_\-]*[0-9])[{CHARS}]{{16,}}={{0,2}}|(?=[A-Z+/_\-]*[a-z][a-z+/_\-]*[A-Z])[{CHARS}]{{20,}}={{0,2}})"
+    rf"|(?<=[\s:=\"'`])(?<=(?i:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"'`]?)[^\s\"'`,;<>:=][^\s\"'`,;<>]{{7,}}"
+)
 BEFORE, AFTER = 48, 16
 # Words and word parts that names, paths and prose are made of.
 DICTIONARY = (
@@ -68,13 +73,14 @@ def feature_columns(c: Column, before: Column, after: Column) -> dict[str, Colum
         "prefix": flag(c, r"^(?:AKIA|ASIA|gh[opsu]_|xox[abp]-|sk[-_]|pk[-_]|eyJ|AIza|glpat-|npm_)"),
         "path": F.greatest(flag(before, r"(?:https?:|[\w.]/|\\|/)\S*$"), flag(after, r"^[/?#@]|^\.[a-z]{2,4}\b"), (F.regexp_count(c, F.lit("/")) >= 3).cast("double")),
         "secret_word": flag(low_before, r"(?:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|private.?key|auth|credential|bearer|key)\W{0,6}$"),
+        "plain_shape": flag(low, r"^[a-z]+(?:[_.][a-z]+)*[_.]?\(?\)?$|^[*x]+$"),
         "plain_word": flag(low_before, r"(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|id|version|build|rev(?:ision)?|etag|isbn|order|invoice|file|image|base64)\W{0,6}$"),
         "assigned": flag(before, r"[=:]\s*[\"'`]?$"),
         "quoted": flag(before, r"[\"'`]$"),
     }
 
 
-FEATURES = tuple("length digits capitals marks transitions variety dictionary hex uuid prefix path secret_word plain_word assigned quoted".split())
+FEATURES = tuple("length digits capitals marks transitions variety dictionary hex uuid prefix path secret_word plain_shape plain_word assigned quoted".split())
 
 
 def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
@@ -90,6 +96,11 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         name = name.upper() if r.random() < 0.25 else name
         sign = r.choice((" = \"", "=\"", ": ", ":", "=", " = '", " "))
         body = r.choice((lambda: pick(hexa, r.choice((32, 40, 40, 64))), lambda: pick(alnum, r.randint(20, 48)), lambda: pick(b64, 40), lambda: pick(hexa.upper(), 40)))()
+        if r.random() < 0.25:  # passwords and passphrases, digits or not
+            name = r.choice(("password", "passwd", "pwd", "passphrase", "secret", "token", "PASSWORD", "Passphrase"))
+            sign = r.choice((" = \"", "=\"", ": ", "=", " = '"))
+            body = r.choice((lambda: pick(string.ascii_letters + "!#$%&*?.", r.randint(9, 20)), lambda: words(3, r.choice(".-_!")).title() + r.choice("!#$%"), lambda: pick(string.ascii_letters, r.randint(12, 24))))()
+            return prose() + name + sign, body
         if r.random() < 0.3:
             body = r.choice(("AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 40), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24)))
             if r.random() < 0.3:
@@ -97,7 +108,10 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         return prose() + name + sign, body
 
     def plain() -> tuple[str, str]:
-        kind = r.randrange(10)
+        kind = r.randrange(12)
+        if kind >= 10:  # names in prose and code
+            before = prose() + r.choice(("password: ", "token = ", "secret: ", "pwd=", "password = "))
+            return r.choice(((before, r.choice(("required", "optional", "undefined", "String(", "process.env", "getToken()", "<password>", "changeme", "********", "xxxxxxxx", "password"))), (prose(), "".join(w.title() for w in words(r.randint(4, 6), " ").split())), (before, words(2, "_"))))
         if kind == 0:
             return prose() + r.choice(("commit ", "sha256:", "md5 ", "checksum: ", "digest=", "hash ", "etag: \"")), pick(hexa, r.choice((32, 40, 64)))
         if kind == 1:

@@ -278,12 +278,48 @@ def test_secrets(edges, nothing):
     at = {f: F.col(f"f_{f}") for f in FEATURES}
     score = sum((t(at) for t in trees[1:]), trees[0](at)) / len(trees)
     assert rows.filter((score >= 0.5) == (F.col("label") == 1)).count() >= 380
-    docs = [(1, 'set token = "0123456789abcdef0123456789abcdef01234567" now'), (2, "id 123e4567-e89b-12d3-a456-426614174000 ok"), (3, None)]
+    docs = [
+        (1, 'set token = "0123456789abcdef0123456789abcdef01234567" now'), (2, "id 123e4567-e89b-12d3-a456-426614174000 ok"), (3, None), (4, "the password: Kq#vRt!pLz and more"),
+        (5, "say password: required here"), (6, 'PASSPHRASE="hZkQwRtYpLmNbVcXsDfG"'), (7, "short pwd=abc1"),
+    ]
     found = scan_secrets(spark.createDataFrame(docs, "doc_id long, text string"), params).select("doc_id", "is_secret").collect()
-    assert sorted(map(tuple, found)) == [(1, True), (2, False)]
+    assert sorted(map(tuple, found)) == [(1, True), (2, False), (4, True), (5, False), (6, True)]
     assert scan_secrets(nothing, params).count() == 0 and scan_secrets(edges, params).count() == 0
 
 
+def test_secret_candidates_against_python(spark):
+    """The candidates of whole texts, and secrets written in ways that the trainer has not."""
+    import re
+
+    from tessera.llm.secrets import CANDIDATE, CHARS, NAMES, candidates, scan_secrets
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["word", "password:", "token", "= \"", "Secret =", "a/b/c123456789012345", "AbCdEfGhIjKlMnOpQrSt", "lowercaseonlyrunoftext", "kJ8#mQ2!x", "0123456789abcdef=="]) for _ in range(12))) for i in range(80)]
+    name = re.compile(rf"(?:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"'`]?$", re.I)
+    run = re.compile(rf"(?<![{CHARS}])(?:(?=[A-Za-z+/_\-]*[0-9])[{CHARS}]{{16,}}={{0,2}}|(?=[A-Z+/_\-]*[a-z][a-z+/_\-]*[A-Z])[{CHARS}]{{20,}}={{0,2}})")
+    value = re.compile(r"[^\s\"'`,;<>:=][^\s\"'`,;<>]{7,}")
+
+    def brute(t):
+        out, at = [], 0
+        while at < len(t):
+            m = run.match(t, at) or (value.match(t, at) if at and t[at - 1] in " :=\"'`" and name.search(t[max(0, at - 40) : at]) else None)
+            if m:
+                out.append(m[0])
+            at = m.end() if m else at + 1
+        return out
+
+    assert CANDIDATE
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.ordinal, x.candidate) for x in candidates(df).collect())
+    assert got == [(i, k, c) for i, t in rows for k, c in enumerate(brute(t))]
+    hexa, alnum = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    forms = [lambda: f'"auth_token": "{pick(alnum, 32)}"', lambda: f"export API_KEY={pick(hexa, 40)}", lambda: f"mysql --password={pick(alnum + '!$%', 14)}", lambda: f"secret => '{pick(alnum, 40)}' token: {pick(alnum, 28)}"]
+    docs = [(i, "Some text before. " + r.choice(forms)() + " and after.") for i in range(120)]
+    hit = {x.doc_id for x in scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).filter("is_secret").collect()}
+    assert len(hit) >= 0.9 * len(docs)
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     import corpus_pipeline
     from tessera.llm.packing import Packing
