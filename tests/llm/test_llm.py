@@ -318,24 +318,3 @@ def test_secret_candidates_against_python(spark):
     docs = [(i, "Some text before. " + r.choice(forms)() + " and after.") for i in range(120)]
     hit = {x.doc_id for x in scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).filter("is_secret").collect()}
     assert len(hit) >= 0.9 * len(docs)
-
-
-def test_pipeline_against_plain_python(spark, tmp_path):
-    import corpus_pipeline
-    from tessera.llm.packing import Packing
-
-    r = random.Random(2)
-    base = [prose(90, k) for k in range(12)]
-    rows = [(i, base[i % 12] if i < 24 else prose(60 + i, 200 + i), "xx", r.choice(["a", "b", None])) for i in range(40)] + [(40, "short", "xx", "a")]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    last = {}
-    for i, t, *_ in rows[:40]:
-        last[t] = max(i, last.get(t, -1))
-    ids = Counter(x.doc_id for x in got)
-    assert set(ids) <= set(last.values()) and max(ids.values()) <= 2
-    words = {i: len(t.split()) for i, t, *_ in rows}
-    assert all(x.n_tokens == words[x.doc_id] for x in got)
-    total = sum(words[i] for i in last.values())
-    assert abs(sum(words[i] * n for i, n in ids.items()) - 1.5 * total) < 0.15 * total
-    assert max(x.slot for x in got) < Packing().budget
