@@ -12,7 +12,7 @@ from tessera.functions import normalize as N
 from tessera.functions import predicates as P
 from tessera.functions.text import blank, safe_name, slug, text
 from tessera.operators import audit as audits
-from tessera.operators import changes, dedup, merge, repair, review, sections, stats
+from tessera.operators import changes, dedup, merge, review, sections, stats
 from tessera.operators.extract import size_and_duration
 from tessera.sources import sinks
 from tessera.sources.html import parse_pages
@@ -268,28 +268,6 @@ def cached_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.withColumn("is_cached", F.lit(True)).unionByName(miss.withColumn("is_cached", F.lit(False)))
 
 
-def _source_fields(prefix: str) -> dict[str, F.Column]:
-    return {f: F.col(prefix + f) for f in ("title", "title_cn", "year", "type", "materials", "size", "duration", "credits", "video_link", "description_en", "description_cn")}
-
-
-@query("""
-SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'L ' || p_name ELSE p_name END AS title,
-       CASE WHEN p_partkey % 5 = 0 THEN 'Print' ELSE p_type END AS type,
-       CASE p_partkey % 6 WHEN 0 THEN 'wood, ink' WHEN 1 THEN 'base' WHEN 2 THEN 'base' WHEN 3 THEN 'base' ELSE 'glass' END AS materials, 'd' AS description_en
-FROM part
-""")
-def sources_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second source's fields over the first's, with vetoes on types and materials."""
-    k, none = F.col("p_partkey"), F.lit("")
-    base = dict.fromkeys(_source_fields(""), none) | {"title": F.col("p_name"), "type": F.col("p_type"), "materials": F.lit("base"), "description_en": F.lit("d")}
-    mat = F.when(k % 6 == 0, "wood, ink").when(k % 6 == 1, "N/A").when(k % 6 == 2, "photo: someone").when(k % 6 == 3, "this is the work that was made for us").otherwise("glass")
-    llm = dict.fromkeys(base, none) | {
-        "title": F.when(k % 2 == 0, F.concat(F.lit("L "), F.col("p_name"))).otherwise(none), "type": F.when(k % 5 == 0, "Print").when(k % 5 == 1, "NULL").otherwise(none), "materials": mat,
-    }
-    out = merge.merge_sources(base, llm)
-    return table(spark, sf_dir, "part").select(k.alias("k"), *[out[f].alias(f) for f in ("title", "type", "materials", "description_en")])
-
-
 # -- predicates and normal forms ------------------------------------------------------------------------------------
 
 
@@ -315,20 +293,6 @@ def years_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", N.normalize_year(raw).alias("year"))
 
 
-_SAMPLES = (
-    ("installation / 装置", "Installation", ""), ("Single channel video, color, projector, player", "Video", "projector, player"), ("Video Installation", "Video Installation", ""),
-    ("Screen printing, chevron board, metal frame", "Print", "chevron board, metal frame"), ("", "", ""), ("weaving", "weaving", ""), ("Website", "Website", ""),
-    ("media sculpture, glass", "Sculpture", "glass"),
-)
-
-
-@query("SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t, _) in enumerate(_SAMPLES)) + " END AS type, CASE p_partkey % 8 "
-       + " ".join(f"WHEN {i} THEN '{m}'" for i, (_, _, m) in enumerate(_SAMPLES)) + " END AS materials FROM part")
-def types_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.get(F.array(*[F.lit(s) for s, _, _ in _SAMPLES]), (F.col("p_partkey") % 8).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", N.normalize_type(raw).alias("x")).select("p_partkey", "x.*")
-
-
 _FACET = """CASE WHEN t = '' THEN '(空)' WHEN contains(t, 'installation') THEN CASE WHEN contains(t, 'video') THEN 'Video Installation' WHEN contains(t, 'sound') THEN 'Sound Installation' ELSE 'Installation' END
   WHEN contains(t, 'video') THEN 'Video' WHEN contains(t, 'print') THEN 'Print' WHEN contains(t, 'photo') THEN 'Photography' ELSE upper(t[1]) || t[2:] END"""
 
@@ -356,16 +320,6 @@ def placeholders_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BILINGUAL = (("icon 2018 / 图标 2018", "", "icon 2018", "图标 2018"), ("land / land 005", "x", "land", "x"), ("plain", "观察者 / 观察者", "plain", "观察者"), ("a / b", "", "a / b", ""))
-
-
-@query("SELECT p_partkey, CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN '{s[2]}'" for i, s in enumerate(_BILINGUAL)) + " END AS title, CASE p_partkey % 4 "
-       + " ".join(f"WHEN {i} THEN '{s[3]}'" for i, s in enumerate(_BILINGUAL)) + " END AS title_cn FROM part")
-def titles_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda j: F.get(F.array(*[F.lit(s[j]) for s in _BILINGUAL]), (F.col("p_partkey") % 4).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", N.clean_title(pick(0), pick(1)).alias("x")).select("p_partkey", "x.*")
-
-
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size || ' x ' || (p_partkey % 90 + 10) || ' cm' END AS size,
        CASE WHEN p_partkey % 4 = 0 THEN p_size || ':30' ELSE p_size || ' min' END AS duration FROM part
@@ -377,47 +331,6 @@ def sizes_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", size_and_duration(F.regexp_replace(text_, "^[^\n]*\n", "work\n")).alias("x")).select("p_partkey", "x.*")
 
 
-# -- repairs ----------------------------------------------------------------------------------------------------------
-
-
-@query("""
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'wood, ink' WHEN 1 THEN '' WHEN 2 THEN 'steel, paint' ELSE 'paper' END AS materials,
-       CASE p_partkey % 4 WHEN 0 THEN '30 x 40 cm' WHEN 1 THEN 'Dimensions variable' WHEN 2 THEN '' ELSE '' END AS size,
-       CASE p_partkey % 4 WHEN 2 THEN '10 min' ELSE '' END AS duration FROM part
-""")
-def materials_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.get(F.array(*[F.lit(x) for x in ("wood, ink, 30 x 40 cm", "Dimensions variable", "steel, paint, 10 min", "paper")]), (F.col("p_partkey") % 4).cast("int"))
-    return repair.repair_sizes(table(spark, sf_dir, "part").select("p_partkey", raw.alias("materials"), F.lit("").alias("size"), F.lit("").alias("duration")))
-
-
-@query("""
-SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'wood' ELSE '' END AS materials, CASE p_partkey % 4 WHEN 0 THEN 'Photo: Ann' WHEN 2 THEN 'sound: Bo' ELSE '' END AS credits,
-       CASE p_partkey % 4 WHEN 1 THEN '' WHEN 2 THEN '' ELSE p_type END AS type, CASE WHEN p_partkey % 4 = 3 THEN 'Dimension variable' ELSE '' END AS size, 1 AS n_changes
-FROM part
-""")
-def credits_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    mat = F.when(k == 0, "Photo: Ann").when(k == 1, "wood").when(k == 2, "").otherwise("Dimension variable")
-    typ = F.when(k == 1, "http://x.example/").when(k == 2, "sound: Bo").otherwise(F.col("p_type"))
-    df = table(spark, sf_dir, "part").select("p_partkey", mat.alias("materials"), typ.alias("type"), F.lit("").alias("credits"), F.lit("").alias("size"))
-    return repair.repair_credits(df).select("p_partkey", "materials", "credits", "type", "size", F.size("changes").alias("n_changes"))
-
-
-@query("""
-SELECT count(*) FILTER (p_partkey % 5 = 0) AS fixed_type, count(*) FILTER (p_partkey % 5 IN (1, 2)) AS fixed_materials, count(*) FILTER (p_partkey % 5 = 3) AS fixed_duration,
-       count(*) FILTER (p_partkey % 5 = 2) AS with_credits FROM part
-""")
-def problems_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    mat = F.when(k == 1, F.upper("p_name")).when(k == 2, "Team: someone and others").otherwise("wood")
-    df = table(spark, sf_dir, "part").select(
-        F.when(k == 0, " NULL").otherwise(F.col("p_type")).alias("type"), F.col("p_name").alias("title"), F.lit("").alias("title_cn"), mat.alias("materials"), F.lit("").alias("credits"),
-        F.when(k == 3, "21.02.2014 - 15.03.2014").otherwise("3 min").alias("duration"),
-    )
-    fixed_ = repair.repair_problems(df)
-    return fixed_.agg(*[F.count_if(c).alias(c) for c in ("fixed_type", "fixed_materials", "fixed_duration")], F.count_if(~blank("credits")).alias("with_credits"))
-
-
 # -- rollups, sections ------------------------------------------------------------------------------------------------
 
 
@@ -532,24 +445,6 @@ def first_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", review.first_reason(rules).alias("reason"))
 
 
-_GATES = (
-    ("'exhibition'", "false", "'Local parser marked page as non-artwork'"), ("'unknown'", "false", "'AI classified page as unknown'"), ("'artwork'", "false", "'AI unavailable'"),
-    ("'artwork'", "false", "'Title does not match URL slug'"), ("'artwork'", "false", "'AI did not approve this record'"), ("'artwork'", "false", "'Confidence below threshold (0.50)'"),
-    ("'artwork'", "true", "''"), ("'artwork'", "false", "'Artwork record is missing required fields'"),
-)
-
-
-@query("SELECT p_partkey, " + ", ".join("CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {g[j]}" for i, g in enumerate(_GATES)) + f" END AS {n}" for j, n in enumerate(("page_type", "should_apply", "reason"))) + " FROM part")
-def records_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, none = F.col("p_partkey") % 8, F.lit("")
-    words = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-")
-    title = F.when(k == 3, "entirely different").otherwise(F.col("p_name"))
-    proposed = {"title": title, "type": F.when(k == 7, "").otherwise(F.col("p_type")), "year": F.lit("2001"), "materials": none, "description_en": none, "description_cn": none, "images": F.array().cast("array<string>")}
-    verdict = {"page_type": F.when(k == 1, "other").otherwise("Artwork"), "should_apply": k != 4, "confidence": F.when(k == 5, 0.5).otherwise(0.9), "reason": none}
-    gated = review.gate(F.concat(F.lit("https://w.example/"), words), F.lit(""), proposed, verdict, k != 0, k != 2)
-    return table(spark, sf_dir, "part").select("p_partkey", gated.alias("x")).select("p_partkey", "x.*")
-
-
 @query("""
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'accepted' ELSE CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_totalprice > 100000 THEN 'ready_for_review' ELSE 'needs_review' END END AS status
 FROM orders WHERE o_custkey % 7 <> 0
