@@ -143,10 +143,11 @@ def _labelled(docs: DataFrame, keep_largest: bool, id_col: str, text_col: str) -
     scratch.release()
     stays = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("t").alias("kept_t"))
     # Where rows repeat the id that stays, one of their texts stands for all; min needs no sort of whole groups.
-    stays = stays.groupBy("digest").agg(F.min("kept_t").alias("kept_t"))
-    wrong = scratch.keep(hits.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest").distinct(), "wrong")
+    stays = scratch.keep(stays.groupBy("digest").agg(F.min("kept_t").alias("kept_t")), "stays")
+    # Written before it is made distinct: else a large group would have to stay in the task that its digest is dealt to.
+    wrong = scratch.keep(hits.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest"), "wrong").distinct()
     if wrong.isEmpty():
-        scratch.drop(hits, wrong)
+        scratch.drop(hits, stays)
         return labelled
     again = hits.join(wrong, "digest").select("digest", "t", "id")
     stays_id, by_id = (F.max("id"), F.max_by("rows", "id")) if keep_largest else (F.min("id"), F.min_by("rows", "id"))
