@@ -108,6 +108,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def order_hash(seed: str, id_col: str, text_col: str) -> Column:
+    """Uniform lower-case hex that orders rows by their ids; rows without an id go by their texts, so they are spread too."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(doc_text(text_col))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own))
+
+
 def hex_digits(rows: int) -> int:
     """Leading hex digits that split rows of uniform hashes into about sqrt(rows) ranges."""
     return min(7, max(1, math.ceil(math.log(max(rows, 1), 16) / 2)))

@@ -5,7 +5,8 @@ sequence of slots: slot n belongs to the source in whose share of [0, 1) the gol
 and the k-th slot of a source takes the k-th block of its stream, beginning again when the stream ends. So every stretch
 of the mix holds the sources in proportion, and nothing depends on how rows are partitioned.
 
-Streams and ranks are distributed running totals; no task holds a source.
+Streams and ranks are distributed running totals; no task holds a source. Each document's row names its first slot, the
+place in the mix at which its words begin to be taken.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, keep, running_total, unused, word_count
+from tessera.llm.common import doc_text, keep, order_hash, running_total, unused, word_count
 
 GOLDEN = 0.6180339887498949
 #: Cells that slots and the sources' shares of [0, 1) are matched by.
@@ -35,10 +36,6 @@ class Mix:
     seed: str = "mix"
 
 
-def shuffle_key(mix: Mix, id_col: str = "doc_id") -> Column:
-    return F.md5(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-
-
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """sizes: source, source_size. Adds source_no, weight, target (a double) and want (its whole words).
 
@@ -79,8 +76,8 @@ def schedule(sources: DataFrame, mix: Mix) -> DataFrame:
     blocks = F.ceil(size / b)
     src = sources.withColumns({"blocks": blocks, "need": (whole * blocks + F.ceil(part / b)).cast("long")}).filter("need > 0")
     ordered = Window.orderBy("source_no")
-    src = src.withColumns({"hi": F.sum("need").over(ordered), "slots": F.sum("need").over(Window.partitionBy())}).withColumn("lo", F.col("hi") - F.col("need"))
-    src = keep(src.withColumns({"lo": F.col("lo") / F.col("slots"), "hi": F.col("hi") / F.col("slots")}), "shares")
+    src = src.withColumns({"hi": F.sum("need").over(ordered), "slots": F.sum("need").over(Window.partitionBy())}).withColumn("before", F.col("hi") - F.col("need"))
+    src = keep(src.withColumns({"lo": F.col("before") / F.col("slots"), "hi": F.col("hi") / F.col("slots")}), "shares")
     total = src.agg(F.max("slots")).first()[0] or 0
     cells = src.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.floor(F.col("hi") * GRID)))).select("cell", "lo", "hi", "source_no", "need")
     x = (F.col("n") + 1) * F.lit(GOLDEN)
@@ -96,7 +93,7 @@ def schedule(sources: DataFrame, mix: Mix) -> DataFrame:
     # What rounding and discrepancy left out - a few slots of a source - comes last.
     got = slots.groupBy("source_no").agg(F.count("*").alias("got"))
     short = src.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
-    tail = short.withColumn("k", F.explode(F.sequence(F.col("got"), F.col("need") - 1))).select((F.lit(total) + F.col("k")).alias("n"), "source_no", "k")
+    tail = short.withColumn("k", F.explode(F.sequence(F.col("got"), F.col("need") - 1))).select((F.lit(total) + F.col("before") + F.col("k")).alias("n"), "source_no", "k")
     slots = slots.unionByName(tail).join(src.select("source_no", "blocks", "source_size", "want"), "source_no")
     epoch = F.floor(F.col("k") / F.col("blocks"))
     return slots.select(
@@ -105,30 +102,31 @@ def schedule(sources: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, size (words), source_size, target (of its source), taken (words, repeats counted).
+    """One row for each row of docs: doc_id, size (words), source_size, target (of its source), taken (words, repeats
+    counted), first_slot (the earliest slot of the schedule that takes any; null where none does).
 
     A null text has no words and gives none. A null source is a source, the last. Rows that repeat an id are separate
-    documents, next to each other in the stream. Other columns are ignored; an empty table gives an empty one.
+    documents, next to each other in the stream; rows without one are ordered by their texts. Slots rise along the mix and
+    have a few gaps at its end. Other columns are ignored; an empty table gives an empty one.
     """
     mix = mix or Mix()
-    sized = keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(doc_text(text_col)).alias("size")), "sized")
+    sized = keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(doc_text(text_col)).alias("size"), order_hash(mix.seed, id_col, text_col).alias("h")), "sized")
     rows = sized.count()
     sources = keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), mix), "sources")
     numbered = sized.join(sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
-    hashed = keep(numbered.withColumn("h", shuffle_key(mix, "id")), "numbered")
-    placed = keep(running_total(hashed, "source_no", "h", ["id", "size"], "size", "start", rows).drop("h"), "placed")
+    placed = keep(running_total(keep(numbered, "numbered"), "source_no", "h", ["id", "size"], "size", "start", rows).drop("h"), "placed")
     b = F.lit(mix.block).cast("long")
     first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     pieces = pieces.withColumns({"from": F.greatest("start", F.col("block") * b), "to": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)})
     taken = (
-        pieces.join(schedule(sources, mix).select("source_no", "block", "until"), ["source_no", "block"])
+        pieces.join(schedule(sources, mix).select("source_no", "block", "until", "n"), ["source_no", "block"])
         .withColumn("words", F.greatest(F.lit(0).cast("long"), F.least("to", "until") - F.col("from")))
         .groupBy("source_no", "start")
-        .agg(F.sum("words").alias("taken"))
+        .agg(F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("n"))).alias("first_slot"))
     )
     out = placed.join(taken.withColumnRenamed("start", "_start").withColumnRenamed("source_no", "_no"), (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:

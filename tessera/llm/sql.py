@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.mixing import Mix
+from tessera.llm.mixing import GOLDEN, Mix
 from tessera.llm.near_dedup import NearDup
 from tessera.llm.quality import Rules
 
@@ -111,11 +111,12 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
 
 
 def op2(mix: Mix) -> str:
-    """taken: the overlap of a document's place in its source's stream with the words that the mix takes in each pass."""
+    """taken: the overlap of a document's place in its source's stream with the words that the mix takes in each pass.
+    first_slot: golden-ratio points through the sources' shares of all blocks that the mix needs, ranked for each source."""
     weights = ", ".join(map(str, mix.weights))
     passes = " + ".join(f"greatest(0, least(start + size, want - {e} * source_size) - start)" for e in range(mix.max_epochs))
     return f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM s),
 w AS (SELECT *, ([{weights}])[(no % {len(mix.weights)} + 1)::INT]::BIGINT AS weight, source_size * {mix.max_epochs} AS cap FROM n),
@@ -126,13 +127,26 @@ o AS (
   FROM w WINDOW p AS (ORDER BY cap::DOUBLE / weight, no)),
 e AS (SELECT place AS end_place, goal - capped AS rest, weight_left FROM o WHERE cap * weight_left >= (goal - capped) * weight ORDER BY place LIMIT 1),
 t AS (
-  SELECT source, source_size, CASE WHEN o.place >= e.end_place THEN weight * e.rest / e.weight_left ELSE cap::DOUBLE END AS target, cap
+  SELECT source, no, source_size, CASE WHEN o.place >= e.end_place THEN weight * e.rest / e.weight_left ELSE cap::DOUBLE END AS target, cap
   FROM o LEFT JOIN e ON true),
 p AS (
-  SELECT doc_id, size, source_size, target, least(floor(target), cap)::BIGINT AS want,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ({passes})::BIGINT AS taken FROM p
+  SELECT doc_id, size, no, source_size, target, least(floor(target), cap)::BIGINT AS want,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (
+  SELECT no, source_size, want, blocks, (want // source_size * blocks + ceil(want % source_size / {mix.block}))::BIGINT AS need
+  FROM (SELECT no, source_size, least(floor(target), cap)::BIGINT AS want, ceil(source_size / {mix.block})::BIGINT AS blocks FROM t WHERE source_size > 0)),
+r AS (SELECT *, (sum(need) OVER (ORDER BY no))::BIGINT AS hi, (sum(need) OVER ())::BIGINT AS slots FROM b WHERE need > 0),
+x AS (SELECT n, (n + 1) * {GOLDEN!r}::DOUBLE - floor((n + 1) * {GOLDEN!r}::DOUBLE) AS x FROM (SELECT unnest(range((SELECT coalesce(max(slots), 0) FROM r))) AS n)),
+k AS (SELECT n, no, need, row_number() OVER (PARTITION BY no ORDER BY n) - 1 AS k FROM x JOIN r ON x >= (hi - need)::DOUBLE / slots AND x < hi::DOUBLE / slots),
+m AS (SELECT no, count(*) AS got FROM k WHERE k < need GROUP BY no),
+l AS (SELECT slots + hi - need + k AS n, no, k FROM (SELECT *, unnest(range(coalesce(got, 0), need)) AS k FROM r LEFT JOIN m USING (no))),
+z AS (
+  SELECT n, no, k % blocks * {mix.block} AS low, least(k % blocks * {mix.block} + {mix.block}, source_size, want - k // blocks * source_size) AS high
+  FROM (SELECT n, no, k FROM k WHERE k < need UNION ALL SELECT n, no, k FROM l) JOIN b USING (no)),
+f AS (SELECT p.no AS f_no, p.start AS f_start, min(n) AS first_slot FROM p JOIN z ON p.no = z.no AND size > 0 AND greatest(start, low) < least(start + size, high) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, ({passes})::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM p LEFT JOIN f ON p.no = f_no AND p.start = f_start AND size > 0
 """
 
 

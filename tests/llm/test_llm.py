@@ -114,10 +114,59 @@ def test_mixing(edges, nothing):
     for (_, target), taken in source.items():
         assert abs(sum(taken) - target) <= 1
     assert mix_sources(nothing).count() == 0
+    slots = [(r["taken"], r["first_slot"]) for r in mix_sources(edges).collect()]
+    assert all((t > 0) == (n is not None) for t, n in slots) and any(n == 0 for _, n in slots)
     mixed = mixed_documents(edges, Mix())
     assert mixed.columns == edges.columns and all(r["_id"] == "_id" and r["_copies"] == "_copies" for r in mixed.collect()) and mixed_documents(nothing).count() == 0
 
 
+def test_slots_against_plain_python(spark):
+    from tessera.llm.mixing import GOLDEN, Mix, mix_sources
+
+    r, mix = random.Random(4), Mix(block=16)
+    docs = [(i, prose(r.randrange(0, 90), i), r.choice("aab") if i % 7 else None) for i in range(150)]
+    rows = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), mix).collect()
+    got = {x["doc_id"]: x for x in rows}
+    names = ["a", "b", None]
+    stream = {c: sorted((i for i, _, s in docs if s == c), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()) for c in names}
+    size = {c: sum(got[i]["size"] for i in stream[c]) for c in names}
+    want = {c: min(int(got[stream[c][0]]["target"]), 2 * size[c]) for c in names}
+    blocks = {c: -(-size[c] // 16) for c in names}
+    need = {c: want[c] // size[c] * blocks[c] + -(-(want[c] % size[c]) // 16) for c in names}
+    total, used, taken, first = sum(need.values()), dict.fromkeys(names, 0), dict.fromkeys(got, 0), {}
+
+    def take(c, n):
+        epoch, block = divmod(used[c], blocks[c])
+        used[c] += 1
+        until, at = min(size[c], want[c] - epoch * size[c]), 0
+        for i in stream[c]:
+            words = min(at + got[i]["size"], block * 16 + 16, until) - max(at, block * 16)
+            if words > 0:
+                taken[i] += words
+                first[i] = min(first.get(i, n), n)
+            at += got[i]["size"]
+
+    for n in range(total):
+        x, lo = (n + 1) * GOLDEN % 1.0, 0
+        for c in names:
+            if lo / total <= x < (lo + need[c]) / total and used[c] < need[c]:
+                take(c, n)
+            lo += need[c]
+    lo = 0
+    for c in names:
+        while used[c] < need[c]:
+            take(c, total + lo + used[c])
+        lo += need[c]
+    assert {i: (x["taken"], x["first_slot"]) for i, x in got.items()} == {i: (taken[i], first.get(i)) for i in got}
+
+
+def test_rows_without_ids_are_spread(spark):
+    from tessera.llm.common import order_hash
+
+    df = spark.range(500).selectExpr("CAST(NULL AS long) AS doc_id", "concat('text ', id) AS text")
+    assert df.select(order_hash("mix", "doc_id", "text").alias("h")).distinct().count() == 500
+
+
 def test_packing(edges, nothing):
     from tessera.llm.packing import Packing, best_boundaries, pack
 
