@@ -307,11 +307,12 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
             none.cast("array<int>").alias("foreign"), none.cast("array<int>").alias("lent"),
         )
     )
-    placed = both.repartitionByRange("id").sortWithinPartitions("id", "kind", "root")
+    # By id and text, so that many rows of one id, or without any, are no single task's; repeats of a text stay together.
+    placed = both.repartitionByRange("id", "root").sortWithinPartitions("id", "root", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, segment, seq, start = MerkleStream(), TaskContext.get().partitionId(), 0, 0
-        at, marks, seen = object(), {}, set()
+        at, marked, seen = None, ([], []), False
         names = [x.split()[0] for x in PACK.split(", ")]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int32())] * 3, pa.binary()]
 
@@ -323,16 +324,14 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
             columns = [batch.column(i) for i in range(8)]
             out, size = [], 0
             for id_, kind, root, digests, lengths, payload, foreign, lent in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_pylist(), *columns[3:], strict=True):
-                if id_ != at:
-                    at, marks, seen = id_, {}, set()
+                if (id_, root) != at:
+                    at, marked, seen = (id_, root), ([], []), False
                 if kind == 0:
-                    marks[root] = (foreign.as_py(), lent.as_py())
+                    marked = (foreign.as_py(), lent.as_py())
                     continue
                 lengths, data = lengths.as_py(), payload.as_py()
-                foreign_, lent_ = marks.get(root, ([], []))
-                if root in seen:
-                    foreign_, lent_ = list(range(len(lengths))), []
-                seen.add(root)
+                foreign_, lent_ = (list(range(len(lengths))), []) if seen else marked
+                seen = True
                 n_tokens = len(data) // width
                 if foreign_:
                     gone, parts, place = set(foreign_), [], 0

@@ -253,6 +253,16 @@ def test_token_store(edges, nothing):
     packs = spark.read.parquet(f"{folder}/packs").filter("seq >= 0")
     assert packs.agg(F.sum(F.length("payload"))).first()[0] < 2 * at  # copies are stored once
     assert read_store(spark, write_store(nothing, fmt), fmt).count() == 0
+    texts = [f"text number {i % 40} and some more" for i in range(120)]
+    same = spark.createDataFrame([(i, t) for t in texts for i in (None, 7)], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder = write_store(same, fmt)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = [(r.id, tokenizer.decode(np.frombuffer(r.ids, "<u4")[:-1].tolist())) for r in sorted(read_store(spark, folder, fmt).collect(), key=lambda r: r.start)]
+    whole = lambda t: tokenizer.decode(tokenizer.encode(t, add_special_tokens=False).ids)
+    assert sorted(back, key=repr) == sorted(((i, whole(t)) for t in texts for i in (None, 7)), key=repr)
+    assert [i is None for i, _ in back] == [True] * 120 + [False] * 120
+    assert spark.read.parquet(f"{folder}/packs").filter("seq >= 0 AND id IS NULL").select("segment").distinct().count() > 1
     for n in range(9):
         tree = MerkleStream()
         leaves = [digest(bytes([i])) for i in range(n)]
