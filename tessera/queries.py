@@ -388,7 +388,7 @@ def year_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT p_partkey, p_name, (1990 + p_size % 30)::VARCHAR AS year, p_type FROM part),
 o AS (SELECT *, row_number() OVER (ORDER BY year DESC, p_partkey) AS place, coalesce(year <> lag(year) OVER (ORDER BY year DESC, p_partkey), true) AS b FROM p)
-SELECT place::INT AS place, CASE WHEN b THEN '## ' || year || chr(10) || chr(10) ELSE '' END || '### [' || p_name || '](https://w.example/' || p_partkey || ')' || chr(10) || '- **Year**: ' || year
+SELECT place::BIGINT AS place, CASE WHEN b THEN '## ' || year || chr(10) || chr(10) ELSE '' END || '### [' || p_name || '](https://w.example/' || p_partkey || ')' || chr(10) || '- **Year**: ' || year
   || chr(10) || '- **Type**: ' || p_type AS text FROM o
 """)
 def portfolio_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

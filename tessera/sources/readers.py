@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions.predicates import is_work_link
 from tessera.functions.text import blank, filled, strip, text
 from tessera.operators.changes import last_version
+from tessera.operators.sections import carried
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
@@ -37,9 +38,9 @@ def empty_works(spark: SparkSession) -> DataFrame:
 def parse_markdown(df: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
     """url, year, title, title_cn of '### [title](url) / title_cn' headings under '## year'; the last of a repeated URL."""
     years = F.when(F.col(line).rlike(r"^##\s+\d{4}"), F.regexp_extract(line, r"^##\s+(\d{4})", 1))
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     heading = r"^###\s+\[(.*?)\]\((.*?)\)(?:\s*/\s*(.*))?$"
-    rows = df.filter(F.col(line).startswith("##")).withColumn("year", F.last(years, ignorenulls=True).over(w)).filter(F.col(line).rlike(heading))
+    marked = df.filter(F.col(line).startswith("##")).withColumn("_year", years)
+    rows = carried(marked, "_year", order, "year").filter(F.col(line).rlike(heading))
     part = lambda i: strip(F.regexp_extract(line, heading, i))
     return last_version(rows.select(part(2).alias("url"), text("year").alias("year"), part(1).alias("title"), part(3).alias("title_cn"), F.col(order).alias("_at")), "url", "_at")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.normalize import sort_year
 from tessera.functions.text import blank, first_filled, text
-from tessera.operators.sections import sections
+from tessera.operators.sections import added_up, placed
 
 LABELS = (("Year", "year"), ("Type", "type"), ("Materials", "materials"), ("Size", "size"), ("Duration", "duration"), ("Video", "video_link"))
 
@@ -26,17 +26,12 @@ def work_markdown(row: dict[str, Column], labels: tuple[tuple[str, str], ...] =
 
 def portfolio_markdown(works: DataFrame, order: str = "_ordinal") -> DataFrame:
     """place, text: entries by falling year, with a header wherever the year changes. Equal years keep their order."""
-    by = [F.desc(sort_year("year")), F.asc(order)]
-    df = sections(works, "year", by).withColumn("place", F.row_number().over(_w(by)))
+    df = placed(works, "year", sort_year("year"), order)
     entry = work_markdown({f: F.col(f) for f in ("title", "url", "title_cn", "year", "type", "materials", "size", "duration", "video_link", "description_en", "description_cn")})
     head = F.when(F.col("is_break"), F.concat(F.lit("## "), text("year"), F.lit("\n\n"))).otherwise(F.lit(""))
     return df.select("place", F.concat(head, entry).alias("text"))
 
 
-def _w(by: list[Column]):
-    return Window.orderBy(*by)
-
-
 def _row(label: str, value: Column) -> Column:
     return F.when(~blank(value), F.concat(F.lit(f"| {label} | "), text(value), F.lit(" |\n"))).otherwise("")
 
@@ -92,7 +87,7 @@ def image_files(items: DataFrame, folder: str = "images", split: bool = False) -
         number = F.col("first.at") + 1
     else:  # numbered through: per-item counts first, then their running total over items
         counts = once.groupBy(F.col("first._ordinal").alias("_o")).agg(F.count("*").alias("_n"))
-        before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        before = added_up(counts, "_n", "_o", "_b").drop("_n")
         once = once.join(before, F.col("first._ordinal") == F.col("_o"))
         number = F.col("_b") + F.row_number().over(within)
     file = F.concat(F.lit(folder + "/"), F.lpad(number.cast("string"), F.greatest(F.lit(2), F.length(number.cast("string"))), F.lit("0")), F.when(ext == "", ".jpg").otherwise(ext))

@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tessera.functions.normalize import sort_year
 from tessera.operators import audit, changes, dedup, merge, repair, review, sections, stats
 
 WORK = "_ordinal long, url string, title string, materials string, description_en string, description_cn string"
@@ -75,6 +76,28 @@ def test_sections_repeat_headers(spark):
     assert rows(sections.sections(df, "year", [F.col("o")]), "o", "section") == [(1, 1), (2, 1), (3, 2), (4, 3)]
 
 
+def test_order_over_all_rows(spark):
+    import random
+
+    r = random.Random(7)
+    data = [(o, r.choice(["2018", "2018-2020", "2020", None, ""]), r.randrange(5), r.choice([None, None, None, "x", "y"])) for o in r.sample(range(-40, 90), 80)]
+    df = spark.createDataFrame(data, "o long, year string, n long, v string").repartition(5)
+    end = lambda y: y.split("-")[-1] if y else "0000"
+    by_year, by_order = sorted(sorted(data), key=lambda x: end(x[1]), reverse=True), sorted(data)
+    breaks = [i == 0 or x[1] != by_year[i - 1][1] for i, x in enumerate(by_year)]
+    got = sections.placed(df, "year", sort_year("year"), "o", bits=2)
+    assert rows(got.orderBy("place"), "place", "o", "is_break") == sorted(((i, x[0], b) for i, (x, b) in enumerate(zip(by_year, breaks, strict=True), 1)), key=repr)
+    last, total, expected = None, 0, []
+    for o, _, n, v in by_order:
+        last = v if v is not None else last
+        expected.append((o, last, total))
+        total += n
+    got = sections.added_up(sections.carried(df, "v", "o", "carried", bits=2), "n", "o", "before", bits=2)
+    assert rows(got, "o", "carried", "before") == sorted(expected, key=repr)
+    none = df.filter("o > 1000")
+    assert sections.placed(none, "year", sort_year("year"), "o").count() == sections.carried(none, "v", "o", "c").count() == sections.added_up(none, "n", "o", "b").count() == 0
+
+
 def test_gate_takes_the_first_reason(spark):
     base = {"title": "My work", "type": "Installation", "year": "2001", "materials": "", "description_en": "", "description_cn": ""}
     cases = [
