@@ -165,7 +165,8 @@ def drop_copies(docs: DataFrame, keep_largest: bool = False, id_col: str = "doc_
     """
     labelled = _labelled(docs, keep_largest, id_col, text_col)
     id_, digest, own = (unused(docs, c) for c in ("_gone_id", "_gone_digest", "_digest"))
-    gone = labelled.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(id_), F.col("digest").alias(digest)).distinct()
+    # Not made distinct, which would tie a large group to the task that its digest is dealt to; an anti join needs no such thing.
+    gone = labelled.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(id_), F.col("digest").alias(digest))
     kept = docs.withColumn(own, digest_of(doc_text(text_col)))
     kept = kept.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest)), "left_anti")
     if not labelled.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_keep") > 1)).isEmpty():
