@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import sql
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.filter_audit import audit_filters
+from tessera.llm.fim import Fim, fill_in_middle, restored
 from tessera.llm.html_extract import extract_text
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import scan_secrets
+from tessera.llm.sharding import shard_records
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.token_store import StoreFormat, read_store, write_store
 from tessera.llm.warc import warc_round_trip
@@ -82,6 +85,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep_largest=True)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, for every language, and their Shapley values times 120."""
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards are near equal in bytes."""
+    rows = shard_records(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into lines and rearranged, by digests of the output and of the text restored from it."""
+    fim = Fim()
+    rows = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), fim)
+    sha = lambda c: F.sha2(c, 256)
+    back = restored(F.col("fim.output"), F.col("fim.form"), fim)
+    return rows.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", sha("fim.output").alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -93,6 +116,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_shard_records": op12_shard_records,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,4 +127,7 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": sql.OP6,
     "op8_warc": sql.OP8,
     "op10_exact_dedup": sql.OP10,
+    "op11_filter_audit": sql.OP11,
+    "op12_shard_records": sql.OP12,
+    "op13_fill_in_middle": sql.OP13,
 }

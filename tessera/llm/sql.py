@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm.filter_audit import Filters
+from tessera.llm.fim import Fim
 from tessera.llm.mixing import GOLDEN, Mix
 from tessera.llm.near_dedup import NearDup
 from tessera.llm.quality import Rules
+from tessera.llm.sharding import Sharding
 
 W = r"[\x20\x09-\x0D]"
 
@@ -151,3 +154,88 @@ FROM p LEFT JOIN f ON p.no = f_no AND p.start = f_start AND size > 0
 
 
 OP1, OP2 = op1(NearDup()), op2(Mix())
+
+
+def op11(f: Filters) -> str:
+    """Every order is run step by step over the counts of each set of failed filters; shapley is the sum over all orders."""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '{W}+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < {f.min_words} THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < {f.min_distinct_percent} * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {f.max_capital_percent} * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN translate(t, '{f.symbols}', '') <> t THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS failed
+  FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+n AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p, a q, a r, a s, a t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS earlier
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+j AS (SELECT *, contains(failed, own) AS fails, length(translate(failed, earlier, '')) < length(failed) AS gone FROM n, k),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+def op12(s: Sharding) -> str:
+    """One order over all rows, running sums, and the shard in whose share a row's middle lies. CRC-32 by a table of 256
+    remainders, byte after byte."""
+    bit = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"""
+WITH RECURSIVE step(k, c, i) AS (
+  SELECT x, x, 0 FROM (SELECT unnest(range(256)) AS x)
+  UNION ALL
+  SELECT k, {bit}, i + 1 FROM step WHERE i < 8),
+crc AS (SELECT list(c ORDER BY k) AS t FROM step WHERE i = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, strlen(t)::BIGINT + 1 AS size, sha256(t) AS digest, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+c AS (
+  SELECT doc_id, size, digest,
+         xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM h, crc),
+o AS (SELECT *, sum(size) OVER p AS upto, row_number() OVER p - 1 AS n, sum(size) OVER () AS total FROM c WINDOW p AS (ORDER BY digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, least({s.shards} * (2 * upto - size) // (2 * total), {s.shards - 1})::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (n - min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM s
+"""
+
+
+def op13(f: Fim) -> str:
+    """restored_sha256 is the text's own digest: what any output must give back."""
+    hold = " OR ".join(f"contains(t, '{s}')" for s in f.sentinels)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{f.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '{f.unit}') AS units, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS r FROM d),
+c AS (
+  SELECT *, len(units) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS low, greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS high,
+         CASE WHEN t = '' OR {hold} OR r[3] % 100 >= {f.percent} THEN 'plain' WHEN r[4] % 100 < {f.spm_percent} THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+         coalesce(array_to_string(units[high + 1:], ''), '') AS suffix
+  FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{f.prefix}' || prefix || '{f.suffix}' || suffix || '{f.middle}' || middle
+              ELSE '{f.suffix}' || suffix || '{f.prefix}' || prefix || '{f.middle}' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+OP11, OP12, OP13 = op11(Filters()), op12(Sharding()), op13(Fim())
