@@ -104,8 +104,10 @@ class Encoder:
     has been looked up is kept, up to a bound.
     """
 
-    #: ASCII, Latin letters and common punctuation; white space is ASCII's.
-    PLAIN = "!-~\u00a1-\u024f\u2010-\u2027"
+    #: ASCII, Latin letters and common punctuation; white space is ASCII's. Letters are left out whose small form is not
+    #: one of these (capitals such as that of U+0259, and the dotted I, which becomes two characters).
+    LATIN = "".join(c for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) == 1 and ord(c.lower()) < 0x250)
+    PLAIN = f"!-~{re.escape(LATIN)}\u2010-\u2027"
     LETTER, NUMBER = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 
     def __init__(self, fmt: StoreFormat, dtype: str, cache: int = 500_000, slice: int = 1 << 23):
