@@ -81,7 +81,7 @@ def parse(source: str) -> list[Node]:
                 node.texts.append((place, text))
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
-                node.stops += text.count(". ") + text.count("? ") + text.count("! ") + (text[-1] in ".?!")
+                node.stops += text.count(". ") + text.count("? ") + text.count("! ") + text.count("\u3002") + (text[-1] in ".?!")
                 place += 1
             run, linked = [], 0
 
@@ -240,8 +240,21 @@ def _find_end(source: str, name: str, at: int) -> int:
     return m.start() if m else -1
 
 
+#: Kinds of tags: blocks of one kind share length features, and pairs of kinds share a parent-child potential.
+KINDS = {
+    "text": "p pre blockquote figcaption summary", "item": "li dt dd", "cell": "td th", "list": "ul ol dl menu", "row": "tr table tbody thead tfoot caption",
+    "heading": "h1 h2 h3 h4 h5 h6 hgroup", "main": "article main body html", "box": "div section center details figure",
+}
+KIND = {tag: kind for kind, tags in KINDS.items() for tag in tags.split()} | {"": "box"}
+
+
+def kind(tag: str) -> str:
+    return KIND.get(tag, "other")
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
-    """Names of each block's features, of its whole subtree for lengths and links."""
+    """Names of each block's features: its tag, words of its names, and by kind its length, share of links and sentences,
+    of its own texts and of its whole subtree."""
     chars, linked, stops = [n.chars for n in nodes], [n.linked for n in nodes], [n.stops for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
@@ -254,72 +267,89 @@ def features(nodes: list[Node]) -> list[list[str]]:
         if n.attrs and "=" in n.attrs:
             for m in NAMES.finditer(n.attrs):
                 own += ["n:" + x for x in PART.findall((m[1] or m[2] or m[3] or "").lower())]
-        c = chars[i]
-        size = 0 if c == 0 else 1 if c < 25 else 2 if c < 100 else 3 if c < 400 else 4
-        own.append("c:%d:%d" % (size, stops[i] > 0 if size < 3 else min(stops[i], 2)))
-        share = linked[i] / c if c else 0.0
-        own.append("l:%d" % (0 if share == 0 else 1 if share < 0.34 else 2 if share < 0.67 else 3))
+        k = kind(n.tag)
+        own.append(f"s:{k}:{_size(chars[i])}:{_share(linked[i], chars[i])}:{min(stops[i], 2)}")
+        if n.chars != chars[i]:
+            own.append(f"o:{k}:{_size(n.chars)}:{_share(n.linked, n.chars)}")
         out.append(own)
     return out
 
 
-def group(tag: str) -> str:
-    """Of tags that share a parent-child potential."""
-    if tag in ("p", "pre", "blockquote", "li", "ul", "ol", "td", "tr", "table", "tbody", "figure", "figcaption", "dd", "dt", "dl"):
-        return "text"
-    if tag[:1] == "h" and tag[1:].isdigit():
-        return "heading"
-    if tag in ("article", "main", "html", "body"):
-        return "main"
-    if tag in ("div", "section", "center", ""):
-        return "box"
-    return "other"
+def _size(c: int) -> int:
+    return 0 if c == 0 else 1 if c < 25 else 2 if c < 100 else 3 if c < 400 else 4
+
+
+def _share(linked: int, chars: int) -> int:
+    share = linked / chars if chars else 0.0
+    return 0 if share == 0 else 1 if share < 0.34 else 2 if share < 0.67 else 3
+
+
+Potential = tuple[tuple[float, float], tuple[float, float]]
 
 
 @dataclass(frozen=True)
 class Model:
-    """odds: log P(feature | text) / P(feature | other). pairs: P(child label | parent label) by the child's group, as
-    ((other-other, other-text), (text-other, text-text)). prior: log-odds of the root."""
+    """odds: log-odds that a feature gives to main text. pairs: P(child label | parent label) by the kinds of parent and
+    child, as ((other-other, other-text), (text-other, text-text)). prior: log-odds of the root."""
 
     odds: dict[str, float]
-    pairs: dict[str, tuple[tuple[float, float], tuple[float, float]]]
+    pairs: dict[tuple[str, str], Potential]
     prior: float
 
+    def pair(self, nodes: list[Node], i: int) -> Potential:
+        child = kind(nodes[i].tag)
+        return self.pairs.get((kind(nodes[nodes[i].parent].tag), child)) or self.pairs["", child]
+
+
+def train(pages: Iterator[str], smooth: float = 1.0, rounds: int = 8, step: float = 0.1) -> Model:
+    """From pages whose blocks carry data-label. A block without one has its parent's.
 
-def train(pages: Iterator[str], smooth: float = 1.0) -> Model:
-    """From pages whose blocks carry data-label. A block without one has its parent's."""
+    Potentials are counted. Features start from their counted odds, shrunk as they overlap, and then follow the gradient of
+    the labels' likelihood (label less marginal, for each block that has a feature) for some rounds over the pages.
+    """
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    count, links = Counter(), Counter()
+    count, links, read = Counter(), Counter(), []
     for page in pages:
         nodes = parse(page)
         labels = []
         for n in nodes:
             m = LABEL.search(n.attrs)
             labels.append(int(m[1]) if m else labels[n.parent] if n.parent >= 0 else 1)
-        for n, own, y in zip(nodes, features(nodes), labels, strict=True):
-            seen[y].update(own)
+        own = features(nodes)
+        read.append((nodes, own, labels))
+        for n, names, y in zip(nodes, own, labels, strict=True):
+            seen[y].update(names)
             count[y] += 1
             if n.parent >= 0:
-                links[group(n.tag), labels[n.parent], y] += 1
+                for parent in (kind(nodes[n.parent].tag), ""):
+                    links[parent, kind(n.tag), labels[n.parent], y] += 1
     names = set(seen[0]) | set(seen[1])
-    odds = {f: math.log((seen[1][f] + smooth) / (count[1] + 2 * smooth)) - math.log((seen[0][f] + smooth) / (count[0] + 2 * smooth)) for f in names}
+    odds = {f: 0.5 * (math.log((seen[1][f] + smooth) / (count[1] + 2 * smooth)) - math.log((seen[0][f] + smooth) / (count[0] + 2 * smooth))) for f in names}
+    kinds = [*KINDS, "other"]
     pairs = {}
-    for g in ("text", "heading", "main", "box", "other"):
-        rows = []
-        for p in (0, 1):
-            a, b = links[g, p, 0] + smooth, links[g, p, 1] + smooth
-            rows.append((a / (a + b), b / (a + b)))
-        pairs[g] = (rows[0], rows[1])
-    return Model(odds, pairs, 0.0)
-
-
-def marginals(nodes: list[Node], model: Model) -> list[float]:
-    """Each block's probability of being main text, by sum-product up and down the tree."""
+    for parent in ("", *kinds):
+        for child in kinds:
+            n = [[links[parent, child, p, y] for y in (0, 1)] for p in (0, 1)]
+            if parent == "" or sum(map(sum, n)) >= 50:
+                pairs[parent, child] = tuple(tuple((x + smooth) / (sum(row) + 2 * smooth) for x in row) for row in n)
+    model = Model(odds, pairs, 0.0)
+    for _ in range(rounds):
+        for nodes, own, labels in read:
+            for names, p, y in zip(own, marginals(nodes, model, own), labels, strict=True):
+                slope = step * (y - p)
+                if abs(slope) > 0.001:
+                    for f in names:
+                        odds[f] += slope
+    return model
+
+
+def marginals(nodes: list[Node], model: Model, own: list[list[str]] | None = None) -> list[float]:
+    """Each block's probability of being main text, by sum-product up and down the tree. own: the nodes' features."""
     odds = model.odds
-    up = [sum(odds.get(f, 0.0) for f in own) for own in features(nodes)]
+    up = [sum(odds.get(f, 0.0) for f in names) for names in own or features(nodes)]
     up[0] += model.prior
     n = len(nodes)
-    message, pair = [0.0] * n, [model.pairs[group(x.tag)] for x in nodes]
+    message, pair = [0.0] * n, [model.pair(nodes, i) for i in range(n)]
     exp, log = math.exp, math.log
     for i in range(n - 1, 0, -1):
         (t00, t01), (t10, t11) = pair[i]
@@ -339,7 +369,7 @@ def main_text(source: str, model: Model, least: float = 0.5) -> str:
     return "\n".join(text for _, text in sorted(kept))
 
 
-def default_model(pages: int = 400, seed: int = 3) -> Model:
+def default_model(pages: int = 800, seed: int = 3) -> Model:
     """Trained on so many labelled pages, which are made by rules: a bounded number, the same in every run."""
     return train(labelled_pages(pages, seed))
 

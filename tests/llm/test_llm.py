@@ -227,7 +227,7 @@ def test_marginals_equal_enumeration():
         p = math.exp(sum(s for s, y in zip(scores, labels, strict=True) if y))
         for i, n in enumerate(nodes):
             if i:
-                p *= model.pairs[h.group(n.tag)][labels[n.parent]][labels[i]]
+                p *= model.pair(nodes, i)[labels[n.parent]][labels[i]]
         total += p
         weight = [w + p * y for w, y in zip(weight, labels, strict=True)]
     assert np.allclose([w / total for w in weight], h.marginals(nodes, model))
