@@ -154,6 +154,16 @@ LINE_QUOTES = ("\"", "「")
 ADDRESS_WORDS = ("venue", "unit", "no.", "road", "street", "avenue", "building", "floor", "museum", "gallery", "center", "centre")
 PART_STARTERS = ("the", "a", "an", "is", "are", "was", "were", "has", "have", "and")
 
+# Lines of events and addresses, which describe no work.
+EVENT_LINE = r"\b(Opening|Exhibition|Gallery|Museum)\b.*\d{4}"
+ADDRESS_LINE = r"\d+\s+\w+\s+(Street|Road|Ave|Blvd|路|街|号)"
+
+# Durations, sizes and years within a type.
+TYPE_DURATION = "\\d+['‘’′\"]{1,2}\\d*['‘’′\"]*"
+TYPE_MINUTES = r"\d+\s*(?:min(?:utes?)?|seconds?)[^,]*"
+TYPE_SIZE = r"\d+\s*(?:cm|mm|m)?\s*[×xX]\s*\d+\s*(?:cm|mm|m)?(?:\s*[×xX]\s*\d+\s*(?:cm|mm|m)?)?"
+TYPE_YEARS = r",?\s*20\d{2}\s*[-–]\s*20\d{2}\s*,?"
+
 # Sizes and durations in the lines of a page. Order matters.
 LINE_SIZES = (
     r"(Dimension[s]?\s+variable\s*/?\s*尺寸可变)", r"(Dimension[s]?\s+variable)", r"(尺寸可变)", r"(Variable\s+size)", r"(各种尺寸)",

@@ -189,8 +189,18 @@ def is_type_line(c: Column | str, artist: Sequence[str] = ()) -> Column:
 
 
 def is_language_cn(c: Column | str) -> Column:
-    """More than half of the characters are Chinese."""
-    return F.length(text(c)) < 2 * count_chars(c, r"[一-鿿]")
+    """More than half of the letters are Chinese."""
+    return count_chars(c, r"\p{L}") < 2 * count_chars(c, r"[一-鿿]")
+
+
+def is_description_line(c: Column, materials: Column) -> Column:
+    """60 characters or more, half of them letters; no credits, list of short parts, materials, event with a year or address."""
+    parts = F.split(c, "[,，]")
+    spoken = F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(strip(x)))
+    listed = (F.length(c) < 120) & (F.size(parts) > 3) & (spoken < 20 * F.size(parts))
+    same = (materials != "") & (strip(c) == strip(materials))
+    unwritten = 2 * count_chars(c, r"\p{L}") < F.length(c)
+    return (F.length(c) >= 60) & ~is_credits_line(c) & ~listed & ~same & ~unwritten & ~c.rlike(f"(?iU){fixed.EVENT_LINE}") & ~c.rlike(f"(?iU){fixed.ADDRESS_LINE}")
 
 
 def is_date_as_duration(c: Column | str) -> Column:

@@ -41,8 +41,9 @@ def clear_shared(df: DataFrame, column: str, min_length: int, min_rows: int, sco
 
 def value_counts(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds how many rows have the same stripped value; 0 where it is blank."""
-    counts = df.groupBy(strip(column).alias("_v")).agg(F.count("*").alias(out)).filter("_v <> ''")
-    joined = df.join(counts, strip(column) == F.col("_v"), "left").drop("_v")
+    value = F.when(strip(column) != "", strip(column))  # blank ones are neither counted nor joined
+    counts = df.select(value.alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias(out))
+    joined = df.join(counts, value == F.col("_v"), "left").drop("_v")
     return joined.withColumn(out, F.coalesce(out, F.lit(0)))
 
 
@@ -58,13 +59,13 @@ def clear_contamination(works: DataFrame, order: str = "_ordinal") -> DataFrame:
     in_title = F.exists(words, lambda x: F.contains(low("materials"), x))
     score = F.when(unique_desc, 10).otherwise(0) + F.when(in_title, 5).otherwise(0)
     df = clear_shared(df, "materials", 15, 3, score, [order]).drop("_same_desc").withColumnRenamed("was_cleared", "_c0")
+    df = value_counts(df, "materials", "_same_mat")
     for i, column in enumerate(("description_en", "description_cn"), 1):
-        df = value_counts(df, "materials", "_same_mat")
         title = (F.length(strip("title")) > 2) & F.contains(low(column), F.lower(strip("title")))
         slug = F.lower(F.translate(F.element_at(F.split(F.regexp_replace(text("url"), "/+$", ""), "/"), -1), "-_", "  "))
         named = (F.length(slug) > 3) & F.contains(low(column), slug)
         own = ~blank(strip("materials")) & (F.col("_same_mat") == 1)
         score = F.when(title, 10).otherwise(0) + F.when(named, 8).otherwise(0) + F.when(own, 5).otherwise(0)
-        df = clear_shared(df, column, 30, 2, score, [order]).drop("_same_mat").withColumnRenamed("was_cleared", f"_c{i}")
+        df = clear_shared(df, column, 30, 2, score, [order]).withColumnRenamed("was_cleared", f"_c{i}")
     total = sum((F.col(f"_c{i}").cast("int") for i in range(3)), F.lit(0))
-    return df.withColumn("n_cleared", total).drop("_c0", "_c1", "_c2")
+    return df.withColumn("n_cleared", total).drop("_c0", "_c1", "_c2", "_same_mat")

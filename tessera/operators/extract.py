@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 from tessera.functions.normalize import normalize_type, normalize_year, split_bilingual, title_case
-from tessera.functions.predicates import is_credits_line, is_image, is_language_cn, is_type_line, is_video_link, names_material
+from tessera.functions.predicates import is_credits_line, is_description_line, is_image, is_language_cn, is_type_line, is_video_link, names_material
 from tessera.functions.text import (
     CJK, any_of, blank, contains_any, count_chars, count_contained, first_filled, first_line_match, first_match, has_cjk, is_bilingual, matches_any, settle, starts_with_any, strip, text,
 )
-from tessera.operators.repair import split_type
+from tessera.operators.repair import split_type, tidy_type
+from tessera.sources.html import PageLayout
+
 
 def size_and_duration(c: Column | str) -> Column:
     """struct(size, duration) of a text's first 3,000 characters, line by line."""
@@ -102,7 +104,21 @@ def after_type(lines: Column, artist: Sequence[str], title: Column, title_cn: Co
     return F.when(at > 0, _first(F.slice(lines, at + 1, 3), lambda x: ~is_size_or_year(x) & is_materials_line(x, title, title_cn, artist))).otherwise("")
 
 
-def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
+def images_of_page(images: Column, parts: Column, layout: PageLayout | None = None) -> Column:
+    """Addresses of a page's real images, each once: those in the slideshow of the project that is shown; else those in the
+    first element of each container; else those that have an original. Containment is that of start tags' numbers."""
+    layout = layout or PageLayout()
+    real = F.filter(images, lambda x: is_image(x["raw"]))
+    first = lambda kind: F.get(F.filter(parts, lambda p: p["kind"] == kind), F.lit(0))
+    inside = lambda part: F.filter(real, lambda x: F.coalesce((x["at"] > part["first"]) & (x["at"] <= part["last"]), F.lit(False)))
+    item = F.replace(F.coalesce(first("thumb")["key"], F.lit("")), F.lit("item_"), F.lit(""))
+    slides = F.get(F.filter(parts, lambda p: (p["kind"] == "slides") & (item != "") & F.contains(p["key"], F.concat(F.lit(f"{layout.slideshow}_"), item))), F.lit(0))
+    shown, held = inside(slides), F.flatten(F.array(*[inside(first(s)) for s in layout.containers]))
+    pick = F.when(F.size(shown) > 0, shown).when(F.size(held) > 0, held).otherwise(F.filter(real, lambda x: x["original"]))
+    return F.array_distinct(F.transform(pick, lambda x: x["src"]))
+
+
+def extract_works(parsed: DataFrame, artist: Sequence[str] = (), layout: PageLayout | None = None) -> DataFrame:
     """A work record for each parsed page that has a title: fields by tags, position and patterns of its lines."""
     bilingual = split_bilingual("raw_title")
     df = parsed.filter(F.col("raw_title") != "").withColumns({"_l": content_lines(F.col("lines")), "_t": bilingual})
@@ -120,26 +136,25 @@ def extract_works(parsed: DataFrame, artist: Sequence[str] = ()) -> DataFrame:
     joined = F.array_join("_c", "\n")
     scanned = _first(F.col("_c"), lambda x: is_materials_line(x, F.col("title"), F.col("title_cn"), artist))
     materials = first_filled(placed, after_type(F.col("_c"), artist, F.col("title"), F.col("title_cn")), scanned)
-    prose = F.filter("_l", lambda x: (F.length(x) >= 60) & ~is_credits_line(x))
     sized = {"size": first_line_match(joined, fixed.LINE_SIZES), "duration": first_line_match(joined, fixed.LINE_DURATIONS)}
     vimeo = F.transform("vimeo_ids", lambda x: F.concat(F.lit("https://vimeo.com/"), x))
     video = first_filled(_first(F.col("links"), is_video_link), _first(F.col("iframes"), is_video_link), F.coalesce(F.get(vimeo, F.lit(0)), F.lit("")))
-    real = F.filter("images", lambda x: is_image(x["src"]))
-    shown = F.filter(real, lambda x: x["place"] == "slideshow")
-    within = F.when(F.size(shown) > 0, shown).otherwise(F.filter(real, lambda x: x["place"] == "content"))
-    any_ = F.when(F.size(within) > 0, within).otherwise(F.filter(real, lambda x: x["best"] != ""))
     df = df.withColumns(
         {
             "_type": first_filled(type_from_tags(F.col("tags")), placed_type, by_line), "_m": materials, "credits": _first(F.col("_c"), is_credits_line), "size": sized["size"],
-            "duration": sized["duration"], "video_link": video, "images": F.array_distinct(F.transform(any_, lambda x: x["src"])),
-            "high_res_images": F.array_distinct(F.filter(F.transform("images", lambda x: x["best"]), lambda x: x != "")),
-            "description_cn": F.array_join(F.filter(prose, is_language_cn), "\n\n"), "description_en": F.array_join(F.filter(prose, lambda x: ~is_language_cn(x)), "\n\n"),
+            "duration": sized["duration"], "video_link": video, "images": images_of_page(F.col("images"), F.col("parts"), layout),
         }
     )
-    df = settle(settle(df).withColumn("_n", normalize_type(F.when((F.col("_type") == "") & (F.col("video_link") != ""), F.lit("Video")).otherwise(F.col("_type")))))
+    df = settle(settle(df).withColumns({"_e": tidy_type("_type"), "_d": F.filter("_l", lambda x: is_description_line(x, F.col("_m")))}))
+    kind = F.when((F.col("_e.type") == "") & (F.col("video_link") != ""), F.lit("Video")).otherwise(F.col("_e.type"))
+    told = lambda where: F.array_join(F.filter("_d", where), "\n\n")
+    df = settle(
+        df.withColumns({"_n": normalize_type(kind), "description_cn": told(is_language_cn), "description_en": told(lambda x: ~is_language_cn(x))})
+    )
     return df.select(
-        "url", "title", "title_cn", normalize_year("year").alias("year"), F.col("_n.type").alias("type"), first_filled("_m", "_n.materials").alias("materials"), "size", "duration",
-        "credits", "description_en", "description_cn", "video_link", "images", "high_res_images", F.lit("local").alias("source"),
+        "url", "title", "title_cn", normalize_year("year").alias("year"), F.col("_n.type").alias("type"), first_filled("_m", "_n.materials").alias("materials"),
+        first_filled("size", "_e.size").alias("size"), first_filled("duration", "_e.duration").alias("duration"),
+        "credits", "description_en", "description_cn", "video_link", "images", F.col("images").alias("high_res_images"), F.lit("local").alias("source"),
     )
 
 

@@ -138,6 +138,31 @@ def split_type(c: Column | str, artist: tuple[str, ...] = ()) -> Column:
     return F.when((t == "") | no, F.struct(nothing.alias("type"), nothing.alias("duration"), nothing.alias("size"))).otherwise(let(timed(), sized))
 
 
+def tidy_type(c: Column | str) -> Column:
+    """struct(type, duration, size): the first duration that a type starts or ends with, else its minutes, then its sizes and
+    then ranges of years taken out."""
+    own, every = fixed.TYPE_DURATION, "(?iU)"
+    ends = lambda x, signs: F.regexp_replace(x, f"[{signs}]+$", "")
+
+    def timed(t: Column) -> Column:
+        head, tail, minutes = rf"(?U)^({own})\s*(.*)$", rf"(?U)\s+({own})\s*$", rf"{every},?\s*({fixed.TYPE_MINUTES})"
+        answer = lambda rest, pattern: F.struct(rest.alias("rest"), strip(F.regexp_extract(t, pattern, 1)).alias("duration"))
+        after = F.regexp_replace(strip(F.regexp_extract(t, head, 2)), "^[\"'′″“”‘’ ]+", "")
+        return (
+            F.when(t.rlike(head), answer(after, head)).when(t.rlike(tail), answer(strip(F.regexp_replace(t, tail, "")), tail))
+            .when(t.rlike(minutes), answer(ends(strip(F.regexp_replace(t, minutes, "")), ","), minutes)).otherwise(F.struct(t.alias("rest"), F.lit("").alias("duration")))
+        )
+
+    def sized(x: Column) -> Column:
+        size = rf"(?U)({fixed.TYPE_SIZE})"
+        rest = strip(ends(ends(strip(F.regexp_replace(x["rest"], rf"(?U)\s*{fixed.TYPE_SIZE}", "")), ","), "/"))
+        rest = F.when(x["rest"].rlike(size), rest).otherwise(x["rest"])
+        bare = strip(ends(strip(F.regexp_replace(rest, f"(?U){fixed.TYPE_YEARS}", "")), ","))
+        return F.struct(bare.alias("type"), x["duration"].alias("duration"), strip(F.regexp_extract(x["rest"], size, 1)).alias("size"))
+
+    return let(let(strip(c), timed), sized)
+
+
 def changes_counted(df: DataFrame) -> DataFrame:
     """change, n: in how many rows each change was made."""
     return df.select(F.explode("changes").alias("change")).groupBy("change").agg(F.count("*").alias("n"))
@@ -169,4 +194,4 @@ def repair_counts(df: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["changes_counted", "filled", "repair_counts", "repair_credits", "repair_problems", "repair_sizes", "split_materials", "split_title", "split_type", "type_as_title"]
+__all__ = ["changes_counted", "filled", "repair_counts", "repair_credits", "repair_problems", "repair_sizes", "split_materials", "split_title", "split_type", "tidy_type", "type_as_title"]

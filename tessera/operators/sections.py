@@ -54,6 +54,21 @@ def added_up(df: DataFrame, value: str, order: str, out: str, bits: int = SPAN_B
     return cut.join(spans, F.col("_span").eqNullSafe(F.col("_s"))).withColumn(out, total).drop("_span", "_s", "_base")
 
 
+def ranked(df: DataFrame, order: Sequence[Column], out: str, ranges: int = 256, sample: int = 32) -> DataFrame:
+    """Adds out: a row's place from 0 in the order, which should be total. Whole numbers without gaps, and no task sees all rows.
+
+    The ranges * sample rows with the least hashes are a sample of bounded size; every sample-th of them in order parts the
+    rows into ranges, whose counts give each range its first place. df is read three times; where it is dear, write it first."""
+    cut = df.withColumn("_at", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
+    drawn = cut.select("_at", F.xxhash64("_at").alias("_h")).orderBy("_h").limit(ranges * sample)
+    fences = drawn.agg(F.array_sort(F.collect_list("_at")).alias("_f")).select(F.filter("_f", lambda x, i: i % sample == sample - 1).alias("_f"))
+    cut = cut.crossJoin(fences).withColumn("_range", F.size(F.filter("_f", lambda x: x <= F.col("_at")))).drop("_f")
+    counts = cut.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy("_at")) - 1
+    return cut.join(counts, F.col("_range") == F.col("_r")).withColumn(out, place.cast("long")).drop("_range", "_r", "_base", "_at")
+
+
 def sections(df: DataFrame, value: str, order: Sequence[Column], within: Sequence[str] = ()) -> DataFrame:
     """Adds is_break (value differs from the row before) and section (breaks so far), within groups."""
     w = Window.partitionBy(*within).orderBy(*order)

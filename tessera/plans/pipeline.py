@@ -11,7 +11,9 @@ from tessera.functions.predicates import is_work, is_work_link
 from tessera.operators.changes import changed
 from tessera.operators.dedup import clear_contamination, keep_first
 from tessera.operators.extract import extract_works
+from tessera.operators.lineage import cut
 from tessera.operators.merge import hybrid_merge, new_then_old
+from tessera.operators.sections import ranked
 from tessera.sources.html import PageLayout, parse_pages
 
 
@@ -30,7 +32,7 @@ def pages_to_visit(sitemap: DataFrame, snapshot: DataFrame | None, plan: Plan) -
 
 def works_of_pages(pages: DataFrame, plan: Plan, provider: DataFrame | None = None) -> DataFrame:
     """Records of pages (url, html), completed by a provider's answers (url and fields), without exhibitions and the like."""
-    local = extract_works(parse_pages(pages, plan.layout), plan.artist)
+    local = extract_works(parse_pages(pages, plan.layout), plan.artist, plan.layout)
     if provider is None:
         return local.filter(is_work("type"))
     from tessera.functions.udfs import with_similar, with_title_check
@@ -46,8 +48,11 @@ def works_of_pages(pages: DataFrame, plan: Plan, provider: DataFrame | None = No
 
 
 def publishable(new: DataFrame, old: DataFrame) -> DataFrame:
-    """New works before old ones, one for each URL, cleared of leaked values, in a stable order (_ordinal)."""
+    """New works before old ones, one for each URL, cleared of leaked values, with their places (_ordinal, from 0): new and
+    old works by their own _ordinal where they have one, then by URL. Two checkpoints are written, as both the ranks and the
+    clearing read their rows several times."""
     df = new_then_old(new, old, "url")
-    order = F.struct((~F.col("is_new")).alias("a"), F.coalesce(F.col("_ordinal"), F.lit(0)).alias("b"), F.col("url").alias("c")) if "_ordinal" in df.columns else F.struct((~F.col("is_new")).alias("a"), F.col("url").alias("c"))
-    df = keep_first(df.withColumn("_place", order), "url", ["_place"])
-    return clear_contamination(df, "_place").withColumnRenamed("_place", "_ordinal") if "_ordinal" not in df.columns else clear_contamination(df.drop("_ordinal").withColumnRenamed("_place", "_ordinal"))
+    own = F.col("_ordinal").cast("long") if "_ordinal" in df.columns else F.lit(0).cast("long")
+    df = df.withColumn("_place", F.struct((~F.col("is_new")).alias("a"), F.coalesce(own, F.lit(0)).alias("b"), F.col("url").alias("c"))).drop("_ordinal")
+    df = ranked(cut(keep_first(df, "url", ["_place"])), [F.col("_place")], "_ordinal").drop("_place")
+    return clear_contamination(cut(df), "_ordinal")

@@ -248,12 +248,13 @@ def records_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey IN (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 10 = 0 GROUP BY o_custkey)
-UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)
+SELECT o_custkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey)
+UNION ALL SELECT p_partkey, p_type FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)
 """)
 def cache_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = changes.last_version(table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"), "o_orderkey"), "k", "o_orderkey")
-    return merge.keyed_upsert(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), o, ["k"])
+    """Every customer's last order over a cache of parts' keys: keys that both have, and keys of either side alone."""
+    o = changes.last_version(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"), "o_orderkey"), "k", "o_orderkey")
+    return merge.keyed_upsert(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("v")), o, ["k"])
 
 
 @query("""

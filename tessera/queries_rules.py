@@ -84,7 +84,7 @@ SELECT p_partkey, {words_sql("lower(c)", [w.lower() for w in fixed.MATERIAL_WORD
        regexp_matches({STRIP.format("lower(c)")}, '^(?:{"|".join(p.removeprefix("^").replace("'", "''") for p in fixed.REPAIR_CREDIT_PATTERNS)})', 'i') AS is_repair_credits,
        lower(trim(c)) IN {among([k for k, _ in fixed.CANONICAL_TYPES])} OR (contains(c, '/') AND len(list_filter(string_split(c, '/'), lambda p: trim(p) <> '' AND lower(trim(p)) NOT IN {among([k for k, _ in fixed.CANONICAL_TYPES])})) = 0) AS is_type_name,
        trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')) IN {among(fixed.KNOWN_TYPES)} AS is_known_type,
-       length(c) < 2 * len(regexp_extract_all(c, '[一-鿿]')) AS is_cn
+       len(regexp_extract_all(c, '\\p{{L}}')) < 2 * len(regexp_extract_all(c, '[一-鿿]')) AS is_cn
 FROM x
 """)
 def lines_told(spark: SparkSession, sf_dir: str) -> DataFrame:

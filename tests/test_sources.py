@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import types as T
+
 from tessera import schemas
 from tessera.plans.pipeline import Plan, pages_to_visit, publishable, works_of_pages
 from tessera.sources import readers, sinks
@@ -32,7 +34,7 @@ def test_page_to_published_work(spark, tmp_path):
     assert row.images == ["http://w.example/big.jpg"] and "describes" in row.description_en
     out = publishable(works, readers.empty_works(spark).drop("_ordinal"))
     sinks.check_works(out)
-    flat = out.selectExpr("0 AS _ordinal", *schemas.WORK.fieldNames())
+    flat = publishable(works, readers.empty_works(spark)).select("_ordinal", *schemas.WORK.fieldNames())
     sinks.write_works_json(flat, f"file://{tmp_path}/works.json")
     assert json.loads((tmp_path / "works.json").read_text())[0]["title_cn"] == "名字"
     assert "名字" in (tmp_path / "works.json").read_text()
@@ -44,6 +46,35 @@ def test_page_to_published_work(spark, tmp_path):
     assert readers.read_works(spark, f"file://{tmp_path}/works.json").first().year == "2019"
 
 
+def test_published_order_is_whole_numbers(spark, tmp_path):
+    """New works first by URL, then old ones in their order; written by the sinks as they come out of the plan."""
+    work = lambda url, year, i: {f: "" for f in schemas.WORK.fieldNames()} | {"url": url, "title": url, "year": year, "images": [], "high_res_images": [], "_ordinal": i}
+    shape = T.StructType([*schemas.WORK.fields, T.StructField("_ordinal", T.LongType())])
+    old = spark.createDataFrame([work(f"o{i}", str(2000 + i % 3), 50 - i) for i in range(40)] + [work("n3", "1999", 7)], shape)
+    new = spark.createDataFrame([work(f"n{i}", "2005", None) for i in range(9, 0, -1)], shape)
+    for fresh in (new.drop("_ordinal"), new):
+        out = publishable(fresh, old)
+        got = [(r.url, r["_ordinal"]) for r in out.orderBy("_ordinal").collect()]
+        assert got == [(u, i) for i, u in enumerate([f"n{i}" for i in range(1, 10)] + [f"o{i}" for i in range(39, -1, -1)])]
+    sinks.write_portfolio(out, f"file://{tmp_path}/works.md")
+    sinks.write_works_json(out, f"file://{tmp_path}/works.json")
+    entries = [x for x in (tmp_path / "works.md").read_text().split("\n") if x.startswith("#")]
+    assert entries[:3] == ["# Portfolio", "## 2005", "### [n1](n1)"] and len(entries) == 1 + 4 + 49
+    assert len(json.loads((tmp_path / "works.json").read_text())) == 49
+    assert [tuple(r) for r in sinks.image_files(out).collect()] == []
+
+
+def test_ranks_over_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.sections import ranked
+
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("k"), (F.col("id") % 3).cast("string").alias("a"))
+    rows = ranked(df, [F.col("a"), F.col("k")], "place", ranges=9, sample=4).collect()
+    assert [(r.a, r.k) for r in sorted(rows, key=lambda r: r.place)] == sorted((r.a, r.k) for r in rows) and sorted(r.place for r in rows) == list(range(3000))
+    assert ranked(df.limit(0), [F.col("k")], "place").count() == 0
+
+
 def test_provider_answers(spark):
     rows = [("a", '{"success": true, "data": {"extract": {"title": "T", "category": "Video"}}}'), ("b", '{"success": true, "data": {"json": {"title": "J", "type": "Print"}}}'), ("c", "broken")]
     got = {r.url: (r.success, r.title, r.type) for r in readers.parse_answers(spark.createDataFrame(rows, "url string, json string")).collect()}
