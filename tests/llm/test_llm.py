@@ -53,6 +53,28 @@ def test_digest_index(spark):
     assert [len(x) for x in index.levels] == [0, 0, 0, 0, 1]
 
 
+def test_exact_dedup_goes_through_the_index(spark):
+    """The query's own runs and merges: bounded memtables, runs merged fan_in at a time, most entries passed by the filters."""
+    from tessera.llm.exact_dedup import DigestIndex, exact_dedup, memtable_rows
+
+    r = random.Random(8)
+    rows = [(i, f"text {r.randrange(4000) if i % 3 else 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = DigestIndex(spark, keep_largest=True, memtable=500, fan_in=3)
+    got = exact_dedup(df, keep_largest=True, index=index).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert sorted((x.doc_id, x.keep_id, x.group_size, x.kept) for x in got) == sorted((i, max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in rows)
+    assert [(x["level"], x["runs"]) for x in index.log] == [(0, 3), (0, 3), (1, 2)] and sum(map(len, index.levels)) == 1
+    assert index.log[-1]["entries"] <= index.log[0]["entries"] + index.log[1]["entries"] and index.compact().count() == len(groups)
+    # What passes a filter is in one run alone; of the rest most are in several, as a filter errs for one in sixteen.
+    assert all(0.4 * x["entries"] < x["passed"] < x["entries"] for x in index.log)
+    default = DigestIndex(spark, keep_largest=True, memtable=memtable_rows(len(rows)))
+    exact_dedup(df, keep_largest=True, index=default)
+    assert [x["runs"] for x in default.log] == [8] and [memtable_rows(n) for n in (0, 3, 10**8, 10**9)] == [1, 1, 4_000_000, 15_625_000]
+
+
 def test_quality(edges, nothing):
     import re
 
