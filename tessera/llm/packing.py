@@ -1,9 +1,9 @@
 """Packing into length buckets whose boundaries minimise padding, and batches of a token budget within each bucket.
 
-The histogram of all lengths is exact while there are at most EXACT different ones. Beyond, it is gathered in cells: exact up
-to 512 tokens, then 256 cells for each doubling, so it has a bounded number of rows whatever the input; boundaries are then
-cells' longest lengths, and padding may be above the minimum. Dynamic programming over it finds the boundaries. Every document then gets
-its bucket by an expression and its batch by a distributed rank.
+The histogram of all lengths is exact and comes to the driver as Arrow columns. It has a row for each different length: of
+documents with T tokens in all there are at most sqrt(2 T) of them, as that many different lengths add up to T. Dynamic
+programming over it finds the boundaries with the least padding there is. Every document then gets its bucket by an
+expression and its batch by a distributed rank.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import doc_text, keep, order_hash, running_total, word_count
 
-EXACT = 65_536
-
-
 @dataclass(frozen=True)
 class Packing:
     """At most buckets lengths; a batch holds up to budget tokens, padding counted, and one document at least."""
@@ -29,16 +26,10 @@ class Packing:
     seed: str = "pack"
 
 
-def length_cell(n: Column) -> Column:
-    """Equal for lengths that share their nine leading bits. Grows with n."""
-    shift = F.greatest(F.length(F.bin(n)) - 9, F.lit(0))
-    return (shift * 512 + (n / F.pow(F.lit(2.0), shift)).cast("long")).cast("long")
-
-
 def best_boundaries(tops: Sequence[int], counts: Sequence[int], sums: Sequence[int], buckets: int) -> list[int]:
-    """Ends of at most buckets ranges of cells (ascending by top) with the least padding in all.
+    """Ends of at most buckets ranges of lengths (tops, ascending, with their documents and tokens) with the least padding in all.
 
-    A range's padding is its documents times its longest length less its tokens. The best first cell of a last range
+    A range's padding is its documents times its longest length less its tokens. The best first length of a last range
     does not move back as the range's end moves on, so each layer is solved by halving.
     """
     m = len(tops)
@@ -51,17 +42,19 @@ def best_boundaries(tops: Sequence[int], counts: Sequence[int], sums: Sequence[i
     for _ in range(min(buckets, m) - 1):
         new, at = np.empty(m), np.zeros(m, int)
         prev = np.concatenate([[0.0], best])
-        stack = [(0, m - 1, 0, m - 1)]
-        while stack:
-            lo, hi, a, b = stack.pop()
-            if lo > hi:
-                continue
+        lo, hi, a, b = (np.array([x]) for x in (0, m - 1, 0, m - 1))
+        while len(lo):  # all middles of one depth of the halving at once
             mid = (lo + hi) // 2
-            i = np.arange(a, min(mid, b) + 1)
-            cost = prev[i] + top[mid] * (c[mid + 1] - c[i]) - (s[mid + 1] - s[i])
-            k = int(np.argmin(cost))
-            new[mid], at[mid] = cost[k], i[k]
-            stack += [(lo, mid - 1, a, int(i[k])), (mid + 1, hi, int(i[k]), b)]
+            n = np.minimum(b, mid) - a + 1
+            begin = np.cumsum(n) - n
+            i = np.repeat(a - begin, n) + np.arange(n.sum())
+            end = np.repeat(mid, n)
+            cost = prev[i] + top[end] * (c[end + 1] - c[i]) - (s[end + 1] - s[i])
+            least = np.minimum.reduceat(cost, begin)
+            first = np.minimum.reduceat(np.where(cost == np.repeat(least, n), i, m), begin)
+            new[mid], at[mid] = least, first
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (a, first), (first, b)))
+            lo, hi, a, b = (x[lo <= hi] for x in (lo, hi, a, b))
         choice.append(at)
         best = new
     ends, j = [], m - 1
@@ -75,12 +68,9 @@ def best_boundaries(tops: Sequence[int], counts: Sequence[int], sums: Sequence[i
 
 def boundaries(sized: DataFrame, packing: Packing) -> list[int]:
     """From the histogram of size over all rows."""
-    histogram = lambda cell: sized.groupBy(cell.alias("cell")).agg(F.max("size").alias("top"), F.count("*").alias("n"), F.sum("size").alias("tokens"))
-    found = histogram(F.col("size")).limit(EXACT + 1).collect()
-    if len(found) > EXACT:
-        found = histogram(length_cell(F.col("size"))).collect()
-    rows = sorted((r["top"], r["n"], r["tokens"]) for r in found)
-    return best_boundaries([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], packing.buckets)
+    histogram = sized.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").toArrow()
+    tops, counts = (histogram.column(c).to_numpy() for c in ("size", "n"))
+    return best_boundaries(tops, counts, tops * counts, packing.buckets)
 
 
 def pack(docs: DataFrame, packing: Packing | None = None, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,8 @@ from tessera.llm.common import Scratch, doc_text
 class Repeats:
     """length: bytes of a string to remove; anchor: bytes of the strings that suffixes are found by. together: fragments of
     an anchor up to which they meet in one task. most: a sorted suffix is cut after so many bytes, the rest is another.
-    part: suffixes for a range of the sort; the splitters, of border bytes, come from a sample of sample suffixes for each."""
+    part, part_bytes: suffixes, and their bytes, for a range of the sort; the splitters, of border bytes, come from a sample of
+    sample suffixes for each."""
 
     length: int = 100
     anchor: int = 40
@@ -45,6 +46,7 @@ class Repeats:
     together: int = 4096
     most: int = 4096
     part: int = 200_000
+    part_bytes: int = 128 << 20
     sample: int = 8
     border: int = 64
     slice: int = 1 << 21
@@ -425,9 +427,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, i
                 yield text[s["start"] : s["start"] + s["n"]], key, s["start"]
 
 
-def _splitters(bounded: DataFrame, total: int, params: Repeats) -> list[bytes]:
-    """bounded: key, t, spans (start, n)."""
-    parts = -(-total // params.part)
+def _splitters(bounded: DataFrame, total: int, size: int, params: Repeats) -> list[bytes]:
+    """Borders of ranges of at most about params.part suffixes and params.part_bytes bytes. bounded: key, t, spans (start, n);
+    total, size: suffixes and their bytes."""
+    parts = max(-(-total // params.part), -(-size // params.part_bytes))
     if parts < 2:
         return []
     one_in = max(1, total // (parts * params.sample))
@@ -435,11 +438,17 @@ def _splitters(bounded: DataFrame, total: int, params: Repeats) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        some = [s[: params.border] for s, key, q in _suffixes(batches) if xxhash.xxh3_64_intdigest(f"{key}:{q}") % one_in == 0]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["s"])
+        some = [(s[: params.border], len(s)) for s, key, q in _suffixes(batches) if xxhash.xxh3_64_intdigest(f"{key}:{q}") % one_in == 0]
+        columns = list(zip(*some)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64())], ["s", "n"])
 
-    some = sorted(bytes(r[0]) for r in bounded.mapInArrow(run, "s binary").collect())
-    return sorted({some[len(some) * i // parts] for i in range(1, parts)}) if len(some) >= parts else []
+    some = sorted((bytes(r[0]), r[1]) for r in bounded.mapInArrow(run, "s binary, n long").collect())
+    if len(some) < parts:
+        return []
+    # A suffix weighs its part of a range's suffixes or of its bytes, whichever is more in all.
+    weights = np.array([max(1 / params.part, n / params.part_bytes) for _, n in some])
+    at = np.searchsorted(np.cumsum(weights), weights.sum() * np.arange(1, parts) / parts)
+    return sorted({some[i][0] for i in at.tolist()})
 
 
 def _runs(bounded: DataFrame, splitters: list[bytes], params: Repeats) -> DataFrame:
@@ -482,11 +491,20 @@ def _repeated(runs: DataFrame, parts: int, params: Repeats) -> DataFrame:
     """key, start, n of suffixes with an earlier equal, from each range's merged runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by_part.setdefault(part, []).append(blob.as_py())
-        for blobs in by_part.values():
+        def by_part() -> Iterator[list[bytes]]:
+            """The runs of one range after another, so that a task holds one range at a time."""
+            now, blobs = None, []
+            for batch in batches:
+                for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if part != now and blobs:
+                        yield blobs
+                        blobs = []
+                    now = part
+                    blobs.append(blob.as_py())
+            if blobs:
+                yield blobs
+
+        for blobs in by_part():
             keys, starts, sizes, first, size = [], [], [], None, -1
             for lcp, suffix, key, start in merged([decoded(b) for b in blobs]):
                 if lcp != size or len(suffix) != size:
@@ -499,7 +517,7 @@ def _repeated(runs: DataFrame, parts: int, params: Repeats) -> DataFrame:
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, starts, sizes)], ["key", "start", "n"])
 
-    return runs.select("part", "run").repartition(max(1, parts), "part").mapInArrow(run, "key long, start long, n long")
+    return runs.select("part", "run").repartition(max(1, parts), "part").sortWithinPartitions("part").mapInArrow(run, "key long, start long, n long")
 
 
 # -- the operator ---------------------------------------------------------------------------------------------------
@@ -562,11 +580,11 @@ def remove_repeats(docs: DataFrame, params: Repeats | None = None, id_col: str =
     ends = scratch.keep(_ends(of_doc, params).distinct(), "ends", compression="zstd")
     scratch.drop(matches, cut)
     scratch.release()
-    total = ends.count()
+    total, size = ends.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if total:
         of_doc = scratch.keep(ends.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans", compression="zstd")
         bounded = suspects.select("key", "t").join(of_doc.hint("shuffle_hash"), "key")
-        splitters = _splitters(bounded, total, params)
+        splitters = _splitters(bounded, total, size, params)
         runs = scratch.keep(_runs(bounded, splitters, params), "runs", compression="zstd")
         gone = runs.filter("part < 0").select("key", "start", "n").unionByName(_repeated(runs.filter("part >= 0"), len(splitters) + 1, params))
         gone = gone.select("key", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
