@@ -194,7 +194,8 @@ def _labelled(docs: DataFrame, keep_largest: bool, id_col: str, text_col: str, i
         "digest", "id", F.when(F.col("_hit"), F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("group_size", one).alias("group_size"), F.coalesce("n_keep", one).alias("n_keep")
     )
     # Byte verification: the texts of hits, each held against the text that stays.
-    groups = groups.select("digest", "keep_id")
+    # One plan at every size: the texts are dealt by digest, so the disk needed grows in proportion.
+    groups = groups.select("digest", "keep_id").hint("merge")
     hits = scratch.keep(texts.withColumn("digest", digest_of(F.col("t"))).join(groups, "digest"), "hits")
     scratch.release()
     stays = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("t").alias("kept_t"))
