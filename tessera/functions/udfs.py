@@ -8,23 +8,24 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.predicates import is_foreign_title, is_type_name, title_fits_slug
 from tessera.functions.text import blank, slug_words, text
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity by longest matching blocks; the order of the two matters."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_title_cased(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else v.istitle() for v in values], dtype="boolean")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or k is None else urljoin(b, k) for b, k in zip(base, link, strict=True)], dtype="object")
 
