@@ -177,6 +177,10 @@ LINE_DURATIONS = (
 SKIPPED_IMAGES = ("thumbnail", "thumb_", "favicon", "/icons/", "logo", "avatar", "placeholder", "loading", "spinner", "/assets/", "1x1.gif", "blank.gif")
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif")
 
+# How small-letter descriptions introduce a work.
+QUOTED_WORK = r'(?U)^["“”]([^"“”]+)["“”]\s+is\s+(?:a|an)\s+'
+NAMED_WORK = r"(?U)^(\w[\w\s,\.]{1,30})\s+is\s+(?:a|an)\s+(?:\w+\s+){0,3}(?:artwork|installation|video|performance|piece|work|project)"
+
 # Works whose texts are known to leak into other pages.
 LEAKING_WORKS = ("guard", "one ritual", "two rituals", "absurd reality check")
 

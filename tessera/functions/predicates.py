@@ -167,11 +167,15 @@ def reads_as_foreign(body: Column | str, title: Column | str, url: Column | str)
     return (low != "") & (phrases | other | (about & titled))
 
 
+def mentioned_works(low: Column) -> tuple[Column, Column]:
+    """What a small-letter description introduces at its start: a quoted title, and a name that 'is a' work of some kind."""
+    return strip(F.regexp_extract(low, fixed.QUOTED_WORK, 1)), strip(F.regexp_extract(low, fixed.NAMED_WORK, 1))
+
+
 def names_other_work(description: Column | str, title: Column | str, url: Column | str, known: Sequence[str] = fixed.LEAKING_WORKS) -> Column:
     """A description that introduces a work which is neither this title's nor this page's."""
     low, current = F.lower(strip(description)), F.lower(text(title))
-    quoted = F.regexp_extract(low, r"(?U)^[\"“”]([^\"“”]+)[\"“”]\s+is\s+(?:a|an)\s+", 1)
-    named = F.regexp_extract(low, r"(?U)^(\w[\w\s,\.]{1,30})\s+is\s+(?:a|an)\s+(?:\w+\s+){0,3}(?:artwork|installation|video|performance|piece|work|project)", 1)
+    quoted, named = mentioned_works(low)
     other = lambda x, least: (F.length(strip(x)) > least) & ~F.contains(current, strip(x)) & ~title_fits_slug(url, strip(x))
     others = any_of(F.contains(low, F.lit(k)) & ~F.contains(slug_words(url), F.lit(k)) & ~F.contains(current, F.lit(k)) for k in known)
     return (F.length(text(description)) >= 30) & (current != "") & (other(quoted, 0) | other(named, 2) | others)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.predicates import is_foreign_title, is_type_name, title_fits_slug
-from tessera.functions.text import blank, slug_words, text
+from tessera.functions import fixed
+from tessera.functions.predicates import is_foreign_title, is_type_name, mentioned_works, title_fits_slug
+from tessera.functions.text import any_of, blank, slug_words, strip, text
 
 
 @F.pandas_udf(T.DoubleType())
@@ -51,3 +52,18 @@ def with_title_check(df: DataFrame, url: str, title: str, out: str, owners: list
     open_ = ~never & ~fits
     ratio = seq_ratio(F.when(open_, slug_words(url)), F.when(open_, clean))
     return df.withColumn(out, F.coalesce(ratio >= 0.6, ~never & fits))
+
+
+def with_other_work(df: DataFrame, description: str, title: str, url: str, out: str, owners: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """Adds out: the description introduces a work that is neither the title's nor the page's, or names one that is known to
+    leak. As names_other_work, but a mentioned title may also belong to the page by its similarity to the slug."""
+    low, current = F.lower(strip(description)), F.lower(text(title))
+    marks = []
+    for i, (mention, least) in enumerate(zip(mentioned_works(low), (0, 2), strict=True)):
+        at, ok = f"_m{i}", f"_ok{i}"
+        open_ = (F.length(mention) > least) & ~F.contains(current, mention)
+        df = with_title_check(df.withColumn(at, F.when(open_, mention)), url, at, ok, owners)
+        marks.append(F.col(at).isNotNull() & ~F.col(ok))
+    others = any_of(F.contains(low, F.lit(k)) & ~F.contains(slug_words(url), F.lit(k)) & ~F.contains(current, F.lit(k)) for k in fixed.LEAKING_WORKS)
+    told = (F.length(text(description)) >= 30) & (current != "") & (any_of(marks) | others)
+    return df.withColumn(out, told).drop("_m0", "_m1", "_ok0", "_ok1")

@@ -89,7 +89,8 @@ def merge_sources(base: Mapping[str, Column], llm: Mapping[str, Column]) -> dict
     return out
 
 
-def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Column, in_l2: Column, title_ok: Column, fits_url: Column, url: Column) -> dict[str, Column]:
+def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Column, in_l2: Column, title_ok: Column, fits_url: Column, url: Column,
+                 foreign: Mapping[str, Column] | None = None) -> dict[str, Column]:
     """Page fields (l1) and a provider's (l2) in one record.
 
     title_ok: the provider's title fits the URL or resembles the page's; fits_url: it fits the URL. A provider whose title
@@ -97,7 +98,8 @@ def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Colu
     not introduce another work, and short ones that are credits join the credits, unless those hold them already. Titles
     come from the provider if they fit (or the page has none); without a page, a title that does not fit gives way to the
     slug. Year and type only fill. At last titles lose repeated halves, and a title that is a type gives way to the slug.
-    source tells who spoke.
+    source tells who spoke. foreign: for description_en and description_cn whether they introduce another work (with_other_work
+    compares fuzzily), else names_other_work tells.
     """
     both = in_l1 & in_l2
     trusted = title_ok | blank(l2["title"])
@@ -111,7 +113,7 @@ def hybrid_merge(l1: Mapping[str, Column], l2: Mapping[str, Column], in_l1: Colu
     for f in ("description_en", "description_cn"):
         short = (F.length(clean[f]) < 100) & has_credit_marks(clean[f])
         moved = both & trusted & ~blank(clean[f]) & short
-        fits = both & trusted & ~blank(clean[f]) & ~short & ~names_other_work(clean[f], l1["title"], url)
+        fits = both & trusted & ~blank(clean[f]) & ~short & ~(foreign[f] if foreign else names_other_work(clean[f], l1["title"], url))
         had = out["credits"]
         new = moved & ~F.contains(F.lower(had), F.lower(clean[f]))
         both_credits = F.regexp_replace(F.concat(had, F.lit(". "), clean[f]), r"^[. ]+|[. ]+$", "")

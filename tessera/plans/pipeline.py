@@ -35,15 +35,19 @@ def works_of_pages(pages: DataFrame, plan: Plan, provider: DataFrame | None = No
     local = extract_works(parse_pages(pages, plan.layout), plan.artist, plan.layout)
     if provider is None:
         return local.filter(is_work("type"))
-    from tessera.functions.udfs import with_similar, with_title_check
+    from tessera.functions.udfs import with_other_work, with_similar, with_title_check
 
     fields = [c for c in provider.columns if c != "url" and c in local.columns and c not in ("images", "high_res_images", "source")]
     right = with_title_check(provider.select("url", *fields), "url", "title", "_ok").select("url", "_ok", *[F.col(f).alias("_p_" + f) for f in fields])
     joined = local.withColumn("_l1", F.lit(True)).join(right.withColumn("_l2", F.lit(True)), "url", "full")
     joined = with_similar(joined, "title", "_p_title", "_like") if "title" in fields else joined.withColumn("_like", F.lit(False))
+    told = [f for f in ("description_en", "description_cn") if f in fields]
+    for f in told:
+        joined = with_other_work(joined, "_p_" + f, "title", "url", "_other_" + f)
     flag = lambda c: F.coalesce(c, F.lit(False))
+    foreign = {f: flag(F.col("_other_" + f)) if f in told else F.lit(False) for f in ("description_en", "description_cn")}
     l2 = {f: F.col("_p_" + f) if f in fields else F.lit("") for f in local.columns}
-    merged = hybrid_merge({f: F.col(f) for f in local.columns}, l2, flag("_l1"), flag("_l2"), flag("_ok") | flag("_like"), flag("_ok"), F.col("url"))
+    merged = hybrid_merge({f: F.col(f) for f in local.columns}, l2, flag("_l1"), flag("_l2"), flag("_ok") | flag("_like"), flag("_ok"), F.col("url"), foreign)
     return joined.select("url", *[c.alias(f) for f, c in merged.items()], "images", "high_res_images").filter(is_work("type"))
 
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import fixed
 from tessera.functions import predicates as P
 from tessera.functions.text import text
 from tessera.operators import changes, dedup, importing, repair, review
-from tessera.queries_rules import Made, quoted, table
+from tessera.queries_fields import CRED, MAT, TYP, By, patterns_sql
+from tessera.queries_rules import Made, quoted, table, words_sql
 from tessera.sources import readers, sinks
 from tessera.sources.html import parse_pages
 
@@ -179,37 +181,48 @@ def titles_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", repair.split_title(HALVES.column(), cn).alias("x")).select("p_partkey", "x.*")
 
 
-@query("""
-SELECT change, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 4 WHEN 0 THEN ['materials_to_credits'] WHEN 1 THEN ['type_url'] WHEN 2 THEN ['type_to_credits'] ELSE ['materials_to_size'] END) AS change FROM part) x GROUP BY change
+@query(f"""
+WITH x AS (SELECT {MAT.sql()} AS m, {TYP.sql()} AS t, {CRED.sql()} AS c, CASE WHEN p_partkey % 3 = 0 THEN 'big' ELSE '' END AS s FROM part),
+y AS (SELECT *, {patterns_sql("trim(lower(m))", fixed.REPAIR_CREDIT_PATTERNS)} AS mc, {patterns_sql("trim(lower(t))", fixed.REPAIR_CREDIT_PATTERNS)} AS tc FROM x),
+z AS (SELECT *, CASE WHEN mc AND c = '' THEN m ELSE c END AS c1, CASE WHEN mc THEN '' ELSE m END AS m1 FROM y),
+w AS (
+  SELECT unnest([CASE WHEN mc AND c = '' THEN 'materials_to_credits' END, CASE WHEN tc AND c1 = '' THEN 'type_to_credits' END, CASE WHEN starts_with(t, 'http') THEN 'type_url' END,
+                 CASE WHEN length(t) > 100 THEN 'type_long' END, CASE WHEN starts_with(lower(m1), 'dimension') AND s = '' THEN 'materials_to_size' END]) AS change FROM z)
+SELECT change, count(*) AS n FROM w WHERE change IS NOT NULL GROUP BY change
 """)
 def repairs_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many rows each repair was made."""
-    k = F.col("p_partkey") % 4
-    mat = F.when(k == 0, "Photo: Ann").when(k == 3, "Dimension variable").otherwise("")
-    typ = F.when(k == 1, "http://x.example/").when(k == 2, "sound: Bo").otherwise("Video")
-    df = table(spark, sf_dir, "part").select(mat.alias("materials"), typ.alias("type"), F.lit("").alias("credits"), F.lit("").alias("size"))
+    size = F.when(F.col("p_partkey") % 3 == 0, "big").otherwise("")
+    df = table(spark, sf_dir, "part").select(MAT.column().alias("materials"), TYP.column().alias("type"), CRED.column().alias("credits"), size.alias("size"))
     return repair.changes_counted(repair.repair_credits(df))
 
 
-TYPES = ("video, 12 minutes", "4'30'' video", "installation 76cm × 30cm", "http://x.example", "Photo: Ann", "print", "variable size print", "sound, 45 seconds loop")
-TYPE_PARTS = (("video", "12 minutes", ""), ("video", "4'30''", ""), ("installation", "", "76cm × 30cm"), ("", "", ""), ("", "", ""), ("print", "", ""), ("", "", ""), ("sound", "45 seconds loop", ""))
-PREFIXES = ("", "big ", "old ", "new ")
-
-
-@query(
-    "SELECT p_partkey, " + ", ".join(
-        f"CASE WHEN p_partkey % 8 IN (3, 4) AND (p_partkey // 8) % 4 > 0 AND '{n}' = 'type' THEN ['', 'big ', 'old ', 'new '][((p_partkey // 8) % 4 + 1)::INT] || [{', '.join(quoted(x) for x in TYPES)}][(p_partkey % 8 + 1)::INT] "
-        f"WHEN p_partkey % 8 = 1 AND (p_partkey // 8) % 4 > 0 THEN " + ("['', 'big ', 'old ', 'new '][((p_partkey // 8) % 4 + 1)::INT] || '4''30'''' video'" if n == "type" else "''")
-        + f" ELSE " + (f"CASE WHEN p_partkey % 8 IN (3, 4, 6) THEN '' ELSE ['', 'big ', 'old ', 'new '][((p_partkey // 8) % 4 + 1)::INT] END || " if n == "type" else "") + f"[{', '.join(quoted(p[j]) for p in TYPE_PARTS)}][(p_partkey % 8 + 1)::INT] END AS {n}"
-        for j, n in enumerate(("type", "duration", "size"))
-    ) + " FROM part"
-)
+SPLIT = By(
+    1, ("", "6′00″ ", "4'30'' ", "Photo: Ann ", "http://x.example/", "cloud.data: ", "note: "), ("video", "installation", "print by Some Artist", "variable size print", "sound / 声音"),
+    ("", ", 12 minutes", ",45 Seconds loop, silent", " and so on until it has more than the eighty characters that a type can have at most"), ("", " 76cm × 30cm", ", 3 x 4 x 5 mm,/", " 30X40/"),
+)
+_Q, _MIN, _SZ = "[''‘’′\"]", fixed.TYPE_MINUTES, fixed.TYPE_SIZE
+_OWN = f"^\\d+{_Q}{{1,2}}\\d*{_Q}*"
+
+
+@query(rf"""
+WITH x AS (SELECT p_partkey, {SPLIT.sql()} AS t FROM part), y AS (SELECT *, lower(t) AS low FROM x),
+n AS (
+  SELECT *, t = '' OR regexp_matches(low, '^(?:photo(?:\s+by)?:|concept:|sound:|software:|copyright|made possible)') OR starts_with(t, 'http')
+         OR length(t) > CASE WHEN regexp_matches(t, '[/／]') AND regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[一-鿿]') THEN 150 ELSE 80 END
+         OR {words_sql("low", fixed.SIZE_MARKS)} OR contains(low, 'some artist')
+         OR (contains(t, ':') AND NOT regexp_matches(low, '^[a-z]+:') AND length(trim(substr(t, position(':' IN t) + 1))) > 30) AS none FROM y),
+d AS (
+  SELECT *, CASE WHEN regexp_matches(t, '{_OWN}') THEN regexp_extract(t, '{_OWN}') WHEN regexp_matches(t, '{_MIN}', 'i') THEN trim(regexp_extract(t, '(?i){_MIN}')) ELSE '' END AS duration,
+         CASE WHEN regexp_matches(t, '{_OWN}') THEN ltrim(trim(regexp_replace(t, '{_OWN}', '')), '''‘’′"″“” ')
+           WHEN regexp_matches(t, '{_MIN}', 'i') THEN rtrim(trim(regexp_replace(t, ',?\s*{_MIN}', '', 'gi')), ',') ELSE t END AS r FROM n)
+SELECT p_partkey, CASE WHEN none THEN '' WHEN regexp_matches(r, '{_SZ}') THEN regexp_replace(trim(regexp_replace(r, '\s*{_SZ}', '', 'g')), ',+$|/+$', '', 'g') ELSE r END AS type,
+       CASE WHEN none THEN '' ELSE duration END AS duration, CASE WHEN none THEN '' ELSE trim(regexp_extract(r, '{_SZ}')) END AS size
+FROM d
+""")
 def types_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types without the durations and sizes embedded in them. (Quoted minutes count at the beginning alone.)"""
-    made = Made("p_partkey", TYPES, PREFIXES)
-    at = F.col("p_partkey")
-    c = F.concat(F.get(F.array(*[F.lit(x) for x in PREFIXES]), (F.floor(at / 8) % 4).cast("int")), F.get(F.array(*[F.lit(x) for x in made.lists[0]]), (at % 8).cast("int")))
-    return table(spark, sf_dir, "part").select("p_partkey", repair.split_type(c).alias("x")).select("p_partkey", "x.*")
+    """Types without the durations and sizes embedded in them; blank where the text is no type."""
+    return table(spark, sf_dir, "part").select("p_partkey", repair.split_type(SPLIT.column(), ("Some Artist",)).alias("x")).select("p_partkey", "x.*")
 
 
 # -- reports ---------------------------------------------------------------------------------------------------------------------
@@ -323,11 +336,19 @@ def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(changes.cache_key(F.col("url"), prompt).alias("key"), "page_id")
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS is_title, p_partkey % 5 < 2 AS is_dated, p_partkey % 4 = 0 AS is_video FROM part")
+MISPLACED = Made("p_partkey", ("Land", "land 005", "ink, Land", "Land / 土地", " LAND ", "", "土地", " "), ("", "!", ", wood"))
+DATED = Made("p_partkey // 24", ("21.02.2014", "3 May", "1.2.2014", "12'30''", "Decembers", "4 min", ""), (" - ", "–", " "), ("15.03.2014", "on", "2015"))
+LINKED = Made("p_partkey // 7", ("https://", "http://www.", "HTTPS://"), ("vimeo.com/", "youtu.be/", "w.example/vimeo.com?", "youtube.com", "bilibili.com/video/", "example.org/"), ("1", ""))
+
+
+@query(rf"""
+WITH x AS (SELECT p_partkey, {MISPLACED.sql()} AS m, 'Land' AS title, CASE WHEN p_partkey % 5 = 0 THEN '土地' ELSE '' END AS cn, {DATED.sql()} AS d, {LINKED.sql()} AS l FROM part)
+SELECT p_partkey, m <> '' AND (lower(trim(m)) = lower(title) OR (cn <> '' AND lower(trim(m)) = cn)) AS is_title,
+       d <> '' AND (regexp_matches(d, '(?:{fixed.MONTHS})', 'i') OR regexp_matches(d, '^\d{{1,2}}\.\d{{2}}\.\d{{4}}\s*[-–]\s*\d{{1,2}}\.\d{{2}}\.\d{{4}}')) AS is_dated, {words_sql('l', fixed.VIDEO_DOMAINS)} AS is_video FROM x
+""")
 def values_misplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materials that are a title, durations that are dates, links that are videos."""
     k = F.col("p_partkey")
-    mat = F.when(k % 3 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(", ink")))
-    dated = F.when(k % 5 == 0, "21.02.2014 - 15.03.2014").when(k % 5 == 1, "from 3 May on").otherwise(F.concat(k.cast("string"), F.lit("'30''")))
-    link = F.when(k % 4 == 0, F.concat(F.lit("https://vimeo.com/"), k.cast("string"))).otherwise("https://w.example/v")
-    return table(spark, sf_dir, "part").select(k, P.is_title_as_materials(mat, F.col("p_name"), F.lit("")).alias("is_title"), P.is_date_as_duration(dated).alias("is_dated"), P.is_video_link(link).alias("is_video"))
+    part = table(spark, sf_dir, "part").withColumns({f"p_partkey // {n}": F.floor(k / n) for n in (7, 24)})
+    cn = F.when(k % 5 == 0, "土地").otherwise("")
+    return part.select(k, P.is_title_as_materials(MISPLACED.column(), F.lit("Land"), cn).alias("is_title"), P.is_date_as_duration(DATED.column()).alias("is_dated"), P.is_video_link(LINKED.column()).alias("is_video"))

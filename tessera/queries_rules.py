@@ -332,17 +332,23 @@ def layers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLES = Made("p_partkey", ("video", "Video Installation / 视频装置", "land", "Sculpture", "Game / Land", ""), ("",))
 
 
-@query("""
-WITH x AS (SELECT p_partkey, ['video', 'Video Installation / 视频装置', 'land', 'Sculpture', 'Game / Land', ''][(p_partkey % 6 + 1)::INT] AS t, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE '' END AS ty FROM part)
-SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 1, 3) THEN 'Work ' || p_partkey ELSE t END AS title,
-       CASE WHEN ty <> '' THEN ty WHEN p_partkey % 6 = 0 THEN 'Video' WHEN p_partkey % 6 = 1 THEN 'Video Installation / 视频装置' WHEN p_partkey % 6 = 3 THEN 'Sculpture' ELSE '' END AS type FROM x
-""")
+TYPED = Made("p_partkey", ("video", "Video Installation", "land", "Sculpture ", "媒体", "装置", " game", ""), ("", " / ", "/"), ("", "Land", "装置", "video", "print / 版画"))
+TYPED_URL = Made("p_partkey // 120", ("https://w.example/",), ("my-work", "MY_work_2", "a-1b", "x"), ("", "/"))
+_TITLED = "array_to_string(list_transform(regexp_extract_all(lower({0}), '\\p{{{{L}}}}+|[^\\p{{{{L}}}}]+'), lambda w: upper(w[1]) || w[2:]), '')"
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey, {TYPED.sql()} AS t, CASE WHEN p_partkey % 7 < 3 THEN p_type ELSE '' END AS ty, {TYPED_URL.sql()} AS url FROM part),
+y AS (SELECT *, lower(translate(regexp_extract(rtrim(url, '/'), '[^/]*$'), '-_', '  ')) AS slug, list_filter(list_transform(string_split(t, '/'), lambda p: lower(trim(p))), lambda p: p <> '') AS parts FROM x),
+z AS (SELECT *, lower(trim(t)) IN {among([k for k, _ in fixed.CANONICAL_TYPES])} OR (contains(t, '/') AND len(list_filter(parts, lambda p: p NOT IN {among([k for k, _ in fixed.CANONICAL_TYPES])})) = 0) AS wrong FROM y)
+SELECT p_partkey, CASE WHEN wrong THEN {_TITLED.format("slug")} ELSE t END AS title, CASE WHEN wrong AND ty = '' THEN {_TITLED.format("t")} ELSE ty END AS type FROM z
+""".replace("{{", "{").replace("}}", "}"))
 def types_as_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that are types give way to the slug."""
+    """Titles that are types, in one language or two, give way to the slug."""
     k = F.col("p_partkey")
-    url = F.concat(F.lit("https://w.example/work-"), k.cast("string"), F.lit("/"))
-    out = repair.type_as_title(TITLES.column(), F.when(k % 4 == 0, F.col("p_type")).otherwise(""), url)
-    return table(spark, sf_dir, "part").select(k, out.alias("x")).select("p_partkey", "x.*")
+    part = table(spark, sf_dir, "part").withColumn("p_partkey // 120", F.floor(k / 120))
+    out = repair.type_as_title(TYPED.column(), F.when(k % 7 < 3, F.col("p_type")).otherwise(""), TYPED_URL.column())
+    return part.select(k, out.alias("x")).select("p_partkey", "x.*")
 
 
 @query("""
@@ -382,20 +388,29 @@ def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_markdown(lines.unionByName(head))
 
 
-@query("""
-SELECT 'u' || event_id AS url, event_id % 4 <> 0 AS success, CASE WHEN event_id % 4 IN (1, 2) THEN 'T ' || event_type ELSE '' END AS title,
-       CASE event_id % 4 WHEN 1 THEN 'Video' WHEN 2 THEN 'Print' ELSE '' END AS type, CASE WHEN event_id % 4 = 1 THEN 2 ELSE NULL END AS n_images FROM events
+ANSWER = {"title": Made("event_id", ("", "A work", " Two ", "三")), "category": Made("event_id // 4", ("", "Video", "Print ")), "type": Made("event_id // 12", ("", "other", "Installation")), "year": Made("event_id // 36", ("2019", "", "2001-2003"))}
+
+
+@query(f"""
+WITH x AS (SELECT event_id, {", ".join(f"{m.sql()} AS {f}" for f, m in ANSWER.items())}, (event_id // 108) % 7 AS form, (event_id // 5) % 3 AS n FROM events),
+y AS (SELECT *, form IN (0, 1, 2, 5) AS held FROM x)
+SELECT 'u' || event_id AS url, form IN (0, 1, 3) AS success, CASE WHEN held THEN title ELSE '' END AS title, CASE WHEN held THEN year ELSE '' END AS year,
+       CASE WHEN NOT held THEN '' WHEN category <> '' THEN category ELSE type END AS type, CASE WHEN held AND n > 0 THEN n END AS n_images FROM y
 """)
 def provider_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in several envelopes: an extract, a JSON field, nothing, a failure."""
-    k = F.col("event_id") % 4
-    title = F.concat(F.lit('"title": "T '), F.col("event_type"), F.lit('"'))
+    """Answers in several envelopes: an extract, a JSON field, both, neither, an error, broken text; some fields are missing."""
+    events = table(spark, sf_dir, "events").withColumns({f"event_id // {n}": F.floor(F.col("event_id") / n) for n in (4, 12, 36)})
+    form, n = F.floor(F.col("event_id") / 108) % 7, F.floor(F.col("event_id") / 5) % 3
+    images = F.when(n == 1, F.array(F.lit("a"))).when(n == 2, F.array(F.lit("a"), F.lit("b")))
+    record = F.struct(*[m.column().alias(f) for f, m in ANSWER.items()], images.alias("images"), F.lit(1).alias("more"))
+    other = F.struct(F.lit("another").alias("title"))
+    whole = lambda success, **data: F.to_json(F.struct(*([F.lit(success).alias("success")] if success is not None else []), F.struct(*[c.alias(k) for k, c in data.items()]).alias("data")))
     body = (
-        F.when(k == 1, F.concat(F.lit('{"success": true, "data": {"extract": {'), title, F.lit(', "category": "Video", "type": "other", "images": ["a", "b"], "more": 1}}}')))
-        .when(k == 2, F.concat(F.lit('{"success": true, "data": {"json": {'), title, F.lit(', "type": "Print"}}}'))).when(k == 3, '{"success": true, "data": {}}').otherwise('{"error": "none"}')
+        F.when(form == 0, whole(True, extract=record)).when(form == 1, whole(True, json=record)).when(form == 2, whole(False, extract=record, json=other)).when(form == 3, F.lit('{"success": true, "data": {}}'))
+        .when(form == 4, F.lit('{"error": "none"}')).when(form == 5, whole(None, json=record)).otherwise(F.lit('{"success": tr'))
     )
-    df = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), body.alias("json"))
-    return readers.parse_answers(df).select("url", "success", "title", "type", F.when(F.col("images").isNotNull(), F.size("images")).alias("n_images"))
+    df = events.select(F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), body.alias("json"))
+    return readers.parse_answers(df).select("url", "success", "title", "year", "type", F.when(F.col("images").isNotNull(), F.size("images")).alias("n_images"))
 
 
 @query("SELECT DISTINCT 'https://w.example/' || (user_id % 50) || event_type AS url FROM events UNION SELECT DISTINCT 'https://w.example/' || event_type FROM events")
@@ -474,10 +489,19 @@ def foreign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", P.reads_as_foreign(F.col("b"), F.lit("My work"), F.lit("https://w.example/my-work")).alias("is_foreign"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'one ritual ' || p_name ELSE p_name END AS title, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS is_foreign FROM part")
+OWNED = Made("p_partkey", ("", "The ", "  "), ("One Ritual", "one   ritual!", "Guard, I", "one-ritual", "Two Rituals and one ritual", "land"), ("", " (2014)", " / 仪式"))
+OWNED_URL = Made("p_partkey // 54", ("https://w.example/", "https://w.example/x/"), ("One-Ritual-1", "other", "guard_i", "two-rituals", "GUARD"), ("", "/", "//"))
+OWNERS = (("two rituals", ("two-rituals", "rituals-2")), ("one ritual", ("one-ritual",)), ("guard", ("guard",)))
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey, {OWNED.sql()} AS title, {OWNED_URL.sql()} AS url FROM part),
+y AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS clean, lower(regexp_extract(rtrim(url, '/'), '[^/]*$')) AS own FROM x),
+o(place, known, slugs) AS (VALUES {", ".join(f"({i}, {quoted(k)}, [{', '.join(map(quoted, s))}])" for i, (k, s) in enumerate(OWNERS))}),
+h AS (SELECT p_partkey, arg_min(len(list_filter(slugs, lambda s: contains(own, s))) = 0, place) AS away FROM y JOIN o ON contains(clean, known) GROUP BY p_partkey)
+SELECT p_partkey, title, coalesce(away, false) AS is_foreign FROM y LEFT JOIN h USING (p_partkey)
+""")
 def sidebar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of another page that leaked from a sidebar."""
-    k = F.col("p_partkey")
-    title = F.when(k % 3 == 0, F.concat(F.lit("one ritual "), F.col("p_name"))).otherwise(F.col("p_name"))
-    url = F.when(k % 2 == 0, "https://w.example/other").otherwise("https://w.example/One-Ritual-1")
-    return table(spark, sf_dir, "part").select(k, title.alias("title"), P.is_foreign_title(url, title, [("one ritual", ["one-ritual"])]).alias("is_foreign"))
+    """Titles of another page that leaked from a sidebar: the first known title within one decides."""
+    part = table(spark, sf_dir, "part").withColumn("p_partkey // 54", F.floor(F.col("p_partkey") / 54))
+    return part.select("p_partkey", OWNED.column().alias("title"), P.is_foreign_title(OWNED_URL.column(), OWNED.column(), OWNERS).alias("is_foreign"))

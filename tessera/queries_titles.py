@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.functions.udfs import seq_ratio, with_similar
+from tessera.functions.udfs import seq_ratio, with_other_work, with_similar
 from tessera.operators.similar import similar_pairs
-from tessera.queries_rules import among, table
+from tessera.queries_rules import Made, among, quoted, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,33 @@ def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     compares each with each."""
     t = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("t"))
     return similar_pairs(t, t, "page_id", "t").filter("left_id < right_id")
+
+
+MENTION = Made(
+    "p_partkey", ("\"Guards, I\" is a ", "“Scape data” is an ", "Sacpe.data is a ", "Space Dat is an old ", "The sea of all is a ", "It turns ", "Two rituals and "), ("video", "artwork", "installation about", "thing"),
+    (" shown for the first time in a hall.", " of one ritual, in a hall with many lamps.", "."),
+)
+MENTION_URL = Made("p_partkey // 84", ("https://w.example/",), ("Sacpe-data", "guard-i", "space_data", "two-rituals"), ("", "/"))
+MENTION_TITLE = Made("p_partkey // 5", ("Sacpe.data", "", "Guards, I", "a sea of all things"))
+
+
+@query(rf"""
+WITH RECURSIVE x AS (SELECT p_partkey, {MENTION.sql()} AS d, {MENTION_URL.sql()} AS url, lower({MENTION_TITLE.sql()}) AS cur FROM part),
+s AS (SELECT *, lower(trim(d)) AS low, {_SLUG} AS s FROM x),
+m AS (SELECT *, trim(regexp_extract(low, {quoted(fixed.QUOTED_WORK.removeprefix("(?U)"))}, 1)) AS q, trim(regexp_extract(low, {quoted(fixed.NAMED_WORK.removeprefix("(?U)"))}, 1)) AS n FROM s),
+u AS (SELECT p_partkey * 2 AS id, p_partkey, s, q AS t FROM m WHERE length(q) > 0 AND NOT contains(cur, q) UNION ALL SELECT p_partkey * 2 + 1, p_partkey, s, n FROM m WHERE length(n) > 2 AND NOT contains(cur, n)),
+c AS (SELECT *, regexp_replace(t, '[^\p{{L}}\p{{N}}\s]', ' ', 'g') AS clean, regexp_replace(s, '[^\p{{L}}\p{{N}}]', '', 'g') AS sc, regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g') AS tc FROM u),
+f AS (
+  SELECT *, lower(trim(t)) IN {among([k for k, _ in fixed.CANONICAL_TYPES])} AS never,
+         len(list_intersect({_SPLIT.format("s")}, {_SPLIT.format("clean")})) / greatest(len({_SPLIT.format("s")}), 1)::DOUBLE >= 0.5 OR (sc <> '' AND tc <> '' AND (contains(tc, sc) OR contains(sc, tc))) AS fits FROM c),
+p AS (SELECT id, s AS a, clean AS b FROM f),
+{blocks_sql("p", "x_")},
+o AS (SELECT p_partkey, bool_or(never OR NOT (fits OR ratio >= 0.6)) AS other FROM f JOIN x_ USING (id) GROUP BY p_partkey)
+SELECT p_partkey, length(d) >= 30 AND cur <> '' AND (coalesce(other, false) OR {" OR ".join(f"(contains(low, {quoted(k)}) AND NOT contains(s, {quoted(k)}) AND NOT contains(cur, {quoted(k)}))" for k in fixed.LEAKING_WORKS)}) AS is_other
+FROM m LEFT JOIN o USING (p_partkey)
+""")
+def descriptions_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions that introduce another work than the title's or the page's, with slugs that are spelt a little otherwise."""
+    part = table(spark, sf_dir, "part").withColumns({f"p_partkey // {n}": F.floor(F.col("p_partkey") / n) for n in (5, 84)})
+    df = part.select("p_partkey", MENTION.column().alias("d"), MENTION_URL.column().alias("url"), MENTION_TITLE.column().alias("title"))
+    return with_other_work(df, "d", "title", "url", "is_other").select("p_partkey", "is_other")
