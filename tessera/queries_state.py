@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import baseline, discover, history
 from tessera.queries_rules import table
 from tessera.sources import functions
+from tessera.streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,3 +150,15 @@ def links_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of every page, by the table function html_links in SQL."""
     functions.register(spark)
     return spark.sql("SELECT page_id, place, href, address FROM {p}, LATERAL html_links(html, url)", p=table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH o AS (SELECT user_id::VARCHAR AS url, event_type AS lastmod, ts AS at, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events),
+k AS (SELECT url, lastmod, at FROM o WHERE before IS NULL OR at > before),
+l AS (SELECT *, lag(at) OVER w AS last, lag(lastmod) OVER w AS version FROM k WINDOW w AS (PARTITION BY url ORDER BY at))
+SELECT url, lastmod, at, CASE WHEN last IS NULL OR at - last > INTERVAL 8 HOURS THEN 'new' ELSE 'modified' END AS change FROM l WHERE last IS NULL OR at - last > INTERVAL 8 HOURS OR lastmod <> version
+""")
+def versions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream with keyed state reports of users' events, as versions that are forgotten after eight hours."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("lastmod"), F.col("ts").alias("at"))
+    return keyed.changes_in_order(rows, timedelta(hours=8))
