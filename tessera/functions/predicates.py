@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 from tessera.functions.text import (
-    any_of, blank, compared, contains_any, count_chars, count_contained, filled, first_filled, found, has_cjk, is_bilingual, matches_any, slug, slug_words,
+    any_of, blank, compared, contains_any, count_chars, count_contained, filled, first_filled, found, has_cjk, is_bilingual, matches_any, mean_segment, slug, slug_words,
     starts_with_any, strip, text, tokens,
 )
 
@@ -200,8 +200,7 @@ def is_language_cn(c: Column | str) -> Column:
 def is_description_line(c: Column, materials: Column) -> Column:
     """60 characters or more, half of them letters; no credits, list of short parts, materials, event with a year or address."""
     parts = F.split(c, "[,，]")
-    spoken = F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(strip(x)))
-    listed = (F.length(c) < 120) & (F.size(parts) > 3) & (spoken < 20 * F.size(parts))
+    listed = (F.length(c) < 120) & (F.size(parts) > 3) & (mean_segment(c) < 20)
     same = (materials != "") & (strip(c) == strip(materials))
     unwritten = 2 * count_chars(c, r"\p{L}") < F.length(c)
     return (F.length(c) >= 60) & ~is_credits_line(c) & ~listed & ~same & ~unwritten & ~c.rlike(f"(?iU){fixed.EVENT_LINE}") & ~c.rlike(f"(?iU){fixed.ADDRESS_LINE}")

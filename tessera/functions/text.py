@@ -89,6 +89,12 @@ def count_chars(c: Column | str, pattern: str) -> Column:
     return F.length(text(c)) - F.length(F.regexp_replace(text(c), pattern, ""))
 
 
+def mean_segment(c: Column | str, by: str = "[,，]") -> Column:
+    """The average length of a text's parts, without white space at their ends."""
+    parts = F.split(text(c), by)
+    return F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(strip(x))) / F.size(parts)
+
+
 def is_bilingual(c: Column | str) -> Column:
     """A slash, an ASCII letter and a Chinese character."""
     return text(c).rlike("[/／]") & text(c).rlike("[A-Za-z]") & has_cjk(c)

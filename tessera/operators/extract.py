@@ -11,7 +11,7 @@ from tessera.functions import fixed
 from tessera.functions.normalize import normalize_type, normalize_year, split_bilingual, title_case
 from tessera.functions.predicates import is_credits_line, is_description_line, is_image, is_language_cn, is_type_line, is_video_link, names_material
 from tessera.functions.text import (
-    CJK, any_of, blank, contains_any, count_chars, count_contained, first_filled, first_line_match, first_match, has_cjk, is_bilingual, matches_any, settle, starts_with_any, strip, text,
+    CJK, any_of, blank, contains_any, count_chars, count_contained, first_filled, first_line_match, has_cjk, is_bilingual, let, matches_any, settle, starts_with_any, strip, text,
 )
 from tessera.operators.repair import split_type, tidy_type
 from tessera.sources.html import PageLayout
@@ -168,11 +168,17 @@ def type_of_markdown(md: Column | str) -> Column:
     return F.when(first.isin(*fixed.EXHIBITION_LINES), "Exhibition").when(first != "", "Catalog").otherwise(title_case(kind))
 
 
+def credits_of_markdown(md: Column | str) -> Column:
+    """What the first of the credits' patterns finds anywhere in the lines of the first 3,000 characters."""
+    every = lambda head: F.array(*[F.regexp_extract(head, f"(?imdU){p}", 0) for p in fixed.CREDIT_PATTERNS])
+    return _first(F.transform(let(F.substring(text(md), 1, 3000), every), strip), lambda x: x != "")
+
+
 def from_markdown(md: Column | str) -> dict[str, Column]:
     """type, title_cn, materials, credits, size, duration, video_link of a page's Markdown."""
     lines = F.filter(F.transform(F.split(text(md), "\n"), strip), lambda x: x != "")
     few = F.slice(lines, 1, 30)
-    credits = F.coalesce(first_match(md, [rf"(?m)({p if p.startswith('^') else '^' + p}$)" for p in fixed.CREDIT_PATTERNS]), F.lit(""))
+    credits = credits_of_markdown(md)
     sized = size_and_duration(md)
     video = F.regexp_extract(text(md), r"(https?://(?:www\.)?(?:vimeo\.com|youtube\.com|youtu\.be|bilibili\.com)[^\s)\]]+)", 1)
     cn = strip(F.regexp_extract(text(md), r"\*\*([^*]+)\s*/\s*([^*]+)\*\*", 2))

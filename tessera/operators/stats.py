@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.normalize import type_facet
 from tessera.functions.text import blank, count_chars, text
+from tessera.operators.review import PENDING, list_records, prune_terminal
 
 
 def fill_rates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -43,6 +45,23 @@ def recent_batches(batches: DataFrame, rollup: DataFrame, key: str, limit: int =
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in rollup.columns if c != key})
 
 
+def works_shown(works: DataFrame, labels: Mapping[str, str], facet: str | None = None, columns: Sequence[str] | None = None, order: str = "_ordinal", limit: int = 100) -> DataFrame:
+    """The first works (the limit is the table's) of a facet, or of all, in the chosen columns under their labels. facet: as a
+    choice shows it, with its count in brackets after it or without. Columns that the works lack are left out."""
+    if facet is not None:
+        works = works.filter(type_facet("type") == facet.rsplit(" (", 1)[0])
+    chosen = [c for c in (columns if columns is not None else labels) if c in works.columns]
+    return works.orderBy(order).limit(limit).select(*[F.col(c).alias(labels.get(c, c)) for c in chosen])
+
+
+def pending_listed(batches: DataFrame, records: DataFrame, rollup: DataFrame, settings: Mapping[str, Column], most: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a review opens with: one row of settings, the newest batches with their rollup (finished ones left out), and the
+    records of batches that are not finished and wait for someone, the newest first."""
+    open_, kept = prune_terminal(batches, records)
+    one = batches.sparkSession.range(1).select(*[c.alias(name) for name, c in settings.items()])
+    return one, recent_batches(open_, rollup, "id", most), list_records(kept, PENDING)
+
+
 def batch_status(rollup: DataFrame, current: Column, accepted: str = "accepted", terminal: Sequence[str] = ("completed", "failed")) -> Column:
     return F.when(current.isin(*terminal), current).when(F.col(accepted) > 0, "ready_to_apply").otherwise("reviewing")
 

@@ -90,6 +90,21 @@ def types_tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", repair.tidy_type(TYPE.column()).alias("x")).select("p_partkey", "x.*")
 
 
+# -- credits ----------------------------------------------------------------------------------------------------------
+
+CREDITED = Made(
+    "p_partkey", ("Title\n", "", "see photo: none\n"), ("Photo: Ann Bo", "concept : Cy", "text, made possible by all of us, and more", "a collaboration with Di", "light: Ann, Bo; sound: Cy", "plain", "  Copyright by Ed  "),
+    ("\n", ""), ("sound: Fay", "team: Gus\nvenue: Hall", "", "more text"),
+)
+_CREDITS = ", ".join(f"nullif(trim(regexp_extract(md, {quoted('(?im)' + p)})), '')" for p in fixed.CREDIT_PATTERNS)
+
+
+@query(f"WITH x AS (SELECT p_partkey, {CREDITED.sql()} AS md FROM part) SELECT p_partkey, coalesce({_CREDITS}, '') AS credits FROM x")
+def credits_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credits anywhere in Markdown, by the first pattern that finds any."""
+    return table(spark, sf_dir, "part").select("p_partkey", extract.credits_of_markdown(CREDITED.column()).alias("credits"))
+
+
 # -- images -----------------------------------------------------------------------------------------------------------
 
 # A page of three projects: which one is shown (none, one without an id, or one whose slideshow is not there), and where else

@@ -8,7 +8,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import baseline, discover, history
+from tessera.functions.text import mean_segment
+from tessera.operators import baseline, discover, history, stats
 from tessera.queries_rules import table
 from tessera.sources import functions
 from tessera.streaming import keyed
@@ -153,12 +154,47 @@ def links_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT user_id::VARCHAR AS url, event_type AS lastmod, ts AS at, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events),
-k AS (SELECT url, lastmod, at FROM o WHERE before IS NULL OR at > before),
-l AS (SELECT *, lag(at) OVER w AS last, lag(lastmod) OVER w AS version FROM k WINDOW w AS (PARTITION BY url ORDER BY at))
-SELECT url, lastmod, at, CASE WHEN last IS NULL OR at - last > INTERVAL 8 HOURS THEN 'new' ELSE 'modified' END AS change FROM l WHERE last IS NULL OR at - last > INTERVAL 8 HOURS OR lastmod <> version
+WITH o AS (SELECT user_id::VARCHAR AS url, event_type AS lastmod, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS prev FROM events),
+k AS (SELECT url, lastmod, ts FROM o WHERE prev IS NULL OR ts > prev),
+l AS (SELECT *, lag(ts) OVER w AS last, lag(lastmod) OVER w AS version FROM k WINDOW w AS (PARTITION BY url ORDER BY ts))
+SELECT url, lastmod, ts AS seen_at, CASE WHEN last IS NULL OR ts - last > INTERVAL 8 HOURS THEN 'new' ELSE 'modified' END AS change FROM l WHERE last IS NULL OR ts - last > INTERVAL 8 HOURS OR lastmod <> version
 """)
 def versions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream with keyed state reports of users' events, as versions that are forgotten after eight hours."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("lastmod"), F.col("ts").alias("at"))
-    return keyed.changes_in_order(rows, timedelta(hours=8))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("lastmod"), F.col("ts").cast("timestamp").alias("at"))
+    return keyed.changes_in_order(rows, timedelta(hours=8)).select("url", "lastmod", F.col("at").cast("timestamp_ntz").alias("seen_at"), "change")
+
+
+@query("""
+SELECT p_partkey AS "Key", p_name AS "Title", p_type AS "Type" FROM part WHERE p_type = 'PROMO' ORDER BY p_partkey LIMIT 100
+""")
+def works_of_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred parts (the table's limit is the feature) of a facet, in chosen columns under their labels."""
+    kind = F.when(F.col("p_type") == "PROMO", "Single channel video").otherwise(F.col("p_type"))
+    works = table(spark, sf_dir, "part").withColumn("type", kind)
+    labels = {"p_partkey": "Key", "p_name": "Title", "p_type": "Type", "p_none": "None", "type": "Facet"}
+    return stats.works_shown(works, labels, "Video (12)", ["p_partkey", "p_name", "p_type", "p_none"], "p_partkey")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O')
+SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS batch_id, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'needs_review' ELSE 'ready_for_review' END END AS status
+FROM lineitem WHERE l_orderkey IN (SELECT id FROM b) AND l_returnflag <> 'R'
+""")
+def records_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items that wait for review in orders that are not finished."""
+    status = F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_linenumber") % 2 == 0, "needs_review").otherwise("ready_for_review")
+    records = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("batch_id"), status.alias("status"))
+    done = F.when(F.col("o_orderstatus") == "O", "reviewing").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), done.alias("status"))
+    rollup = records.groupBy(F.col("batch_id").alias("id")).agg(F.count("*").alias("n"))
+    return stats.pending_listed(batches, records, rollup, {"mode": F.lit("manual")})[2]
+
+
+@query(r"""
+SELECT doc_id, list_sum(list_transform(string_split_regex(coalesce(text, ''), '[,，]'), lambda p: length(regexp_replace(p, '^[\s\p{Z}\x0B\x1C-\x1F\x{85}]+|[\s\p{Z}\x0B\x1C-\x1F\x{85}]+$', '', 'g'))))::DOUBLE / len(string_split_regex(coalesce(text, ''), '[,，]')) AS mean
+FROM documents
+""".replace("\\\\", "\\"))
+def segments_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average length of the parts that commas make of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", mean_segment("text").alias("mean"))
