@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -369,6 +370,7 @@ def main_text(source: str, model: Model, least: float = 0.5) -> str:
     return "\n".join(text for _, text in sorted(kept))
 
 
+@lru_cache(4)
 def default_model(pages: int = 800, seed: int = 3) -> Model:
     """Trained on so many labelled pages, which are made by rules: a bounded number, the same in every run."""
     return train(labelled_pages(pages, seed))

@@ -26,6 +26,8 @@ CANDIDATE = (
     rf"(?<![{CHARS}])(?:(?=[A-Za-z+/_\-]*[0-9])[{CHARS}]{{16,}}={{0,2}}|(?=[A-Z+/_\-]*[a-z][a-z+/_\-]*[A-Z])[{CHARS}]{{20,}}={{0,2}})"
     rf"|(?<=[\s:=\"'`])(?<=(?i:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"'`]?)[^\s\"'`,;<>:=][^\s\"'`,;<>]{{7,}}"
 )
+#: What every text with a candidate has: a long run, or a name before a sign of assignment. Cheaper than looking for candidates.
+HINT = rf"[{CHARS}]{{16}}|(?i:{NAMES})[\"']?\s{{0,2}}[:=]"
 BEFORE, AFTER = 48, 16
 # Words and word parts that names, paths and prose are made of.
 DICTIONARY = (
@@ -168,10 +170,21 @@ def train_forest(spark: SparkSession, params: Forest) -> list[Callable[[dict[str
     return [_tree(tree.toDebugString.splitlines()[1:]) for tree in model.trees]
 
 
+_FORESTS: dict[Forest, list] = {}
+
+
+def _trained(spark: SparkSession, params: Forest) -> list[Callable[[dict[str, Column]], Column]]:
+    """Of this process: the training table and the forest depend on params alone, so they are made once."""
+    if params not in _FORESTS:
+        _FORESTS[params] = train_forest(spark, params)
+    return _FORESTS[params]
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ordinal (of the candidate in the text), candidate, before, after."""
-    df = docs.select(F.col(id_col), doc_text(text_col).alias("_t")).withColumn("_c", F.regexp_extract_all("_t", F.lit(CANDIDATE), 0)).filter(F.size("_c") > 0)
-    df = df.select(id_col, "_c", F.split("_t", CANDIDATE, -1).alias("_p"))
+    # Texts without candidates give no rows; a filter on their number would have them looked for twice.
+    df = docs.select(F.col(id_col), doc_text(text_col).alias("_t")).filter(F.col("_t").rlike(HINT))
+    df = df.select(id_col, F.regexp_extract_all("_t", F.lit(CANDIDATE), 0).alias("_c"), F.split("_t", CANDIDATE, -1).alias("_p"))
     ends = F.transform("_c", lambda c, i: F.struct(i.alias("ordinal"), c.alias("candidate"), F.right(F.get("_p", i), F.lit(BEFORE)).alias("before"), F.left(F.get("_p", i + 1), F.lit(AFTER)).alias("after")))
     return df.select(id_col, F.explode(ends).alias("x")).select(id_col, "x.*")
 
@@ -183,7 +196,7 @@ def scan_secrets(docs: DataFrame, params: Forest | None = None, id_col: str = "d
     ignored; an empty table gives an empty one.
     """
     params = params or Forest()
-    trees = train_forest(docs.sparkSession, params)
+    trees = _trained(docs.sparkSession, params)
     found = candidates(docs, id_col, text_col)
     own = feature_columns(F.col("candidate"), F.col("before"), F.col("after"))
     found = found.withColumns({f"f_{f}": own[f].cast("double") for f in FEATURES})
