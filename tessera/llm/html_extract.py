@@ -379,7 +379,7 @@ def default_model(pages: int = 800, seed: int = 3) -> Model:
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
-    A null page is empty and has no text. Rows are independent of each other; repeated ones give equal rows. Other
+    A null page is empty and has no text; a very long one is parsed whole, in time that grows with its length. Rows are independent of each other; repeated ones give equal rows. Other
     columns are ignored; an empty table gives an empty one.
     """
     model = model or default_model()

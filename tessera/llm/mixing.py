@@ -132,7 +132,8 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The documents of the mix with all their columns: each as many times as the mix takes its words, rounded half up.
 
-    Rows that share an id are taken equally often: as often as the one taken most.
+    Rows that share an id are taken equally often: as often as the one taken most. A null or empty text has no words and is
+    not taken; a document is taken whole, however long; an empty table gives an empty one.
     """
     mix = mix or Mix()
     id_, copies, copy = (unused(docs, c) for c in ("_id", "_copies", "_copy"))

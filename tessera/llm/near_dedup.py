@@ -379,6 +379,7 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, params: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns, whatever they are called: one document of each component,
-    rows without an id, and every row of an id that stays."""
+    rows without an id, and every row of an id that stays. Null and empty texts are like nothing and stay; very long ones are
+    compared whole; an empty table gives an empty one."""
     gone = near_duplicates(docs, params, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias(unused(docs, "gone"))).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col(gone.columns[0]), "left_anti")

@@ -78,7 +78,7 @@ def pack(docs: DataFrame, packing: Packing | None = None, size: Column | None =
 
     size: tokens of a row, else its words. A null text has none and goes to the shortest bucket. Documents of a bucket
     are batched in the order of a hash of their ids, or of their texts where they have none; repeated rows lie next to each other. A document longer than the
-    budget is a batch. Other columns are ignored; an empty table gives an empty one.
+    budget, however long, is a batch. Other columns are ignored; an empty table gives an empty one.
     """
     packing = packing or Packing()
     size = word_count(doc_text(text_col)) if size is None else size

@@ -282,7 +282,8 @@ def write_store(docs: DataFrame, fmt: StoreFormat, folder: str | None = None, id
     """Encodes all documents and writes the store; returns its folder.
 
     A null text is empty: its ids are the end id alone. Rows without an id come first. Rows that repeat id and text store
-    nothing more. An empty table gives a store without documents.
+    nothing more. Very long texts are encoded whole, slice by slice of a batch's bytes. An empty table gives a store without
+    documents.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
