@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import settle
 from tessera.functions.udfs import seq_ratio
 
 #: Titles whose grams tell which ones are frequent, and how many frequent ones are told apart. Others count as rare.
@@ -73,11 +74,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, id_col: str, text_col: str,
         x, y = (_postings(df, frequent, q, least, test) for df in (a, b))
         pairs = x.join(y.select("gram", F.col("id").alias("id_"), F.col("n").alias("n_")), "gram").filter(lengths).select("id", "id_")
         found = pairs if found is None else found.unionByName(pairs)
-    texts = b.select(F.col("id").alias("id_"), F.col("t").alias("t_"), F.col("n").alias("n_"))
+    # Each text's grams are made once, before it meets its candidates.
+    held = lambda df: settle(df.withColumns({"g1": grams(F.col("t"), 1), "g2": grams(F.col("t"), 2)}))
+    texts = held(b).select(*[F.col(c).alias(c + "_") for c in ("id", "t", "n", "g1", "g2")]).withColumnRenamed("id_", "_j")
     ids = found.distinct()
-    met = ids.join(a.withColumnRenamed("id", "_i"), F.col("id").eqNullSafe(F.col("_i"))).drop("_i").join(texts.withColumnRenamed("id_", "_j"), F.col("id_").eqNullSafe(F.col("_j"))).drop("_j")
-    shared = F.size(F.array_intersect(grams(F.col("t"), 1), grams(F.col("t_"), 1)))
-    open_ = met.filter(lengths & (shared >= common_grams(F.col("n") + F.col("n_"), 1, least)))
+    met = ids.join(held(a).withColumnRenamed("id", "_i"), F.col("id").eqNullSafe(F.col("_i"))).drop("_i").join(texts, F.col("id_").eqNullSafe(F.col("_j"))).drop("_j")
+    shares = lambda q: F.size(F.array_intersect(f"g{q}", f"g{q}_")) >= common_grams(F.col("n") + F.col("n_"), q, least)
+    open_ = met.filter(lengths & shares(2) & shares(1))
     ratio = F.when(F.col("t") == F.col("t_"), F.lit(1.0)).otherwise(seq_ratio(F.col("t"), F.col("t_")))
     return open_.select(F.col("id").alias("left_id"), F.col("id_").alias("right_id"), ratio.alias("ratio")).filter(F.col("ratio") >= least)
 
