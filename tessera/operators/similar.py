@@ -5,7 +5,11 @@ is r or more, then the shorter text has at least r T / 2 characters, and the tex
 M matched characters lie in at most T - 2 M + 1 blocks, as two blocks have an unmatched character between them, and a block
 of n has n - q + 1 grams. So at least (2 q - 1) M - (q - 1) (T + 1) grams are common, each counted as often as both have it.
 Two sets with that many common members share one among the first few of each, in any order that both follow: only those
-are joined on. Rare grams come first, so few rows meet. What is left is compared for real.
+are joined on. Rare grams come first, so few rows meet. Of those that meet, the join itself drops most: parities of hashed
+grams of two differ in no more bits than the sets differ in members. What is left is compared for real.
+
+Equal texts are one until the end: what is joined and compared are different texts, and a pair of them becomes the pairs of
+their rows only when all is known. A text that many rows have is dealt out in parts for that.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import settle
 from tessera.functions.udfs import seq_ratio
 
-#: Titles whose grams tell which ones are frequent, and how many frequent ones are told apart. Others count as rare.
-SAMPLE, FREQUENT = 10_000, 2_000
+#: Titles whose grams tell which ones are frequent, and how many hash values of grams are told apart for that.
+SAMPLE, HASHES = 10_000, 1 << 14
+#: Longs of parity bits for each text; rows of one text that meet the rows of another in one task.
+SIGNATURE, PART = 4, 512
 
 
 def grams(c: Column, q: int) -> Column:
@@ -37,20 +43,48 @@ def _partner(n: Column, least: float) -> Column:
     return F.ceil(n * least / (2 - least) - 1e-9)
 
 
+def _hash(g: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring_index(g, "\x00", 1)), F.lit(HASHES)).cast("int")
+
+
+def _parities(g: Column) -> list[Column]:
+    """SIGNATURE longs: each bit tells whether an odd number of the grams has its hash value."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x, F.lit(1)), F.lit(64)).cast("int"))
+
+    def word(i: int) -> Column:
+        return F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: F.when(F.pmod(F.xxhash64(x), F.lit(SIGNATURE)) == i, acc.bitwiseXOR(bit(x))).otherwise(acc))
+
+    return [word(i).alias(f"s{i}") for i in range(SIGNATURE)]
+
+
 def _postings(df: DataFrame, frequent: DataFrame, q: int, least: float, test: Column) -> DataFrame:
-    """gram, id, n for the first grams of each text that test admits."""
+    """gram, key, n and parities for the first grams of each text that test admits."""
     need = common_grams(F.col("n") + _partner(F.col("n"), least), q, least)
-    ranked = df.filter(test).withColumn("g", grams(F.col("t"), q)).crossJoin(frequent)  # one row
-    place = lambda g: F.struct(F.coalesce(F.element_at("f", F.substring_index(g, "\x00", 1)), F.lit(0).cast("long")), F.xxhash64(g), g.alias("g"))
+    made = df.filter(test).select("key", "n", grams(F.col("t"), q).alias("g"), grams(F.col("t"), 2).alias("g2"))
+    ranked = settle(settle(made).select("key", "n", "g", *_parities(F.col("g2")))).crossJoin(frequent)  # one row
+    place = lambda g: F.struct(F.get("f", _hash(g)), F.xxhash64(g), g.alias("g"))
     first = F.slice(F.array_sort(F.transform("g", place)), 1, F.greatest(F.size("g") - F.greatest(need, F.lit(1)).cast("int") + 1, F.lit(0)))
-    return ranked.select("id", "n", F.explode(first).alias("x")).select(F.col("x.g").alias("gram"), "id", "n")
+    signature = [f"s{i}" for i in range(SIGNATURE)]
+    return ranked.select("key", "n", *signature, F.explode(first).alias("x")).select(F.col("x.g").alias("gram"), "key", "n", *signature)
 
 
 def _frequent(df: DataFrame, q: int) -> DataFrame:
-    """One row: how often each of the most frequent grams is in a sample of the texts (those of the least hashes)."""
+    """One row: how often grams of each hash value are in a sample of the texts (those of the least hashes)."""
     some = df.select("t").orderBy(F.xxhash64("t")).limit(SAMPLE).select(F.explode(grams(F.col("t"), q)).alias("g"))
-    counts = some.groupBy(F.substring_index("g", "\x00", 1).alias("g")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "g").limit(FREQUENT)
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "k"))).alias("f"))
+    counts = some.groupBy(_hash(F.col("g")).alias("h")).agg(F.count("*").cast("int").alias("k"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1)))
+    every = df.sparkSession.range(1).select(at.alias("h")).join(counts, "h", "left").select("h", F.coalesce("k", F.lit(0)).alias("k"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "k"))), lambda x: x["k"]).alias("f"))
+
+
+def _expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id, ratio: pairs (key, key_, ratio) of texts as pairs of their rows (key, id). No task meets more than
+    about PART rows of a right text at once with those of a left one."""
+    parts = right.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = right.join(parts, "key").select(F.col("key").alias("key_"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("right_id"))
+    counted = pairs.join(parts.withColumnRenamed("key", "key_"), "key_")
+    each = left.join(counted, "key").select(F.col("id").alias("left_id"), "key_", "ratio", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return each.join(dealt, ["key_", "part"]).select("left_id", "right_id", "ratio")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, id_col: str, text_col: str, least: float = 0.9) -> DataFrame:
@@ -61,35 +95,48 @@ def similar_pairs(left: DataFrame, right: DataFrame, id_col: str, text_col: str,
     """
     if not 2 / 3 < least <= 1:
         raise ValueError("least must be above 2/3 and at most 1")
-    narrow = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("trim(t) <> ''").withColumn("n", F.length("t"))
-    a, b = narrow(left), narrow(right)
+    rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("trim(t) <> ''").withColumn("key", F.unhex(F.sha2("t", 256)))
+    all_a, all_b = rows(left), rows(right)
+    different = lambda df: df.groupBy("key").agg(F.first("t").alias("t")).withColumn("n", F.length("t"))
+    a, b = different(all_a), different(all_b)
     lengths = (F.col("n") * (2 - least) >= F.col("n_") * least - 1e-9) & (F.col("n_") * (2 - least) >= F.col("n") * least - 1e-9)
-    found = None
-    for q in (2, 1):
+    # Sets of grams of two that differ in more members than a similar pair's do not belong to one.
+    apart = F.greatest(F.col("n") - 1, F.lit(0)) + F.greatest(F.col("n_") - 1, F.lit(0)) - 2 * F.greatest(common_grams(F.col("n") + F.col("n_"), 2, least), F.lit(0))
+    near = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(SIGNATURE)), F.lit(0)) <= apart
+    found, longest = None, None
+    for q in _sizes(least):
         frequent = _frequent(a.select("t").unionByName(b.select("t")), q)
-        # A text without a sure common gram of two meets its partners by characters; so do those that are short enough to be one.
-        long_ = common_grams(F.col("n") + _partner(F.col("n"), least), 2, least) >= 1
-        longest = F.floor(F.lit(_shortest(least) * (2 - least) / least) + 1e-9)
-        test = long_ if q == 2 else F.col("n") <= longest
+        # Texts of which every partner shares a gram; those too short for that, and their partners, are left to shorter grams.
+        test = F.lit(True) if q == 1 else F.col("n") > _shortest(q, least)
+        test = test if longest is None else test & (F.col("n") <= longest)
         x, y = (_postings(df, frequent, q, least, test) for df in (a, b))
-        pairs = x.join(y.select("gram", F.col("id").alias("id_"), F.col("n").alias("n_")), "gram").filter(lengths).select("id", "id_")
+        y = y.select("gram", *[F.col(c).alias(c + "_") for c in y.columns if c != "gram"])
+        pairs = x.join(y, "gram").filter(lengths & near).select("key", "key_")
         found = pairs if found is None else found.unionByName(pairs)
+        longest = F.floor(F.lit(_shortest(q, least) * (2 - least) / least) + 1e-9) if q > 1 else None
     # Each text's grams are made once, before it meets its candidates.
     held = lambda df: settle(df.withColumns({"g1": grams(F.col("t"), 1), "g2": grams(F.col("t"), 2)}))
-    texts = held(b).select(*[F.col(c).alias(c + "_") for c in ("id", "t", "n", "g1", "g2")]).withColumnRenamed("id_", "_j")
-    ids = found.distinct()
-    met = ids.join(held(a).withColumnRenamed("id", "_i"), F.col("id").eqNullSafe(F.col("_i"))).drop("_i").join(texts, F.col("id_").eqNullSafe(F.col("_j"))).drop("_j")
+    texts = held(b).select(*[F.col(c).alias(c + "_") for c in ("key", "t", "n", "g1", "g2")])
+    met = found.distinct().join(held(a), "key").join(texts, "key_")
     shares = lambda q: F.size(F.array_intersect(f"g{q}", f"g{q}_")) >= common_grams(F.col("n") + F.col("n_"), q, least)
     open_ = met.filter(lengths & shares(2) & shares(1))
     ratio = F.when(F.col("t") == F.col("t_"), F.lit(1.0)).otherwise(seq_ratio(F.col("t"), F.col("t_")))
-    return open_.select(F.col("id").alias("left_id"), F.col("id_").alias("right_id"), ratio.alias("ratio")).filter(F.col("ratio") >= least)
+    similar = open_.select("key", "key_", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+    return _expanded(similar, all_a.select("key", "id"), all_b.select("key", "id"))
+
+
+def _sizes(least: float) -> list[int]:
+    """Lengths of grams to look by, longest first: the longer, the rarer, but only while similar texts share enough of them."""
+    share = lambda q: (2 * q - 1) * least / 2 - (q - 1)
+    return [*[q for q in (4, 3) if share(q) >= 0.1][:1], 2, 1]
 
 
-def _shortest(least: float) -> int:
-    """The greatest length from which no common gram of two follows."""
+def _shortest(q: int, least: float) -> int:
+    """The greatest length from which no common gram of q follows."""
     import math
 
+    total = lambda n: n + math.ceil(n * least / (2 - least) - 1e-9)
     n = 1
-    while math.ceil(3 * least * (n + math.ceil(n * least / (2 - least) - 1e-9)) / 2 - (n + math.ceil(n * least / (2 - least) - 1e-9) + 1) - 1e-9) < 1:
+    while math.ceil((2 * q - 1) * least * total(n) / 2 - (q - 1) * (total(n) + 1) - 1e-9) < 1:
         n += 1
     return n - 1

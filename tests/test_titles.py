@@ -45,3 +45,16 @@ def test_plan_has_no_product_of_rows(spark):
     plan = similar_pairs(df, df, "k", "title")._jdf.queryExecution().executedPlan().toString()
     # The only nested loops are with the one row of frequent grams.
     assert "CartesianProduct" not in plan
+
+
+def test_copies_are_joined_once_and_dealt_out(spark, monkeypatch):
+    from tessera.operators import similar
+
+    monkeypatch.setattr(similar, "PART", 16)
+    base = "A title that many pages have, with some words of its own"
+    left = [(i, base if i % 3 else base + "!") for i in range(300)]
+    df = spark.createDataFrame(left, "k long, title string").repartition(3)
+    got = sorted((r.left_id, r.right_id) for r in similar_pairs(df, df, "k", "title").collect())
+    assert got == [(i, j) for i in range(300) for j in range(300)]
+    texts = df.selectExpr("title AS t").distinct()
+    assert similar_pairs(df, df, "k", "title").filter("ratio < 1").count() == 2 * 100 * 200 and texts.count() == 2
