@@ -36,8 +36,9 @@ def empty_works(spark: SparkSession) -> DataFrame:
 
 
 def parse_markdown(df: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
-    """url, year, title, title_cn of '### [title](url) / title_cn' headings under '## year'; the last of a repeated URL."""
-    years = F.when(F.col(line).rlike(r"^##\s+\d{4}"), F.regexp_extract(line, r"^##\s+(\d{4})", 1))
+    """url, year, title, title_cn of '### [title](url) / title_cn' headings under '## year', a number of four digits or more, taken
+    whole; the last of a repeated URL."""
+    years = F.when(F.col(line).rlike(r"^##\s+\d{4}"), F.regexp_extract(line, r"^##\s+(\d{4,})", 1))
     heading = r"^###\s+\[(.*?)\]\((.*?)\)(?:\s*/\s*(.*))?$"
     marked = df.filter(F.col(line).startswith("##")).withColumn("_year", years)
     rows = carried(marked, "_year", order, "year").filter(F.col(line).rlike(heading))

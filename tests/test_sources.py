@@ -91,3 +91,8 @@ def test_stream_of_snapshots(spark, tmp_path):
         q.awaitTermination(120)
         got = sorted((r.url, r.change) for r in spark.read.parquet(f"{out}/batch={i}").collect())
         assert got == ([("a", "new"), ("b", "new")], [("a", "modified"), ("c", "new")])[i]
+
+
+def test_years_of_headings_are_whole_numbers(spark):
+    lines = spark.createDataFrame([(1, "## 10000"), (2, "### [A](http://w.example/a)"), (3, "## 2019-2020"), (4, "### [B](http://w.example/b)")], "line_no long, value string")
+    assert sorted((r.url, r.year) for r in readers.parse_markdown(lines).collect()) == [("http://w.example/a", "10000"), ("http://w.example/b", "2019")]
