@@ -143,3 +143,10 @@ def test_changes_of_repeated_urls(spark, tmp_path):
     assert rows(changes.changed(now, old, every=True), "url", "lastmod", "change") == [("a", "2", "modified"), ("a", "3", "modified"), ("a", "3", "modified"), ("n", "1", "new")]
     spark.createDataFrame([(1, "a"), (2, "a"), (9, "b")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert rows(registry.QUERIES["snapshot_changes"](spark, str(tmp_path)), "url", "lastmod") == [("a", "2024-01-11"), ("a", "2024-01-12")]
+
+
+def test_removed_pages_of_repeated_urls(spark, tmp_path):
+    from tessera import registry
+
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "b")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert rows(registry.QUERIES["snapshot_removed"](spark, str(tmp_path)), "url") == [("a",), ("a",), ("b",)]
