@@ -36,6 +36,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
 
 
+def upper_each(c: Column | str) -> Column:
+    """Capitals, each character by itself: one whose capital form is of several letters stays, except that of ß, which is ẞ."""
+    return F.array_join(F.transform(F.split(F.translate(text(c), "ß", "ẞ"), ""), lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)), "")
+
+
 def collapse(c: Column | str) -> Column:
     return strip(F.regexp_replace(text(c), r"(?U)\s+", " "))
 

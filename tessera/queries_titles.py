@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
+from tessera.functions.text import upper_each
 from tessera.functions.udfs import seq_ratio, with_other_work, with_similar
 from tessera.operators.similar import similar_pairs
 from tessera.queries_rules import Made, among, quoted, table
@@ -70,7 +71,7 @@ def title_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, k, third = F.split("t", " "), F.col("page_id") % 4, F.floor(F.length("t") / 3).cast("int")
     varied = (
         F.when(k == 0, F.array_join(F.reverse(words), " ")).when(k == 1, F.array_join(F.filter(words, lambda w, i: i % 3 != 2), " ")).when(k == 2, F.translate("t", "eta", "aXe"))
-        .otherwise(F.concat(F.upper(F.substring(F.col("t"), F.lit(1), third)), F.substring(F.col("t"), third + 1, F.length("t")), F.lit(" and more")))
+        .otherwise(F.concat(upper_each(F.substring(F.col("t"), F.lit(1), third)), F.substring(F.col("t"), third + 1, F.length("t")), F.lit(" and more")))
     )
     df = table(spark, sf_dir, "pages").select("page_id", t.alias("t")).withColumn("v", varied)
     return with_similar(df, "t", "v", "is_similar").select("page_id", seq_ratio(F.col("t"), F.col("v")).alias("ratio"), "is_similar")

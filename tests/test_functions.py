@@ -90,3 +90,10 @@ def test_udfs(spark):
     assert {r.a: r.s for r in with_similar(df, "a", "b", "s").collect()} == {"one ritual": True, "Same": True, None: False}
     pages = spark.createDataFrame([("http://x.example/one-two", "One"), ("http://x.example/obj", "video installation"), ("http://x.example/alpha", "alphas")], "url string, title string")
     assert {r.title: r.ok for r in with_title_check(pages, "url", "title", "ok").collect()} == {"One": True, "video installation": False, "alphas": True}
+
+
+def test_capitals_of_single_characters(spark):
+    from tessera.functions.text import upper_each
+
+    got = spark.createDataFrame([("straße ŉ ﬁ é",), ("",), (None,)], "t string").select(upper_each("t").alias("u")).collect()
+    assert [r.u for r in got] == ["STRAẞE ŉ ﬁ É", "", ""]
