@@ -137,10 +137,10 @@ SELECT page_id, min(round) AS round FROM r GROUP BY page_id
 def pages_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that menus lead to from the first page of each language: a menu's word leads to the pages whose heading begins with it."""
     pages = table(spark, sf_dir, "pages")
-    words = pages.select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("w")).distinct()
-    heads = pages.select(F.col("page_id").alias("target"), F.lower(F.regexp_extract(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), "^[^ ]*", 0)).alias("w"))
+    words = pages.select(F.col("page_id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1))).alias("via"))
+    heads = pages.select(F.lower(F.regexp_extract(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), "^[^ ]*", 0)).alias("via"), F.col("page_id").alias("target"))
     seeds = pages.groupBy(F.regexp_extract("html", 'lang="([^"]*)"', 1)).agg(F.min("page_id").alias("page_id"))
-    return discover.discovered(seeds, words.join(heads, "w").select("source", "target"), "page_id")
+    return discover.discovered_through(seeds, words, heads, "page_id")
 
 
 @query("""

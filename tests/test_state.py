@@ -126,3 +126,15 @@ def test_streams_of_first_rows_and_windows(spark, tmp_path):
     assert [x for x in first if x[0] in "abcef"] == [("a", 0), ("b", 20), ("c", 400), ("e", 800), ("f", 1200)] and ("d", 5) not in first
     counts = sorted(((r.start - start).seconds, r.k, r.n) for r in spark.read.parquet(f"{tmp_path}/windows").collect())
     assert counts == [(0, "a", 3), (0, "b", 1), (400, "c", 2), (800, "e", 1)]
+
+
+def test_discovery_through_shared_words_makes_no_pairs(spark):
+    """Five hundred pages that all name one word, which five hundred lead on to: no step has their product."""
+    from tessera.operators import discover
+
+    start = spark.createDataFrame([(0,), (None,)], "k long")
+    leads = spark.range(500).selectExpr("id AS source", "'w' AS via").unionByName(spark.createDataFrame([(700, "x"), (0, None)], "source long, via string"))
+    lands = spark.range(300, 800).selectExpr("'w' AS via", "id AS target").unionByName(spark.createDataFrame([("x", 900), ("x", 0)], "via string, target long"))
+    got = {x.k: x["round"] for x in discover.discovered_through(start, leads, lands, "k").collect()}
+    assert got == {0: 0, **dict.fromkeys(range(300, 800), 1), 900: 2}
+    assert {x.k for x in discover.discovered_through(start, leads, lands, "k", most=1).collect()} == {0, *range(300, 800)}
