@@ -137,3 +137,10 @@ def settle(df: DataFrame) -> DataFrame:
     """The same rows, computed up to here: later expressions refer to columns instead of repeating what made them. Without
     it the optimizer may merge a long chain of projections into expressions of many times their size."""
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, dealt out by keys over all cores. A small file is one task, however dear its rows are; the number of
+    partitions is given, as those of few bytes would else be joined again."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

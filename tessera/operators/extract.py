@@ -108,14 +108,19 @@ def images_of_page(images: Column, parts: Column, layout: PageLayout | None = No
     """Addresses of a page's real images, each once: those in the slideshow of the project that is shown; else those in the
     first element of each container; else those that have an original. Containment is that of start tags' numbers."""
     layout = layout or PageLayout()
-    real = F.filter(images, lambda x: is_image(x["raw"]))
     first = lambda kind: F.get(F.filter(parts, lambda p: p["kind"] == kind), F.lit(0))
-    inside = lambda part: F.filter(real, lambda x: F.coalesce((x["at"] > part["first"]) & (x["at"] <= part["last"]), F.lit(False)))
     item = F.replace(F.coalesce(first("thumb")["key"], F.lit("")), F.lit("item_"), F.lit(""))
-    slides = F.get(F.filter(parts, lambda p: (p["kind"] == "slides") & (item != "") & F.contains(p["key"], F.concat(F.lit(f"{layout.slideshow}_"), item))), F.lit(0))
-    shown, held = inside(slides), F.flatten(F.array(*[inside(first(s)) for s in layout.containers]))
-    pick = F.when(F.size(shown) > 0, shown).when(F.size(held) > 0, held).otherwise(F.filter(real, lambda x: x["original"]))
-    return F.array_distinct(F.transform(pick, lambda x: x["src"]))
+    slides = let(item, lambda i: F.get(F.filter(parts, lambda p: (p["kind"] == "slides") & (i != "") & F.contains(p["key"], F.concat(F.lit(f"{layout.slideshow}_"), i))), F.lit(0)))
+
+    # Each step is made once, not anew for every image that asks for it.
+    def picked(real: Column) -> Column:
+        inside = lambda part: let(part, lambda p: F.filter(real, lambda x: F.coalesce((x["at"] > p["first"]) & (x["at"] <= p["last"]), F.lit(False))))
+        held = F.flatten(F.array(*[inside(first(s)) for s in layout.containers]))
+        rest = let(held, lambda h: F.when(F.size(h) > 0, h).otherwise(F.filter(real, lambda x: x["original"])))
+        return let(inside(slides), lambda s: F.when(F.size(s) > 0, s).otherwise(rest))
+
+    real = F.filter(images, lambda x: is_image(x["raw"]))
+    return F.array_distinct(F.transform(let(real, picked), lambda x: x["src"]))
 
 
 def extract_works(parsed: DataFrame, artist: Sequence[str] = (), layout: PageLayout | None = None) -> DataFrame:

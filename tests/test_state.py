@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.operators import baseline, discover, history
 from tessera.operators.dedup import distinct_in_order
 from tessera.sources import functions, readers
@@ -133,8 +135,20 @@ def test_discovery_through_shared_words_makes_no_pairs(spark):
     from tessera.operators import discover
 
     start = spark.createDataFrame([(0,), (None,)], "k long")
-    leads = spark.range(500).selectExpr("id AS source", "'w' AS via").unionByName(spark.createDataFrame([(700, "x"), (0, None)], "source long, via string"))
-    lands = spark.range(300, 800).selectExpr("'w' AS via", "id AS target").unionByName(spark.createDataFrame([("x", 900), ("x", 0)], "via string, target long"))
+    leads = spark.createDataFrame([(i, "w") for i in range(500)] + [(700, "x"), (0, None)], "source long, via string")
+    lands = spark.createDataFrame([("w", i) for i in range(300, 800)] + [("x", 900), ("x", 0)], "via string, target long")
     got = {x.k: x["round"] for x in discover.discovered_through(start, leads, lands, "k").collect()}
     assert got == {0: 0, **dict.fromkeys(range(300, 800), 1), 900: 2}
     assert {x.k for x in discover.discovered_through(start, leads, lands, "k", most=1).collect()} == {0, *range(300, 800)}
+
+
+def dealt(spark, name, path):
+    """How many partitions hold rows of a query over one small file of parts."""
+    from tessera import registry
+
+    spark.range(400).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{path}/part.parquet")
+    return registry.QUERIES[name](spark, str(path)).groupBy(F.spark_partition_id()).count().count()
+
+
+def test_images_of_many_pages_are_dealt_out(spark, tmp_path):
+    assert dealt(spark, "project_images", tmp_path) >= 4
