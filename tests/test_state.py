@@ -152,3 +152,7 @@ def dealt(spark, name, path):
 
 def test_images_of_many_pages_are_dealt_out(spark, tmp_path):
     assert dealt(spark, "project_images", tmp_path) >= 4
+
+
+def test_fields_of_much_markdown_are_dealt_out(spark, tmp_path):
+    assert dealt(spark, "markdown_fields", tmp_path) >= 4
