@@ -156,3 +156,7 @@ def test_images_of_many_pages_are_dealt_out(spark, tmp_path):
 
 def test_fields_of_much_markdown_are_dealt_out(spark, tmp_path):
     assert dealt(spark, "markdown_fields", tmp_path) >= 4
+
+
+def test_records_to_enrich_are_dealt_out(spark, tmp_path):
+    assert dealt(spark, "records_enriched", tmp_path) >= 4
