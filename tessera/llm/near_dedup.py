@@ -6,7 +6,8 @@ Members of a small bucket all meet. In a larger one each meets the centre of a s
 the member with the most companions in all its buckets, a text that many others are copies of. Members of buckets that
 then still hold several components are hashed anew with longer bands, which texts that only share a passage do not have in
 common, and linked in the same way, by a second turn of stars as well, around centres out of the others. Links make components.
-No step makes all pairs of a group, and nothing is capped.
+No step makes all pairs of a group unless NearDup.exact asks for it; without that, a link between two members of a large
+bucket of which neither is a centre must be found in another bucket.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ class NearDup:
 
     A pair at similarity 0.75 shares none of 32 bands of 4 rows in about 1 of 200,000 cases, and none of 64 bands of 8 in
     about 1 of 850 (at 0.8, 1 of 130,000). few: members of a bucket that all meet; turns: stars of larger buckets of the
-    longer bands.
+    longer bands. exact: what still shares a bucket of the first bands without a link meets at last, pair by pair, so that no
+    member of a bucket is left untested; its cost grows with the square of the members of open buckets.
     """
 
     shingle: int = 5
@@ -40,6 +42,8 @@ class NearDup:
     turns: int = 2
     fine_bands: int = 64
     fine_rows: int = 8
+    exact: bool = False
+    cell: int = 256
 
 
 REHASH = np.uint64(0x9E3779B97F4A7C15)
@@ -291,6 +295,13 @@ class Linker:
         at = many.join(centres, "bucket").filter("node = centre")
         return self._met(many, at)
 
+    def every_pair(self, members: DataFrame) -> DataFrame:
+        """Of larger buckets, all that meet: members are dealt into parts of about cell, and each two parts meet by themselves."""
+        many = members.filter(F.col("size") > self.params.few).withColumn("parts", F.ceil(F.col("size") / self.params.cell).cast("int"))
+        dealt = many.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+        cell = lambda p, q: dealt.withColumn("bucket", F.struct("bucket", F.col(p).alias("p"), F.col(q).alias("q")))
+        return self._met(cell("part", "other"), cell("other", "part"), F.col("node_x") < F.col("node_y"))
+
     def link(self, pairs: DataFrame) -> bool:
         """Confirms pairs on full sets and joins the components of those that are similar."""
         pairs = pairs.distinct()
@@ -370,6 +381,8 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None, id_col: str
     if not open_.isEmpty():
         fine = scratch.keep(rehashed(sets.join(open_.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi"), params), "fine")
         linker.work(fine, params.turns)
+        if params.exact:
+            linker.link(linker.every_pair(linker.relabelled(open_)))
     scratch.drop(sets, buckets, info)
     of_class = classes.select("digest", "rep").join(linker.roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = rows.select("id", "n", "digest").join(of_class, F.when(F.col("id").isNotNull(), rows["digest"]) == of_class["digest"], "left")

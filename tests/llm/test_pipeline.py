@@ -178,3 +178,23 @@ def test_words_by_words_equal_whole_texts():
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) + r.choice(["", "<|endoftext|>", "'LL 've <|startoftext|>x"]) for _ in range(3000)]
     for text, ids in zip(texts, encoder(pa.array(texts)), strict=True):
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_exact_way_for_what_large_buckets_leave_open(spark):
+    """Buckets of over two members, one star, and few fine bands: the exact way finds every link."""
+    from tessera.llm.near_dedup import NearDup, near_duplicates
+
+    r = random.Random(5)
+    fresh = iter(range(10**9))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    half, table = new(150), []
+    for k in range(25):
+        a = half + new(90)
+        at = r.randrange(155, 200)
+        table += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:at] + new(20) + a[at + 20 :]))]
+    want = {i: i - i % 2 for i in range(50)}
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    params = dict(few=2, turns=1, fine_bands=1, fine_rows=64, cell=8)
+    found = lambda **more: {x.doc_id: x.component_id for x in near_duplicates(docs, NearDup(**params, **more)).collect()}
+    got = found(exact=True)
+    assert got == want, {k: v for k, v in got.items() if want.get(k) != v}
