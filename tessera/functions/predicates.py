@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 from tessera.functions.text import (
-    any_of, blank, compared, contains_any, count_chars, count_contained, filled, first_filled, found, has_cjk, is_bilingual, matches_any, mean_segment, slug, slug_words,
+    any_of, blank, compared, contains_any, count_chars, count_contained, filled, first_filled, found, has_cjk, is_bilingual, let, matches_any, mean_segment, slug, slug_words,
     starts_with_any, strip, text, tokens,
 )
 
@@ -28,7 +28,7 @@ def is_work_link(url: Column | str, base: str, navigation: Sequence[str] = fixed
 
 
 def names_material(c: Column | str) -> Column:
-    return contains_any(F.lower(text(c)), [w.lower() for w in fixed.MATERIAL_WORDS])
+    return let(F.lower(text(c)), lambda low: any_of(F.contains(low, F.lit(w.lower())) for w in fixed.MATERIAL_WORDS))
 
 
 def is_credits_line(c: Column | str) -> Column:
@@ -183,13 +183,16 @@ def names_other_work(description: Column | str, title: Column | str, url: Column
 
 def is_type_line(c: Column | str, artist: Sequence[str] = ()) -> Column:
     """A line that names a type: short, no size, no artist, no long text after a colon (unless one word stands before it), no
-    start of a description, a type word at its start or after a slash."""
-    low = F.lower(text(c))
+    start of a description, a type word at its start or after a slash. What most lines fail on at little cost comes first."""
     words = "|".join(w.lower() for w in fixed.TYPE_WORDS)
-    colon = (F.length(strip(F.regexp_extract(text(c), r"(?s)^[^:]*:(.*)$", 1))) > 30) & ~low.rlike("^[a-z]+:")
-    size = contains_any(low, fixed.SIZE_MARKS) | starts_with_any(low, fixed.TYPE_STARTERS)
-    limit = F.when(is_bilingual(c), F.lit(150)).otherwise(F.lit(80))
-    return ~size & ~contains_any(low, [a.lower() for a in artist]) & ~colon & (F.length(text(c)) <= limit) & low.rlike(rf"(?:^|/\s*)(?:{words})")
+
+    def told(low: Column) -> Column:
+        colon = (F.length(strip(F.regexp_extract(text(c), r"(?s)^[^:]*:(.*)$", 1))) > 30) & ~low.rlike("^[a-z]+:")
+        size = contains_any(low, fixed.SIZE_MARKS) | starts_with_any(low, fixed.TYPE_STARTERS)
+        return low.rlike(rf"(?:^|/\s*)(?:{words})") & ~size & ~contains_any(low, [a.lower() for a in artist]) & ~colon
+
+    n = F.length(text(c))
+    return ((n <= 80) | ((n <= 150) & is_bilingual(c))) & let(F.lower(text(c)), told)
 
 
 def is_language_cn(c: Column | str) -> Column:

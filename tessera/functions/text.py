@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 CJK = r"[一-鿿]"
 
+# What (?U)\s matches: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -33,7 +36,7 @@ def first_filled(*columns: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends; trim() knows spaces only."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(WHITE))
 
 
 def upper_each(c: Column | str) -> Column:
@@ -81,7 +84,7 @@ def first_match(c: Column | str, patterns: Sequence[str], group: int = 1) -> Col
 
 def first_line_match(c: Column | str, patterns: Sequence[str]) -> Column:
     """Line by line: the first pattern of the first line that matches any; else the empty string."""
-    lines = F.transform(F.split(text(c), "\n"), lambda line: strip(first_match(strip(line), patterns)))
+    lines = F.transform(F.split(text(c), "\n"), lambda line: strip(let(strip(line), lambda x: first_match(x, patterns))))
     hits = F.filter(lines, lambda x: x != "")
     return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
 

@@ -273,8 +273,8 @@ def records_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = {
         "type": kind, "duration": F.when(k == 2, "3 min").otherwise(""), "size": F.lit(""), "materials": F.when(k == 3, "own").otherwise(""), "year": F.when(k < 2, "from 2018 to 2020").otherwise("")
     }
-    out = extract.enrich(record, F.replace(MARKDOWN.column(), F.lit("|"), F.lit("\n")))
-    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(f) for f, c in out.items()])
+    df = table(spark, sf_dir, "part").select("p_partkey", F.replace(MARKDOWN.column(), F.lit("|"), F.lit("\n")).alias("md"))
+    return df.select("p_partkey", *[c.alias(f) for f, c in extract.enrich(record, "md").items()])
 
 
 # -- merges of sources ---------------------------------------------------------------------------------------------------

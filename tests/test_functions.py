@@ -10,6 +10,12 @@ def values(spark, rows, schema, *columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
 
 
+def test_strip_takes_what_a_pattern_of_white_space_takes(spark):
+    """Each character of the basic plane, at both ends of a text and within it."""
+    c = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000], "x string").selectExpr("concat(x, ' a', x, 'b', x, '\\n') AS c")
+    assert c.filter(strip("c") != F.regexp_replace("c", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
 def test_strip_takes_all_white_space(spark):
     assert values(spark, [("　a\t\n",), (None,), ("",)], "c string", strip("c")) == [("a",), ("",), ("",)]
 

@@ -160,3 +160,17 @@ def test_fields_of_much_markdown_are_dealt_out(spark, tmp_path):
 
 def test_records_to_enrich_are_dealt_out(spark, tmp_path):
     assert dealt(spark, "records_enriched", tmp_path) >= 4
+
+
+def planned(spark, name, path):
+    """The optimized plan of a query over one part."""
+    from tessera import registry
+
+    spark.range(1).selectExpr("id AS p_partkey").write.parquet(f"{path}/part.parquet")
+    return registry.QUERIES[name](spark, str(path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_to_enrich_make_their_markdown_once(spark, tmp_path):
+    """And put a line in small letters once for all words that it is searched for."""
+    plan = planned(spark, "records_enriched", tmp_path)
+    assert plan.count("|acrylic, ink, wood") == 1 and plan.count("lower(") < 40
