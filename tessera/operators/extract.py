@@ -173,9 +173,9 @@ def type_of_markdown(md: Column | str) -> Column:
     characters starts with, in title case; else empty."""
     head = F.substring(text(md), 1, 1000)
     lines = F.slice(F.filter(F.transform(F.split(head, "\n"), lambda x: F.lower(strip(x))), lambda x: x != ""), 1, 10)
-    first = _first(lines, lambda x: x.isin(*fixed.EXHIBITION_LINES, *fixed.CATALOG_LINES))
+    named = _first(lines, lambda x: x.isin(*fixed.EXHIBITION_LINES, *fixed.CATALOG_LINES))
     kind = strip(F.regexp_extract(F.lower(head), rf"(?Um)^({fixed.MARKDOWN_TYPES})", 1))
-    return F.when(first.isin(*fixed.EXHIBITION_LINES), "Exhibition").when(first != "", "Catalog").otherwise(title_case(kind))
+    return let(named, lambda first: F.when(first.isin(*fixed.EXHIBITION_LINES), "Exhibition").when(first != "", "Catalog").otherwise(title_case(kind)))
 
 
 def credits_of_markdown(md: Column | str) -> Column:

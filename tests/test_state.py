@@ -174,3 +174,8 @@ def test_records_to_enrich_make_their_markdown_once(spark, tmp_path):
     """And put a line in small letters once for all words that it is searched for."""
     plan = planned(spark, "records_enriched", tmp_path)
     assert plan.count("|acrylic, ink, wood") == 1 and plan.count("lower(") < 40
+
+
+def test_types_of_markdown_look_for_a_named_line_once(spark, tmp_path):
+    plan = planned(spark, "markdown_fields", tmp_path)
+    assert plan.count("group exhibition") == 2 and plan.count("lower(") < 40
