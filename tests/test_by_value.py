@@ -21,7 +21,7 @@ print("rows", len(__spark_entry__.queries()[sys.argv[3]](spark, sys.argv[2]).col
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no reference tables")
-@pytest.mark.parametrize("name", ["extracted_works", "links_of_pages", "links_scanned", "page_parts"])
+@pytest.mark.parametrize("name", ["extracted_works", "links_of_pages", "links_scanned", "page_parts", "project_images"])
 def test_workers_need_no_package(tmp_path, name):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", RUN, ROOT, DATA, name], cwd=tmp_path, env=env, capture_output=True, text=True)
