@@ -5,8 +5,10 @@ is r or more, then the shorter text has at least r T / 2 characters, and the tex
 M matched characters lie in at most T - 2 M + 1 blocks, as two blocks have an unmatched character between them, and a block
 of n has n - q + 1 grams. So at least (2 q - 1) M - (q - 1) (T + 1) grams are common, each counted as often as both have it.
 Two sets with that many common members share one among the first few of each, in any order that both follow: only those
-are joined on. Rare grams come first, so few rows meet. Of those that meet, the join itself drops most: parities of hashed
-grams of two differ in no more bits than the sets differ in members. What is left is compared for real.
+are joined on. Rare grams come first, so few rows meet. Of those that meet, the join itself drops nearly all: parities of hashed
+grams of two differ in no more bits than the sets differ in members, and one text becomes the other by T - 2 M edits, as
+what is not matched is left out or put in. So what is written for the join grows with the texts, not with the pairs that
+meet. What is left is compared for real.
 
 Equal texts are one until the end: what is joined and compared are different texts, and a pair of them becomes the pairs of
 their rows only when all is known. A text that many rows have is dealt out in parts for that.
@@ -24,6 +26,8 @@ from tessera.functions.udfs import seq_ratio
 SAMPLE, HASHES = 10_000, 1 << 14
 #: Longs of parity bits for each text; rows of one text that meet the rows of another in one task.
 SIGNATURE, PART = 4, 512
+#: Characters up to which a text is its own key and so goes along with its grams. Edits of longer ones are counted after the join.
+ALONG = 200
 
 
 def grams(c: Column, q: int) -> Column:
@@ -43,6 +47,16 @@ def _partner(n: Column, least: float) -> Column:
     return F.ceil(n * least / (2 - least) - 1e-9)
 
 
+def _key(t: Column) -> Column:
+    """A text of up to ALONG characters after a mark, the digest of a longer one after another."""
+    return F.when(F.length(t) <= ALONG, F.concat(F.lit("t"), t)).otherwise(F.concat(F.lit("#"), F.sha2(t, 256)))
+
+
+def _few_edits(a: Column, b: Column, total: Column, least: float) -> Column:
+    """Two texts of total characters can have a similarity of least or more by their edits. They may both follow one mark."""
+    return F.call_function("levenshtein", a, b, (total - 2 * F.ceil(least * total / 2 - 1e-9)).cast("int")) >= 0
+
+
 def _hash(g: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring_index(g, "\x00", 1)), F.lit(HASHES)).cast("int")
 
@@ -64,8 +78,8 @@ def _postings(df: DataFrame, frequent: DataFrame, q: int, least: float, test: Co
     ranked = settle(settle(made).select("key", "n", "g", *_parities(F.col("g2")))).crossJoin(frequent)  # one row
     place = lambda g: F.struct(F.get("f", _hash(g)), F.xxhash64(g), g.alias("g"))
     first = F.slice(F.array_sort(F.transform("g", place)), 1, F.greatest(F.size("g") - F.greatest(need, F.lit(1)).cast("int") + 1, F.lit(0)))
-    signature = [f"s{i}" for i in range(SIGNATURE)]
-    return ranked.select("key", "n", *signature, F.explode(first).alias("x")).select(F.col("x.g").alias("gram"), "key", "n", *signature)
+    held = ["key", "n", *[f"s{i}" for i in range(SIGNATURE)]]
+    return ranked.select(*held, F.explode(first).alias("x")).select(F.col("x.g").alias("gram"), *held)
 
 
 def _frequent(df: DataFrame, q: int) -> DataFrame:
@@ -95,31 +109,34 @@ def similar_pairs(left: DataFrame, right: DataFrame, id_col: str, text_col: str,
     """
     if not 2 / 3 < least <= 1:
         raise ValueError("least must be above 2/3 and at most 1")
-    rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("trim(t) <> ''").withColumn("key", F.unhex(F.sha2("t", 256)))
-    all_a, all_b = rows(left), rows(right)
+    rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("trim(t) <> ''").withColumn("key", _key(F.col("t")))
+    all_a = rows(left)
+    all_b = all_a if right is left else rows(right)
     different = lambda df: df.groupBy("key").agg(F.first("t").alias("t")).withColumn("n", F.length("t"))
-    a, b = different(all_a), different(all_b)
+    a = different(all_a)
+    b = a if right is left else different(all_b)
     lengths = (F.col("n") * (2 - least) >= F.col("n_") * least - 1e-9) & (F.col("n_") * (2 - least) >= F.col("n") * least - 1e-9)
     # Sets of grams of two that differ in more members than a similar pair's do not belong to one.
     apart = F.greatest(F.col("n") - 1, F.lit(0)) + F.greatest(F.col("n_") - 1, F.lit(0)) - 2 * F.greatest(common_grams(F.col("n") + F.col("n_"), 2, least), F.lit(0))
     near = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(SIGNATURE)), F.lit(0)) <= apart
-    found, longest = None, None
+    edits = (F.greatest("n", "n_") > ALONG) | _few_edits(F.col("key"), F.col("key_"), F.col("n") + F.col("n_"), least)
+    found, longest = a.join(b.select("key"), "key").select("key", F.col("key").alias("key_")), None
     for q in _sizes(least):
         frequent = _frequent(a.select("t").unionByName(b.select("t")), q)
         # Texts of which every partner shares a gram; those too short for that, and their partners, are left to shorter grams.
         test = F.lit(True) if q == 1 else F.col("n") > _shortest(q, least)
         test = test if longest is None else test & (F.col("n") <= longest)
-        x, y = (_postings(df, frequent, q, least, test) for df in (a, b))
-        y = y.select("gram", *[F.col(c).alias(c + "_") for c in y.columns if c != "gram"])
-        pairs = x.join(y, "gram").filter(lengths & near).select("key", "key_")
-        found = pairs if found is None else found.unionByName(pairs)
+        x = _postings(a, frequent, q, least, test)
+        y = x if right is left else _postings(b, frequent, q, least, test)
+        # Names change after the join only: a table that meets itself is then written once.
+        sides = [F.col(f"{side}.{c}").alias(c + end) for side, end in (("x", ""), ("y", "_")) for c in x.columns if c != "gram"]
+        pairs = x.alias("x").join(y.alias("y"), F.col("x.gram") == F.col("y.gram")).select(*sides).filter((F.col("key") != F.col("key_")) & lengths & near & edits)
+        found = found.unionByName(pairs.select("key", "key_"))
         longest = F.floor(F.lit(_shortest(q, least) * (2 - least) / least) + 1e-9) if q > 1 else None
-    # Each text's grams are made once, before it meets its candidates.
-    held = lambda df: settle(df.withColumns({"g1": grams(F.col("t"), 1), "g2": grams(F.col("t"), 2)}))
-    texts = held(b).select(*[F.col(c).alias(c + "_") for c in ("key", "t", "n", "g1", "g2")])
-    met = found.distinct().join(held(a), "key").join(texts, "key_")
-    shares = lambda q: F.size(F.array_intersect(f"g{q}", f"g{q}_")) >= common_grams(F.col("n") + F.col("n_"), q, least)
-    open_ = met.filter(lengths & shares(2) & shares(1))
+    texts = b.select(*[F.col(c).alias(c + "_") for c in ("key", "t", "n")])
+    met = settle(found.distinct().join(a, "key").join(texts, "key_"))
+    short = F.greatest("n", "n_") <= ALONG
+    open_ = met.filter((F.col("key") == F.col("key_")) | short | _few_edits(F.col("t"), F.col("t_"), F.col("n") + F.col("n_"), least))
     ratio = F.when(F.col("t") == F.col("t_"), F.lit(1.0)).otherwise(seq_ratio(F.col("t"), F.col("t_")))
     similar = open_.select("key", "key_", ratio.alias("ratio")).filter(F.col("ratio") >= least)
     return _expanded(similar, all_a.select("key", "id"), all_b.select("key", "id"))

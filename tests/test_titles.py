@@ -58,3 +58,42 @@ def test_copies_are_joined_once_and_dealt_out(spark, monkeypatch):
     assert got == [(i, j) for i in range(300) for j in range(300)]
     texts = df.selectExpr("title AS t").distinct()
     assert similar_pairs(df, df, "k", "title").filter("ratio < 1").count() == 2 * 100 * 200 and texts.count() == 2
+
+
+def written(spark):
+    """Rows and bytes that stages have written for later ones."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return [sum(f(stages.apply(i)) for i in range(stages.size())) for f in (lambda s: s.shuffleWriteRecords(), lambda s: s.shuffleWriteBytes())]
+
+
+def test_what_is_written_grows_with_the_texts(spark):
+    """Texts of the same words in another order have nearly all grams in common, so all meet; they need not be written as pairs."""
+    words = "alder birch cedar elder hazel larch maple olive rowan yew".split()
+
+    def turned(n):
+        r = random.Random(n)
+        return list({" ".join(r.sample(words, len(words))): i for i in range(n)}.items())
+
+    rows = []
+    for n in (60, 240):
+        df = spark.createDataFrame(turned(n), "title string, k long")
+        before = written(spark)[0]
+        got = {(r.left_id, r.right_id) for r in similar_pairs(df, df, "k", "title").collect()}
+        rows.append(written(spark)[0] - before)
+        assert got == {(i, j) for a, i in turned(n) for b, j in turned(n) if SequenceMatcher(None, a, b).ratio() >= 0.9}
+    assert rows[1] < 6 * rows[0], rows
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_long_titles_beside_short_ones(spark, least):
+    """Some go along with their grams and some do not; pairs of both kinds are at the border."""
+    r = random.Random(3)
+    base = "".join(r.choice("abcdefghijklmnop é") for _ in range(230))
+    left = [base[:n] for n in (170, 190, 199, 200, 201, 205, 230)]
+    left += ["".join(r.choice("xyz") if r.random() < 0.1 else c for c in t) for t in left] + ["", None]
+    frame = spark.createDataFrame(list(enumerate(left)), "k long, title string")
+    got = {(x.left_id, x.right_id): x.ratio for x in similar_pairs(frame, frame, "k", "title", least).collect()}
+    want = {(i, j): x for i, a in enumerate(left) for j, b in enumerate(left) if a and b for x in [SequenceMatcher(None, a, b).ratio()] if x >= least}
+    assert got == want and len(want) > 30
